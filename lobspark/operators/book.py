@@ -310,3 +310,48 @@ def instant_validity(quotes: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
     b, a = F.col("q.best_bid"), F.col("q.best_ask")
     ok = b.isNotNull() & a.isNotNull() & (b < a)
     return last.select(*keys, "ts", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def day_open(dt: str = "dt") -> Column:
+    """UTC midnight of a DATE column as BIGINT nanoseconds."""
+    return F.unix_micros(F.col(dt).cast("timestamp")) * 1000
+
+
+def day_of(ts: str | Column) -> Column:
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.to_date(F.timestamp_micros(F.floor(c / 1000).cast("bigint")))
+
+
+def open_points(deltas: DataFrame, days: DataFrame, *, width: int = DAY_NS) -> DataFrame:
+    """Touch as of each day open: ``symbol, dt, ts, best_bid, best_ask``."""
+    opens = days.select("symbol", "dt", day_open().alias("ts"))
+    at = book_asof(deltas, opens, k=1, probe_ts="ts", carry={"dt": "date"}, width=width)
+    return at.select(
+        "symbol", "dt", "ts", F.col("bid_0_price").alias("best_bid"), F.col("ask_0_price").alias("best_ask")
+    )
+
+
+def mid_path_with_opens(quotes: DataFrame, opens: DataFrame) -> DataFrame:
+    """Path points: as-of point at each usable day open, then the mid after every usable delta."""
+    o = opens.select("symbol", "ts", F.lit(-1).cast("bigint").alias("seq"), "best_bid", "best_ask")
+    return true_mid_path(quotes.select("symbol", "ts", "seq", "best_bid", "best_ask").unionByName(o))
+
+
+def invalid_intervals(quotes: DataFrame, opens: DataFrame) -> DataFrame:
+    """Half-open stretches ``[start_ns, end_ns)`` per day in which the true book is unusable."""
+    from lobspark.operators.ordered import islands
+
+    q = quotes.withColumn("dt", day_of("ts")).select("symbol", "dt", "ts", "seq", "best_bid", "best_ask")
+    o = opens.select("symbol", "dt", "ts", F.lit(-1).cast("bigint").alias("seq"), "best_bid", "best_ask")
+    points = instant_validity(q.unionByName(o), ["symbol", "dt"])
+    runs = (
+        islands(points, ["symbol", "dt"], ["ts"], [F.col("valid")])
+        .groupBy("symbol", "dt", "island")
+        .agg(F.min("ts").alias("start_ns"), F.first("valid").alias("valid"))
+    )
+    nxt = F.lead("start_ns").over(W.partitionBy("symbol", "dt").orderBy("start_ns"))
+    return (
+        runs.withColumn("end_ns", F.coalesce(nxt, day_open() + DAY_NS))
+        .filter(~F.col("valid"))
+        .select("symbol", "dt", "start_ns", "end_ns")
+    )

@@ -97,6 +97,18 @@ class Tables:
     def topk_b(self) -> DataFrame:
         return B.book_asof(self.deltas, self.grid, k=2)
 
+    @cached_property
+    def quotes(self) -> DataFrame:
+        return B.quote_path(self.deltas_clean)
+
+    @cached_property
+    def opens(self) -> DataFrame:
+        return B.open_points(self.deltas_clean, self.days)
+
+    @cached_property
+    def mid_points(self) -> DataFrame:
+        return B.mid_path_with_opens(self.quotes, self.opens)
+
 
 # ---------------------------------------------------------------------------- the same views in SQL
 _NS = "epoch_us(ts)*1000"
