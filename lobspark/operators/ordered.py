@@ -166,18 +166,31 @@ def islands(
     *,
     width: int = DAY_NS,
     name: str = "island",
-    broken: Column | None = None,
 ) -> DataFrame:
-    """Number maximal runs of rows with equal (null-safe) ``state``; ``broken`` forces a new run."""
-    cur = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(state)])
-    df = df.withColumn("__cur", cur)
-    df = shift(df, keys, order, {"__prev": F.col("__cur")}, width=width)
-    new = ~F.col("__prev").eqNullSafe(F.col("__cur"))
-    if broken is not None:
-        new = new | F.coalesce(broken, F.lit(False))
-    df = df.withColumn("__new", new.cast("bigint"))
-    return running(df, keys, order, {name: ("sum", F.col("__new"))}, width=width).drop(
-        "__cur", "__prev", "__new"
+    """Number maximal runs of rows with equal (null-safe) ``state``, counting from 0 per key.
+
+    One pass: a bucket is summarised by its first state, last state and inner changes.
+    """
+    df, k = _keyed(df, keys)
+    df = with_bucket(df, order[0], width)
+    orig = [c for c in df.columns if c not in (BUCKET, "__all", name)]
+    df = df.withColumn("__cur", F.struct(*[c.alias(f"s{i}") for i, c in enumerate(state)]))
+    w = W.partitionBy(*k, BUCKET).orderBy(*order)
+    prev = F.lag("__cur").over(w)
+    df = df.withColumn("__chg", F.when(prev.isNull(), 0).otherwise((~prev.eqNullSafe(F.col("__cur"))).cast("int")))
+    local = df.withColumn("__n", F.sum("__chg").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    key = _order_struct(order)
+    per = df.groupBy(*k, BUCKET).agg(
+        F.min_by("__cur", key).alias("__f"), F.max_by("__cur", key).alias("__l"), F.sum("__chg").alias("__s")
+    )
+    wb = W.partitionBy(*k).orderBy(BUCKET)
+    per = per.withColumn("__p", F.lag("__l").over(wb)).withColumn(
+        "__edge", F.when(F.col("__p").isNull(), 0).otherwise((~F.col("__p").eqNullSafe(F.col("__f"))).cast("int"))
+    )
+    carry = F.sum(F.col("__s") + F.col("__edge")).over(wb.rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")
+    per = per.select(*k, BUCKET, carry.alias("__c"))
+    return local.join(per, [*k, BUCKET], "left").select(
+        *orig, (F.col("__n") + F.col("__c")).cast("bigint").alias(name)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lobspark.operators.ordered import running
+from lobspark.session import materialize
 
 
 def _monotone_bucket(v: Column) -> Column:
@@ -37,7 +38,7 @@ def quantiles(
             F.array(*[F.struct(F.lit(n).alias("m"), c.cast("double").alias("v")) for n, c in values.items()])
         ).alias("x"),
     ).select(*keys, F.col("x.m").alias("__m"), F.col("x.v").alias("__v"))
-    counts = (
+    counts = materialize(
         long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*keys, "__m", "__v")
         .agg(F.count("*").alias("__n"))

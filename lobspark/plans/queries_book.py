@@ -8,7 +8,7 @@ from lobspark.operators.stats import abs_stats
 from lobspark.plans.common import r
 from lobspark.plans.registry import query
 from lobspark.plans.tables import FRAGMENTS, Tables, sql, topk_fragment
-from lobspark.session import DAY_NS
+from lobspark.session import DAY_NS, materialize
 
 LEVELS = [f"{s}_{i}_{f}" for s in ("bid", "ask") for i in range(2) for f in ("price", "size")]
 TOPK = (
@@ -213,7 +213,7 @@ def true_mid_path(t: Tables):
 
 @query("book_invalid_intervals", sql("SELECT * FROM invalid_v", "invalid_v"))
 def book_invalid_intervals(t: Tables):
-    return B.invalid_intervals(t.quotes, t.opens)
+    return B.invalid_intervals(t.stored("quotes"), t.stored("opens"))
 
 
 @query(
@@ -231,11 +231,12 @@ def book_invalid_intervals(t: Tables):
 )
 def quote_asof_compare(t: Tables):
     a = asof(
-        t.grid, B.coalesce_path(t.mid_points), ["symbol"], left_ts="sample_ts", right_ts="ts", cols={"a": F.col("mid")}
+        t.grid, B.coalesce_path(t.stored("mid_points")), ["symbol"], left_ts="sample_ts", right_ts="ts", cols={"a": F.col("mid")}
     )
     ab = asof(
-        a, t.trades, ["symbol"], left_ts="sample_ts", right_ts="origin_ns", right_order=["seq"], cols={"b": F.col("price")}
+        materialize(a), t.trades, ["symbol"], left_ts="sample_ts", right_ts="origin_ns", right_order=["seq"], cols={"b": F.col("price")}
     ).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    ab = materialize(ab)
     s = abs_stats(ab, ["symbol"], {"d": F.abs(F.col("a") - F.col("b"))})
     c = ab.groupBy("symbol").agg(F.corr("a", "b").alias("corr"))
     return s.join(c, "symbol").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lobspark.operators import book as B
 from lobspark.operators.ordered import running
-from lobspark.session import HOUR_NS, prepare
+from lobspark.session import HOUR_NS, materialize, prepare
 
 GRID_NS = HOUR_NS
 
@@ -19,6 +19,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = prepare(spark), path.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str) -> DataFrame:
+        """A view kept as a table because several steps read it."""
+        if name not in self._stored:
+            self._stored[name] = materialize(getattr(self, name))
+        return self._stored[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -107,7 +114,7 @@ class Tables:
 
     @cached_property
     def mid_points(self) -> DataFrame:
-        return B.mid_path_with_opens(self.quotes, self.opens)
+        return B.mid_path_with_opens(self.stored("quotes"), self.stored("opens"))
 
 
 # ---------------------------------------------------------------------------- the same views in SQL

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 NS_PER_S = 1_000_000_000
 HOUR_NS = 3600 * NS_PER_S
@@ -38,10 +39,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir`` (own folder if unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+_scratch: dict[str, str] = {}
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _scratch[app]
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Store an expensive intermediate as Parquet in the shared folder and read it back.
+
+    Cuts lineage (a lost executor re-reads the table instead of replaying folds) and lets several
+    consumers read it column-pruned instead of recomputing it.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/lobspark-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
