@@ -1,5 +1,5 @@
 """Imports every query module so that the registry is complete."""
 
-from lobspark.plans import queries_book, queries_sources, queries_trades  # noqa: F401
+from lobspark.plans import queries_book, queries_parity, queries_sources, queries_trades  # noqa: F401
 from lobspark.plans.registry import all_queries as queries  # noqa: F401
 from lobspark.plans.registry import all_sql as sql  # noqa: F401

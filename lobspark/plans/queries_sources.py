@@ -72,7 +72,7 @@ FRAGMENTS["snap_levels_v"] = (
          10000+2*(day(dt)%3) + CASE WHEN side='bid' THEN CASE WHEN h%7=0 THEN 2-i ELSE -1-i END ELSE 1+i END tick,
          CASE WHEN side='bid' AND i=2 AND h%17=0 THEN 0.0 ELSE 5.0 END size, h
        FROM (SELECT *, sample_ts//{GRID_NS} h FROM grid_v), (SELECT unnest(range(5)) i), (SELECT unnest(['bid','ask']) side))
-       WHERE NOT (side='ask' AND h%11=0) AND NOT (i>0 AND h%13=0)""",
+       WHERE NOT (side='ask' AND h%11=0) AND NOT (lvl>0 AND h%13=0)""",
 )
 
 

@@ -108,6 +108,10 @@ class Tables:
     def quotes(self) -> DataFrame:
         return B.quote_path(self.deltas_clean)
 
+    @cached_property
+    def quotes_b(self) -> DataFrame:
+        return B.quote_path(self.deltas)
+
     @cached_property
     def opens(self) -> DataFrame:
         return B.open_points(self.deltas_clean, self.days)

@@ -20,7 +20,7 @@ def main() -> int:
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
     for name, fn in qs.items():
-        if want and not any(w == name if w.startswith("=") else w in name for w in want):
+        if want and not any(w[1:] == name if w.startswith("=") else w in name for w in want):
             continue
         t0 = time.time()
         try:
