@@ -182,7 +182,10 @@ def _stream(deltas, probes, keys, ts, width, carry):
     )
     out = s.unionByName(inside.withColumn("kind", F.lit(1)))
     if probes is not None:
-        out = out.unionByName(probes.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+        # BIGINT columns must not carry nulls into pandas, or nanoseconds would become floats
+        for c, t in carry.items():
+            out = out.withColumn(c, F.lit(0 if t == "bigint" else None).cast(t))
+        out = out.unionByName(probes.withColumns({"kind": F.lit(2), "tick": F.lit(0).cast("bigint")}), allowMissingColumns=True)
     return out
 
 

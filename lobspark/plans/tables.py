@@ -199,7 +199,11 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
 
     for v in views:
         visit(v)
-    ctes = [f"{n} AS MATERIALIZED ({FRAGMENTS[n][1].strip()})" for n in done]
+    ctes = [
+        f"{n} AS ({FRAGMENTS[n][1]})" if "/*rec*/" in FRAGMENTS[n][1] else f"{n} AS MATERIALIZED ({FRAGMENTS[n][1].strip()})"
+        for n in done
+    ]
+    recursive = recursive or any("/*rec*/" in FRAGMENTS[n][1] for n in done)
     body = body.strip()
     if not ctes:
         return body
