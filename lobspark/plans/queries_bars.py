@@ -231,7 +231,7 @@ FRAGMENTS["rows_v"] = (
 FRAGMENTS["model_v"] = (
     ("rows_v",),
     "SELECT symbol, horizon, t_event, t_barrier, t_feature_start, t_event t_available, "
-    + ", ".join(f"round({c},6)+0.0 {c}" for c in FEATURE_COLS)
+    + ", ".join(c if c == "elapsed_ns" else f"round({c},6)+0.0 {c}" for c in FEATURE_COLS)
     + """, round(1e4*ln(1+y_fwd_bps/1e4),6)+0.0 y_fwd_bps, label, round(cost_bps,6)+0.0 cost_bps, round(half_spread_bps,6)+0.0 half_spread_bps, round(latency_drift_bps,6)+0.0 latency_drift_bps,
        close_reason='time_cap' emitted_by_time_cap, CASE WHEN spread_tick<=3 THEN 'tight' ELSE 'wide' END regime,
        round(1.0/(SELECT count(*) FROM rows_v b WHERE b.drop_reason IS NULL AND b.symbol=a.symbol AND b.horizon=a.horizon AND b.t_event<=a.t_event AND b.t_barrier>a.t_event),6)+0.0 uniqueness

@@ -44,4 +44,8 @@ def compare(cols_a, rows_a, cols_b, rows_b) -> str | None:
         extra = [x for x in a if x not in set(b)][:2], [x for x in b if x not in set(a)][:2]
         return f"rows {len(a)} vs {len(b)}; cols {sorted(cols_a)}; e.g. {extra}"
     bad = [(x, y) for x, y in zip(a, b) if x != y]
-    return f"{len(bad)} of {len(a)} rows differ; cols {sorted(cols_a)}; e.g. {bad[0]}" if bad else None
+    if not bad:
+        return None
+    names = sorted(cols_a)
+    diff = {names[i]: (x, y) for i, (x, y) in enumerate(zip(*bad[0])) if x != y}
+    return f"{len(bad)} of {len(a)} rows differ; cols {names}; first {bad[0][0]}; differing {diff}"
