@@ -239,7 +239,7 @@ def fill_units(records: DataFrame, rates: DataFrame, keys: Sequence[str] = KEYS,
     u = records.select(*keys, F.explode(cells).alias("u")).filter("u.need").select(*keys, "u.product", "u.kind", "u.gb", "u.gb_basis")
     if window is not None:
         u = u.filter((F.col("dt") >= window[0]) & (F.col("dt") <= window[1]))
-    return u.join(F.broadcast(rates), "product").withColumn("usd", F.col("gb") * F.col("usd_per_gb")).drop("usd_per_gb")
+    return u.join(rates, "product").withColumn("usd", F.col("gb") * F.col("usd_per_gb")).drop("usd_per_gb")
 
 
 def fill_cost_summary(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
