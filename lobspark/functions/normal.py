@@ -26,7 +26,16 @@ def _poly(coef: tuple[float, ...], x: Column) -> Column:
     return out
 
 
+def _let(c: Column, fn) -> Column:
+    """Bind a sub-expression once instead of repeating it in the formula."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def norm_cdf(z: Column) -> Column:
+    return _let(z, _cdf)
+
+
+def _cdf(z: Column) -> Column:
     a = F.abs(z)
     e = F.exp(-a * a / 2.0)
     near = e * _poly(TAIL_NUM, a) / _poly(TAIL_DEN, a)
@@ -35,19 +44,25 @@ def norm_cdf(z: Column) -> Column:
     return F.when(z > 0, 1.0 - tail).otherwise(tail)
 
 
+def _guess(p: Column) -> Column:
+    def mid(q: Column) -> Column:
+        return _let(q * q, lambda r: _poly(INV_A, r) * q / _poly(INV_B, r))
+
+    def side(t: Column) -> Column:
+        return _let(F.sqrt(F.log(t) * -2.0), lambda s: _poly(INV_C, s) / _poly(INV_D, s))
+
+    return F.when(p < SPLIT, side(p)).when(p > 1 - SPLIT, -side(1.0 - p)).otherwise(_let(p - 0.5, mid))
+
+
 def norm_ppf(p: Column) -> Column:
     """Inverse of :func:`norm_cdf`, refined by one Halley step."""
-    q = p - 0.5
-    r = q * q
-    mid = _poly(INV_A, r) * q / _poly(INV_B, r)
 
-    def side(t: Column) -> Column:
-        s = F.sqrt(F.log(t) * -2.0)
-        return _poly(INV_C, s) / _poly(INV_D, s)
+    def refine(x: Column) -> Column:
+        err = (norm_cdf(x["x"]) - x["p"]) * 2.5066282746310002 * F.exp(x["x"] * x["x"] / 2.0)
+        return _let(F.struct(err.alias("e"), x["x"].alias("x")), lambda v: v["x"] - v["e"] / (v["x"] * v["e"] / 2.0 + 1.0))
 
-    x = F.when(p < SPLIT, side(p)).when(p > 1 - SPLIT, -side(1.0 - p)).otherwise(mid)
-    err = (norm_cdf(x) - p) * 2.5066282746310002 * F.exp(x * x / 2.0)
-    return F.when((p > 0) & (p < 1), x - err / (x * err / 2.0 + 1.0))
+    start = _let(p.cast("double"), lambda q: F.struct(q.alias("p"), _guess(q).alias("x")))
+    return F.when((p > 0) & (p < 1), _let(start, refine))
 
 
 GAMMA = 0.5772156649015329

@@ -29,7 +29,7 @@ def quantiles(
     """
     keys = list(keys)
     if not keys:
-        df, keys, drop = df.withColumn("__all", F.lit(0)), ["__all"], True
+        df, keys, drop = df.withColumn("__one", F.lit(0)), ["__one"], True
     else:
         drop = False
     long = df.select(

@@ -53,7 +53,7 @@ def matrix(t: Tables):
 
 
 def forecasts(t: Tables):
-    m = matrix(t).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("bigint"))
+    m = matrix(t).withColumn("trial", F.explode(F.array(*[F.lit(j).cast("bigint") for j in range(4)])))
     e, b = F.expr("t_event div 1000000000L"), F.expr("t_barrier div 1000000000L")
     return m.withColumn("f", ((b - e - 1 + e * (F.col("trial") + 3)) % 401 - 200) / 20.0)
 
