@@ -145,7 +145,7 @@ class _BarFold:
             n,
         )
 
-    def push(self, pdf: pd.DataFrame) -> pd.DataFrame | None:
+    def push(self, pdf: pd.DataFrame) -> list | None:
         if self.clock is None:
             head = pdf.iloc[0]
             self.clock = BarClock(float(head["threshold"]), bool(head["is_warmup"]), self.cap, int(pdf["open_ns"].iloc[0]))
@@ -159,8 +159,7 @@ class _BarFold:
         self.clock.last_price = price[-1]
         cols = {c: t[c].to_numpy() for c in ("origin_ns", "received_ns", "seq", "side", "price", "quantity")}
         rows = _typed({**cols, "bar_idx": bar, "prev_price": prev}, len(t))
-        tail = self._bars(closed)
-        return rows if tail is None else pd.concat([rows, tail], ignore_index=True)
+        return [rows, self._bars(closed)]
 
     def finish(self) -> pd.DataFrame | None:
         return self._bars(self.clock.finish()) if self.clock is not None else None

@@ -19,18 +19,20 @@ def ordered_fold(
     make: Callable[[tuple], object],
     schema: str,
 ) -> DataFrame:
-    """``make(key)`` returns an object with ``push(pdf) -> pdf | None`` and ``finish() -> pdf | None``.
+    """``make(key)`` returns an object with ``push(pdf)`` and ``finish()``, each giving a frame, a list
+    of frames or None.
 
     Output frames lack the key columns; they are added back in front.
     """
     keys = list(keys)
     arranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    def stamp(out: pd.DataFrame | None, key: tuple) -> Iterator[pd.DataFrame]:
-        if out is not None and len(out):
-            for i, (name, v) in enumerate(zip(keys, key)):
-                out.insert(i, name, v)
-            yield out
+    def stamp(result: pd.DataFrame | list | None, key: tuple) -> Iterator[pd.DataFrame]:
+        for out in result if isinstance(result, list) else [result]:
+            if out is not None and len(out):
+                for i, (name, v) in enumerate(zip(keys, key)):
+                    out.insert(i, name, v)
+                yield out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, fold = None, None
