@@ -68,7 +68,8 @@ def _met(rows: DataFrame, keys: list[str], bit: str, first: str) -> DataFrame:
     left = rows.where(f"{first} or {bit} = 0").select(*keys, F.col("fp").alias("a"), first)
     right = rows.where(f"{first} or {bit} = 1").select(*keys, F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    return left.join(right, keys).where((~F.col(first) | (F.col("a") < F.col("b"))) & close).select("a", "b")
+    # merged, not broadcast: before the explode the sides look 32 times smaller than they are
+    return left.join(right.hint("merge"), keys).where((~F.col(first) | (F.col("a") < F.col("b"))) & close).select("a", "b")
 
 
 def links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:

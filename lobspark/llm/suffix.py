@@ -48,12 +48,14 @@ def _stretches(length: int, gram: int):
 
 def _sorted_rotations(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of a symbol sequence, ordered by at least their first ``depth`` symbols, by prefix doubling."""
-    n, h = len(symbols), 7
+    used, symbols = np.unique(symbols, return_inverse=True)
+    bits = max(1, int(len(used) - 1).bit_length())
+    n, h = len(symbols), 63 // bits
     packed = np.zeros(n, dtype=np.int64)
     for i in range(h):
-        packed = (packed << 9) | np.roll(symbols, -i)
+        packed = (packed << bits) | np.roll(symbols, -i)
     while True:
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         rank = np.empty(n, dtype=np.int64)
         ordered = packed[order]
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -66,7 +68,7 @@ def _sorted_rotations(symbols: np.ndarray, depth: int) -> np.ndarray:
 def _open_boundaries(order: np.ndarray, symbols: np.ndarray, depth: int) -> np.ndarray:
     """For each place i of the order: do rotations i-1 and i share ``depth`` symbols or more?"""
     n = len(order)
-    bwt = symbols[order - 1]
+    bwt = symbols[order - 1].astype(np.uint16)
     back = np.empty(n, dtype=np.int64)  # the place of the rotation that begins one symbol earlier
     by_symbol = np.argsort(bwt, kind="stable")
     back[by_symbol] = np.arange(n)
