@@ -7,7 +7,8 @@ at the wanted length: boundaries still open lie between suffixes that share at l
 
 Scale: a shard must hold every place where a string can be repeated. Each window of the wanted length is dealt by
 the smallest hash of the short grams in it; consecutive windows with the same smallest hash travel as one stretch.
-Hashes seen once in the whole corpus end there, equal stretches become one content with a weight, and a shard holds
+Hashes seen once in the whole corpus end there, equal stretches become one content with a weight (a hash with a
+single repeated content needs no expansion: its interval is that content), and a shard holds
 about ``SHARD_BYTES`` of contents. A hash with more distinct contents than a shard may hold is dealt
 again, by the hash of each whole window, which no group can make large. Texts are joined by document, never gathered.
 """
@@ -54,15 +55,28 @@ def _sorted_rotations(symbols: np.ndarray, depth: int) -> np.ndarray:
     packed = np.zeros(n, dtype=np.int64)
     for i in range(h):
         packed = (packed << bits) | np.roll(symbols, -i)
-    while True:
-        order = np.argsort(packed)
-        rank = np.empty(n, dtype=np.int64)
-        ordered = packed[order]
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        if h >= depth or rank[order[-1]] == n - 1:
-            return order
-        packed = rank * n + np.roll(rank, -h)
+    order = np.argsort(packed)
+    ordered = packed[order]
+    group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))  # by place in the order
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = group
+    while h < depth:
+        tied = np.zeros(n + 1, dtype=bool)  # only rotations that are not yet alone in their group are sorted on
+        tied[1:n] = group[1:] == group[:-1]
+        places = np.flatnonzero(tied[:-1] | tied[1:])
+        if not len(places):
+            break
+        at = order[places]
+        packed = group[places] * n + rank[(at + h) % n]
+        sort = np.argsort(packed)
+        order[places], ordered = at[sort], packed[sort]
+        new = np.zeros(n, dtype=np.int64)
+        new[1:] = group[1:] != group[:-1]
+        new[places[1:]] |= ordered[1:] != ordered[:-1]
+        group = np.cumsum(new)
+        rank[order] = group
         h *= 2
+    return order
 
 
 def _open_boundaries(order: np.ndarray, symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -159,8 +173,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, shard_b
     """``(key, text_hash, start, end)``: byte spans covered by strings of ``length`` bytes that start in two places."""
     kind = "h long, c long, key long, text_hash long, start int, n int, twice boolean"
     runs = materialize(docs.where(F.length("text") >= length).select("key", "text_hash", "text").mapInArrow(_stretches(length, min(gram, length)), kind))
-    twice = runs.groupBy("h").agg(F.count("*").alias("places"), F.max("twice").alias("inside")).where("places > 1 or inside").select("h")
-    hit = materialize(runs.drop("twice").join(twice, "h"))
+    seen = runs.groupBy("h").agg(F.count("*").alias("places"), F.max("twice").alias("inside"), (F.min("c") != F.max("c")).alias("mixed")).where("places > 1 or inside")
+    found = materialize(runs.drop("twice").join(seen.select("h", (F.col("mixed") | (F.col("places") == 1)).alias("open")), "h"))
+    # one content in several places: its interval is itself with its weight, nothing is left to expand
+    whole = found.where("not open").select("key", "text_hash", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
+    hit = found.where("open").drop("open")
     contents = hit.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("key", "text_hash", "start", "n")).alias("f"))
     contents = materialize(contents.select("h", "c", "weight", "f.*"))
     size = F.col("n") + length
@@ -175,7 +192,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, shard_b
     single = materialize(pieces.where("hot").mapInArrow(_each_window(length), "h long, c long, a int, w long, weight long"))
     again = single.groupBy("h", "w").agg(F.sum("weight").alias("s")).where("s > 1").select("h", "w")
     spans = spans.union(single.join(again, ["h", "w"]).select("h", "c", "a", (F.col("a") + 1).alias("b")))
-    return hit.join(spans, ["h", "c"]).select("key", "text_hash", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + length - 1).alias("end"))
+    return whole.union(hit.join(spans, ["h", "c"]).select("key", "text_hash", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") + length - 1).alias("end")))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
