@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lobspark.llm.common import table
+from lobspark.llm.embeddings import near_vectors
+from lobspark.llm.html import extract
+from lobspark.llm.langid import held_out, language_id
+from lobspark.llm.licenses import license_scan
+from lobspark.llm.media import document_media
+from lobspark.llm.nbest import digests, encode
+from lobspark.llm.packing import pack
 from lobspark.llm.simhash import simhash_dedup
 from lobspark.llm.substring import substring_dedup
 from lobspark.llm.suffix import suffix_dedup
@@ -66,3 +74,72 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents")).select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_nbest_pieces")
+def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode(table(spark, sf_dir, "documents"))).select("row.doc_id", "n_chars", "n_pieces", "best_score", "n_found", "last_score", "ids_crc32", "nbest_crc32", "round_trip")
+
+
+@query("op8_media_sequences")
+def op8_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, e, CASE WHEN e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN sqrt(list_dot_product(e, e)) END AS n
+      FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND len(a.e) = len(b.e)
+          WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+    r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+    k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+    """,
+)
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op10_license_scan",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j,
+                 list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS cc,
+                 list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl,
+                 list_filter(range(0, len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS res FROM d),
+    m AS (SELECT *, list_concat(cc, list_concat(gpl, res)) AS every,
+                 list_filter([CASE WHEN len(cc) > 0 THEN 'cc-by' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(res) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS base,
+                 list_filter([CASE WHEN regexp_matches(j, ' under the (terms of the )?mit license ') THEN 'mit' END,
+                              CASE WHEN contains(j, ' licensed under the apache license ') THEN 'apache' END,
+                              CASE WHEN regexp_matches(j, ' licensed under ((a|the) )?(creative commons )?cc by nc ') THEN 'cc-by-nc' END,
+                              CASE WHEN regexp_matches(j, ' licensed under ((a|the) )?(creative commons )?cc by sa ') THEN 'cc-by-sa' END,
+                              CASE WHEN regexp_matches(j, ' licensed under the gnu ((lesser|affero) )?general public license ') THEN 'gnu-gpl' END,
+                              CASE WHEN regexp_matches(j, ' under the bsd ([23] )?(clause )?license ') THEN 'bsd' END], lambda x: x IS NOT NULL) AS more FROM p)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
+           array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_concat(base, more)), ',') AS labels,
+           CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+    FROM m
+    """,
+)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
