@@ -59,8 +59,9 @@ def from_image(stored: bytes) -> bytes:
 def feature(samples: bytes) -> str:
     """Mean, deviation and 64 cells brighter than the mean, of an image's samples."""
     x = np.frombuffer(samples, dtype=np.uint8)
-    cells = np.array([c.mean() for c in np.array_split(x, 64)])
-    bits = int("".join("1" if c > x.mean() else "0" for c in cells), 2)
+    edge = np.arange(64) * len(x) // 64
+    cells = np.add.reduceat(x, edge, dtype=np.int64) / np.diff(np.append(edge, len(x)))
+    bits = int(np.packbits(cells > x.mean()).view(">u8")[0])
     return f"{x.mean():.4f}:{x.std():.4f}:{bits:016x}"
 
 

@@ -77,10 +77,8 @@ def best_parts(pieces: Pieces, buffer: np.ndarray, start: np.ndarray, end: np.nd
 
 def search(pieces: Pieces, part: bytes, most: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``most`` best segmentations of a part, best first: A* from the end, guided by exact scores from the beginning."""
-    flat = np.frombuffer(part, dtype=np.uint8)
-    at, size, ids = (x.tolist() for x in pieces.edges(flat, np.array([0, len(part)])))
     ending: list[list[tuple[int, int, float]]] = [[] for _ in range(len(part) + 1)]
-    for a, s, i in zip(at, size, ids):
+    for a, s, i in pieces.edges_of_one(part):
         ending[a + s].append((a, i, float(pieces.score[i])))
     ahead = [0.0] + [-np.inf] * len(part)
     for e in range(1, len(part) + 1):
@@ -115,59 +113,92 @@ def combined(lists: list[list[tuple[float, tuple[int, ...]]]], most: int) -> lis
     return out
 
 
-def _segment(path: str | None, most: int):
+def _answers(pieces: Pieces, texts: list[bytes], most: int) -> list[list[tuple[float, np.ndarray]]]:
+    """For every text its best segmentations, best first: score and ids."""
+    w = split_before_blanks(texts)
+    s, e = w.distinct()
+    score, cost, ids, bounds = best_parts(pieces, w.buffer, s, e)
+    size = np.diff(bounds)[w.which]
+    flat = ids[ragged(bounds[w.which], size)].astype("<i4")
+    ends = np.concatenate([[0], np.cumsum(size)])
+    found: dict[int, list] = {}
+    out = []
+    for d in range(len(texts)):
+        x, y = w.bounds[d], w.bounds[d + 1]
+        if x == y:
+            out.append([(0.0, flat[:0])])
+            continue
+        which = w.which[x:y]
+        losses = cost[which]
+        cheap = np.argsort(losses, kind="stable")[: most - 1]
+        cheap = np.sort(cheap[np.isfinite(losses[cheap])])
+        lists = []
+        for k in cheap:
+            p = int(which[k])
+            if p not in found:
+                found[p] = search(pieces, w.buffer[s[p] : e[p]].tobytes(), most)
+            lists.append(found[p])
+        best = float(score[which].sum())
+        whole = flat[ends[x] : ends[y]]
+        answers = []
+        for loss, at in combined(lists, most):
+            cuts, last = [], 0
+            for k, choice, options in zip(cheap, at, lists):
+                if choice:
+                    cuts += [whole[last : ends[x + k] - ends[x]], np.array(options[choice][1], dtype="<i4")]
+                    last = ends[x + k + 1] - ends[x]
+            answers.append((best - loss, np.concatenate([*cuts, whole[last:]]) if cuts else whole))
+        out.append(answers)
+    return out
+
+
+def _encoder(path: str | None, most: int, finish):
+    """Batches of ``finish(pieces, texts, answers)``'s columns behind ``row``, some texts at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path or vocabulary(VOCABULARY))
         for b in batches:
             texts = [t or b"" for t in b["text"].to_pylist()]
-            out: list[list] = []
             for i, j in chunks([len(t) + 1 for t in texts], TEXT_AT_ONCE):
-                w = split_before_blanks(texts[i:j])
-                s, e = w.distinct()
-                score, cost, ids, bounds = best_parts(pieces, w.buffer, s, e)
-                size = np.diff(bounds)[w.which]
-                flat = ids[ragged(bounds[w.which], size)].astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                found: dict[int, list] = {}
-                for d in range(j - i):
-                    x, y = w.bounds[d], w.bounds[d + 1]
-                    which = w.which[x:y]
-                    losses = cost[which]
-                    cheap = np.argsort(losses, kind="stable")[: most - 1]
-                    cheap = np.sort(cheap[np.isfinite(losses[cheap])])
-                    lists = []
-                    for k in cheap:
-                        p = int(which[k])
-                        if p not in found:
-                            found[p] = search(pieces, w.buffer[s[p] : e[p]].tobytes(), most)
-                        lists.append(found[p])
-                    best = float(score[which].sum())
-                    whole = flat[ends[x] : ends[y]]
-                    answers = []
-                    for loss, at in combined(lists, most):
-                        cuts, last = [], 0
-                        for k, choice, options in zip(cheap, at, lists):
-                            if choice:
-                                a, z = ends[x + k] - ends[x], ends[x + k + 1] - ends[x]
-                                cuts += [whole[last:a], np.array(options[choice][1], dtype=np.int32)]
-                                last = z
-                        answers.append({"score": best - loss, "ids": np.concatenate([*cuts, whole[last:]]) if cuts else whole})
-                    out.append(answers if y > x else [{"score": 0.0, "ids": np.zeros(0, dtype=np.int32)}])
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
-            for at in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([b["row"].slice(at, 500), b["text"].slice(at, 500), pa.array(out[at : at + 500], kind)], names=["row", "text", "segmentations"])
+                names, columns = finish(pieces, texts[i:j], _answers(pieces, texts[i:j], most))
+                yield pa.RecordBatch.from_arrays([b["row"].slice(i, j - i), *columns], names=["row", *names])
 
     return run
 
 
+def _as_lists(pieces: Pieces, texts: list[bytes], answers: list) -> tuple[list[str], list]:
+    flat = [x for found in answers for x in found]
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[1]) for x in flat)]), pa.int32()), pa.array(np.concatenate([x[1] for x in flat])))
+    both = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.float64()), ids], names=["score", "ids"])
+    return ["segmentations"], [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, answers)]), pa.int32()), both)]
+
+
+def _as_digests(pieces: Pieces, texts: list[bytes], answers: list) -> tuple[list[str], list]:
+    cols: list[list] = [[] for _ in range(8)]
+    for text, found in zip(texts, answers):
+        every = 0
+        for _, ids in found:
+            every = zlib.crc32(ids.tobytes(), every)
+        want = b" " + text if text else b""
+        same = all(b"".join(map(pieces.text.__getitem__, ids.tolist())) == want for _, ids in found)
+        for col, v in zip(cols, (len(text.decode()), len(found[0][1]), found[0][0], len(found), found[-1][0], zlib.crc32(found[0][1].tobytes()), every, same)):
+            col.append(v)
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    return ["n_chars", "n_pieces", "best_score", "n_found", "last_score", "ids_crc32", "nbest_crc32", "round_trip"], [pa.array(c, t) for c, t in zip(cols, kinds)]
+
+
+def _encoded(docs: DataFrame, carry: list[str] | None, kinds: str, run) -> DataFrame:
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or ["doc_id"])]).alias("row"), F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, {kinds}")
+
+
 def encode(docs: DataFrame, most: int = 4, carry: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """``row, text, segmentations``: the ``most`` best segmentations of every text, best first, with scores and piece ids.
+    """``row, segmentations``: the ``most`` best segmentations of every text, best first, with scores and piece ids.
 
     Defined cases: a null or empty text has the one segmentation without pieces; of equal scores the smaller ids come
     first within a part; fewer segmentations than asked for are given where no more exist; an empty table gives no rows.
     """
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or ["doc_id"])]).alias("row"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(_segment(path, most), f"row {d.schema['row'].dataType.simpleString()}, text binary, segmentations array<struct<score: double, ids: array<int>>>")
+    return _encoded(docs, carry, "segmentations array<struct<score: double, ids: array<int>>>", _encoder(path, most, _as_lists))
 
 
 def decode(df: DataFrame, column: str = "ids", path: str | None = None) -> DataFrame:
@@ -182,33 +213,11 @@ def decode(df: DataFrame, column: str = "ids", path: str | None = None) -> DataF
     return df.mapInArrow(run, df.schema.add("decoded", "binary"))
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``row, n_chars, n_pieces, best_score, n_found, last_score, ids_crc32, nbest_crc32, round_trip`` of ``encode``'s rows.
+def encode_digests(docs: DataFrame, most: int = 4, carry: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """``encode`` with digests in place of ids: ``row, n_chars, n_pieces, best_score, n_found, last_score, ids_crc32, nbest_crc32, round_trip``.
 
     The checksums are over little-endian 32-bit ids: of the best, and of all segmentations one after another.
     ``round_trip``: every segmentation decodes to the text.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path or vocabulary(VOCABULARY))
-        for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            lists = b["segmentations"]
-            offsets = lists.offsets.to_numpy()
-            inner = lists.values.field("ids")
-            cut, flat = inner.offsets.to_numpy(), inner.values.to_numpy(zero_copy_only=False)
-            scores = lists.values.field("score").to_numpy(zero_copy_only=False)
-            for k, text in enumerate(b["text"].to_pylist()):
-                a, z = offsets[k], offsets[k + 1]
-                ids = [flat[cut[q] : cut[q + 1]].astype("<i4") for q in range(a, z)]
-                want = b" " + text if text else b""
-                every = 0
-                for x in ids:
-                    every = zlib.crc32(x.tobytes(), every)
-                same = all(b"".join(map(pieces.text.__getitem__, x.tolist())) == want for x in ids)
-                for col, v in zip(cols, (len((text or b"").decode()), len(ids[0]), scores[a], z - a, scores[z - 1], zlib.crc32(ids[0].tobytes()), every, same)):
-                    col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b["row"], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["row", "n_chars", "n_pieces", "best_score", "n_found", "last_score", "ids_crc32", "nbest_crc32", "round_trip"])
-
-    return encoded.mapInArrow(run, f"row {encoded.schema['row'].dataType.simpleString()}, n_chars long, n_pieces long, best_score double, n_found int, last_score double, ids_crc32 long, nbest_crc32 long, round_trip boolean")
+    kinds = "n_chars long, n_pieces long, best_score double, n_found int, last_score double, ids_crc32 long, nbest_crc32 long, round_trip boolean"
+    return _encoded(docs, carry, kinds, _encoder(path, most, _as_digests))

@@ -40,6 +40,7 @@ class Pieces:
         floor = self.score[real][self.score[real] > -1e8].min()
         self.score[real] = np.maximum(self.score[real], floor - 1)
         self.score[is_byte] = floor - 1 - byte_cost
+        self.by_text = {self.text[i]: i for i in real}
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in sorted({len(self.text[i]) for i in real}):
             ids = np.array([i for i in real if len(self.text[i]) == size])
@@ -83,6 +84,25 @@ class Pieces:
         return np.concatenate([at, bare]), np.concatenate([sizes, np.ones(len(bare), dtype=np.int64)]), np.concatenate([ids, self.byte[buffer[bare]]])
 
 
+    def edges_of_one(self, word: bytes) -> list[tuple[int, int, int]]:
+        """The same for one short word, as (place, size, id)."""
+        out = []
+        for a in range(len(word)):
+            for size in self.tables:
+                if size > len(word) - a:
+                    break
+                i = self.by_text.get(word[a : a + size])
+                if i is not None:
+                    out.append((a, size, i))
+            if word[a] & 0xC0 != 0x80:
+                end = a + 1
+                while end < len(word) and word[end] & 0xC0 == 0x80:
+                    end += 1
+                if word[a:end] not in self.by_text:
+                    out += [(k, 1, int(self.byte[word[k]])) for k in range(a, end)]
+        return out
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -92,8 +112,9 @@ def steps(at: np.ndarray, size: np.ndarray, bounds: np.ndarray):
     """Edges in the order of a forward pass over all words side by side: groups with one end and one size, so no word is met twice."""
     word = np.searchsorted(bounds, at, side="right") - 1
     end = at + size - bounds[word]
-    order = np.lexsort((size, end))
-    key = end[order] * (size.max() + 1 if len(size) else 1) + size[order]
+    key = end * (size.max() + 1 if len(size) else 1) + size
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+    key = key[order]
     cut = np.flatnonzero(np.diff(key)) + 1
     return word, np.split(order, cut) if len(order) else []
 

@@ -13,7 +13,7 @@ from lobspark.llm.html import extract
 from lobspark.llm.langid import held_out, language_id
 from lobspark.llm.licenses import license_scan
 from lobspark.llm.media import document_media
-from lobspark.llm.nbest import digests, encode
+from lobspark.llm.nbest import encode_digests
 from lobspark.llm.packing import pack
 from lobspark.llm.simhash import simhash_dedup
 from lobspark.llm.substring import substring_dedup
@@ -93,7 +93,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_nbest_pieces")
 def op7_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents"))).select("row.doc_id", "n_chars", "n_pieces", "best_score", "n_found", "last_score", "ids_crc32", "nbest_crc32", "round_trip")
+    return encode_digests(table(spark, sf_dir, "documents")).select("row.doc_id", "n_chars", "n_pieces", "best_score", "n_found", "last_score", "ids_crc32", "nbest_crc32", "round_trip")
 
 
 @query("op8_media_sequences")
