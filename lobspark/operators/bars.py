@@ -7,6 +7,7 @@ watermark) is a running maximum over bars.
 
 from __future__ import annotations
 
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,59 +47,58 @@ def day_totals(trades: DataFrame) -> DataFrame:
     )
 
 
-class BarClock:
-    """Reset-on-close accumulation of one symbol-day; also used by the streaming job."""
-
-    def __init__(self, threshold: float, warmup: bool, cap_ns: int, open_ns: int):
-        self.thr, self.warm, self.cap = threshold, warmup, cap_ns
-        self.start, self.end = open_ns, open_ns + DAY_NS
-        self.acc, self.idx, self.members, self.last_price = 0.0, 0, 0, np.nan
-
-    def _close(self, reason: str, fire) -> tuple:
-        row = (self.idx, self.start, reason, fire, self.acc)
-        self.idx += 1
-        self.acc, self.members = 0.0, 0
-        return row
-
-    def feed(self, ts: np.ndarray, notional: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Bar index per trade, whether it opens its bar, and the bars closed."""
-        n = len(ts)
-        bar, first, closed = np.empty(n, np.int64), np.zeros(n, bool), []
-        i = 0
-        while i < n:
-            while ts[i] >= self.start + self.cap:
-                fire = self.start + self.cap
-                closed.append(self._close("time_cap", fire))
-                self.start = fire
-            stop = int(np.searchsorted(ts, self.start + self.cap, side="left"))
-            first[i] = self.members == 0
-            span = 256
-            while i < stop:
-                j = min(stop, i + span)
-                total = np.cumsum(np.concatenate([[self.acc], notional[i:j]]))[1:]
-                hit = np.flatnonzero(total >= self.thr)
-                if len(hit):
-                    e = i + int(hit[0])
-                    bar[i : e + 1] = self.idx
-                    self.acc = float(total[hit[0]])
-                    closed.append(self._close("threshold", None))
-                    self.start = int(ts[e])
-                    i = e + 1
-                    break
-                bar[i:j] = self.idx
-                self.acc, self.members = float(total[-1]), self.members + (j - i)
-                i, span = j, span * 2
-        return bar, first, closed
-
-    def finish(self) -> list:
-        closed = []
-        while self.start + self.cap <= self.end:
-            fire = self.start + self.cap
-            closed.append(self._close("time_cap", fire))
-            self.start = fire
-        if self.members:
-            closed.append(self._close("day_end", self.end))
-        return closed
+class OpenBar(NamedTuple):
+    """What one symbol-day carries from trade to trade: the open bar's number, start, notional and trades."""
+
+    number: int
+    since: int
+    held: float = 0.0
+    trades: int = 0
+
+
+def _caps(bar: OpenBar, until: int, cap_ns: int) -> tuple[OpenBar, list]:
+    """Bars that the cap has closed by ``until``; their count follows from the time passed, only the first holds trades."""
+    passed = max(0, (until - bar.since) // cap_ns)
+    rows = [(bar.number + q, bar.since + q * cap_ns, "time_cap", bar.since + (q + 1) * cap_ns, bar.held * (q == 0)) for q in range(passed)]
+    return (OpenBar(bar.number + passed, bar.since + passed * cap_ns) if passed else bar), rows
+
+
+def _reach(held: float, notional: np.ndarray, threshold: float) -> tuple[int, float]:
+    """Trades taken until the sum reaches the threshold (-1: it does not) and the sum then; looks ahead in doubling steps."""
+    done, step = 0, 512
+    while done < len(notional):
+        sums = np.add.accumulate(np.append(held, notional[done : done + step]))[1:]
+        over = sums >= threshold
+        if over.any():
+            k = int(over.argmax())
+            return done + k + 1, float(sums[k])
+        held, done, step = float(sums[-1]), done + len(sums), 2 * step
+    return -1, held
+
+
+def assign_bars(bar: OpenBar, ts: np.ndarray, notional: np.ndarray, threshold: float, cap_ns: int) -> tuple[OpenBar, np.ndarray, np.ndarray, list]:
+    """The state after some trades in order, each trade's bar number, whether it opens its bar, and the bars closed."""
+    numbers, opens, closed, at = np.empty(len(ts), np.int64), np.zeros(len(ts), bool), [], 0
+    while at < len(ts):
+        bar, capped = _caps(bar, int(ts[at]), cap_ns)
+        closed += capped
+        stop = int(np.searchsorted(ts, bar.since + cap_ns))
+        taken, total = _reach(bar.held, notional[at:stop], threshold)
+        end = at + taken if taken > 0 else stop
+        numbers[at:end], opens[at] = bar.number, bar.trades == 0
+        if taken > 0:
+            closed.append((bar.number, bar.since, "threshold", None, total))
+            bar = OpenBar(bar.number + 1, int(ts[end - 1]))
+        else:
+            bar = bar._replace(held=total, trades=bar.trades + end - at)
+        at = end
+    return bar, numbers, opens, closed
+
+
+def close_day(bar: OpenBar, day_end: int, cap_ns: int) -> list:
+    """The bars left at the end of the day: caps that passed, then a bar that still holds trades."""
+    bar, rows = _caps(bar, day_end, cap_ns)
+    return [*rows, *([(bar.number, bar.since, "day_end", day_end, bar.held)] if bar.trades else [])]
 
 
 TAGGED = (
@@ -125,7 +125,7 @@ def _typed(cols: dict, n: int) -> pd.DataFrame:
 
 class _BarFold:
     def __init__(self, cap_ns: int):
-        self.cap, self.clock = cap_ns, None
+        self.cap, self.bar, self.last_price = cap_ns, None, np.nan
 
     def _bars(self, closed: list) -> pd.DataFrame | None:
         if not closed:
@@ -139,30 +139,34 @@ class _BarFold:
                 "close_reason": reason,
                 "cap_fire": [pd.NA if f is None else f for f in fire],
                 "notional": acc,
-                "threshold": [self.clock.thr] * n,
-                "is_warmup": [self.clock.warm] * n,
+                "threshold": [self.threshold] * n,
+                "is_warmup": [self.warmup] * n,
             },
             n,
         )
 
     def push(self, pdf: pd.DataFrame) -> list | None:
-        if self.clock is None:
+        if self.bar is None:
             head = pdf.iloc[0]
-            self.clock = BarClock(float(head["threshold"]), bool(head["is_warmup"]), self.cap, int(pdf["open_ns"].iloc[0]))
+            self.threshold, self.warmup, day = float(head["threshold"]), bool(head["is_warmup"]), int(pdf["open_ns"].iloc[0])
+            self.bar, self.day_end = OpenBar(0, day), day + DAY_NS
         t = pdf[pdf["kind"].to_numpy() == 1]
         if not len(t):
             return None
         price = t["price"].to_numpy(float)
-        bar, first, closed = self.clock.feed(t["origin_ns"].to_numpy(np.int64), price * t["quantity"].to_numpy(float))
-        prev = np.concatenate([[self.clock.last_price], price[:-1]])
-        prev[first | np.concatenate([[False], bar[1:] != bar[:-1]])] = np.nan
-        self.clock.last_price = price[-1]
+        self.bar, number, opens, closed = assign_bars(self.bar, t["origin_ns"].to_numpy(np.int64), price * t["quantity"].to_numpy(float), self.threshold, self.cap)
+        prev = np.concatenate([[self.last_price], price[:-1]])
+        prev[opens | np.concatenate([[False], number[1:] != number[:-1]])] = np.nan
+        self.last_price = price[-1]
         cols = {c: t[c].to_numpy() for c in ("origin_ns", "received_ns", "seq", "side", "price", "quantity")}
-        rows = _typed({**cols, "bar_idx": bar, "prev_price": prev}, len(t))
+        rows = _typed({**cols, "bar_idx": number, "prev_price": prev}, len(t))
         return [rows, self._bars(closed)]
 
     def finish(self) -> pd.DataFrame | None:
-        return self._bars(self.clock.finish()) if self.clock is not None else None
+        if self.bar is None:
+            return None
+        rows, self.bar = close_day(self.bar, self.day_end, self.cap), None
+        return self._bars(rows)
 
 
 def tagged_bars(trades: DataFrame, schedule: DataFrame, cap_ns: int) -> DataFrame:

@@ -207,12 +207,14 @@ def book_asof(
     Returns ``keys, probe_ts, [probe_seq], carry…, mid, microprice, {bid,ask}_depth`` and the wide
     level columns; a missing level is null. ``carry`` maps extra probe columns to their types.
     """
-    carry = dict(carry or {})
+    # carried columns get a name of their own inside the fold, so that a probe's side is not taken for the book's
+    carried = {c: f"__c_{c}" for c in carry or {}}
+    carry = {carried[c]: t for c, t in (carry or {}).items()}
     p = probes.select(
         *keys,
         F.col(probe_ts).alias("ts"),
         (F.col(probe_seq) if probe_seq else F.lit(0)).cast("bigint").alias("seq"),
-        *carry,
+        *[F.col(c).alias(inner) for c, inner in carried.items()],
     ).withColumn(BUCKET, bucket_of("ts", width))
     stream = _stream(deltas, p, list(keys), ts, width, carry)
     level_cols = []
@@ -232,7 +234,8 @@ def book_asof(
     )
     out = out.drop(BUCKET).withColumnRenamed("ts", probe_ts)
     out = out.withColumnRenamed("seq", probe_seq) if probe_seq else out.drop("seq")
-    lead = [*keys, probe_ts, *([probe_seq] if probe_seq else []), *names]
+    out = out.withColumnsRenamed({inner: c for c, inner in carried.items()})
+    lead = [*keys, probe_ts, *([probe_seq] if probe_seq else []), *carried]
     wide = [c.split()[0] for c in level_cols]
     return out.withColumns(touch_metrics()).select(*lead, "mid", "microprice", *wide)
 

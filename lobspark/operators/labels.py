@@ -17,12 +17,29 @@ from lobspark.session import DAY_NS, NS_PER_S, materialize
 DEFAULT_HORIZONS: Mapping[str, int] = {"2s": 2 * NS_PER_S, "10s": 10 * NS_PER_S, "60s": 60 * NS_PER_S}
 
 
+class _Decay:
+    """Sums carried into each bucket of one path: what came before, halved for every half-life since."""
+
+    def __init__(self, halvings: float):
+        self.halvings, self.last, self.s, self.w, self.n = halvings, None, 0.0, 0.0, 0
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b, s, w, n in zip(pdf[BUCKET].tolist(), pdf["s"].tolist(), pdf["w"].tolist(), pdf["n"].tolist()):
+            fade = 0.5 ** ((b - self.last) * self.halvings) if self.last is not None else 0.0
+            out.append((b, self.s * fade, self.w * fade, self.n))
+            self.last, self.s, self.w, self.n = b, self.s * fade + s, self.w * fade + w, self.n + n
+        return pd.DataFrame(out, columns=[BUCKET, "__cs", "__cw", "__cn"])
+
+    def finish(self) -> None:
+        return None
+
+
 def ewma_vol(path: DataFrame, keys: Sequence[str], halflife_ns: int, width: int | None = None) -> DataFrame:
     """``vol_bps`` and ``n_returns`` at every point of a coalesced path (``keys, ts, mid``).
 
     Weights halve per ``halflife_ns``. Sums are taken relative to a bucket start of at most 64
-    half-lives; the carry into a bucket decays the last 20 non-empty buckets, whatever lies further
-    back is below double precision next to the row's own weight of one.
+    half-lives; the carry into a bucket is folded over all earlier buckets, one summary row each.
     """
     keys = list(keys)
     width = width or 64 * halflife_ns
@@ -35,21 +52,9 @@ def ewma_vol(path: DataFrame, keys: Sequence[str], halflife_ns: int, width: int
     local = W.partitionBy(*keys, BUCKET).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     sums = {f"__l{c}": F.sum(f"__{c}").over(local) for c in ("s", "w", "n")}
     per = p.groupBy(*keys, BUCKET).agg(*[F.coalesce(F.sum(f"__{c}"), F.lit(0)).alias(c) for c in ("s", "w", "n")])
-    near = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(-20, -1)
-    far = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
-
-    def decayed(field: str) -> Column:
-        return F.aggregate(
-            "__h",
-            F.lit(0.0),
-            lambda acc, x: acc + x[field] * F.pow(F.lit(0.5), (F.col(BUCKET) - x["b"]) * width / hl),
-        )
-
-    per = (
-        per.withColumn("__h", F.collect_list(F.struct(F.col(BUCKET).alias("b"), "s", "w")).over(near))
-        .withColumn("__cn", F.coalesce(F.sum("n").over(far), F.lit(0)))
-        .select(*keys, BUCKET, decayed("s").alias("__cs"), decayed("w").alias("__cw"), "__cn")
-    )
+    kinds = dict(p.select(*keys).dtypes)
+    ddl = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"{BUCKET} bigint, __cs double, __cw double, __cn bigint"
+    per = ordered_fold(per.select(*keys, BUCKET, *[F.col(c).cast(t).alias(c) for c, t in (("s", "double"), ("w", "double"), ("n", "bigint"))]), keys, [BUCKET], lambda key: _Decay(width / hl), ddl)
     out = p.withColumns(sums).join(per, [*keys, BUCKET], "left")
     s = F.coalesce("__ls", F.lit(0.0)) + F.col("__cs")
     w = F.coalesce("__lw", F.lit(0.0)) + F.col("__cw")

@@ -281,6 +281,8 @@ def range_join(
     if how == "inner":
         return inner
     if how in ("left_semi", "left_anti"):
-        pc = points.columns
-        return points.join(inner.select(*pc).distinct(), pc, how)
+        # null-safe on every column: a null in a column that is not a key must not hide a hit
+        found = inner.select(*[F.col(c).alias(f"__hit_{c}") for c in points.columns]).distinct()
+        same = [points[c].eqNullSafe(found[f"__hit_{c}"]) for c in points.columns]
+        return points.join(found, same, how)
     raise ValueError(f"unsupported range join kind {how!r}")

@@ -40,13 +40,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _scratch: dict[str, str] = {}
+_written: list[str] = []
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a fresh local one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         _scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -61,5 +65,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/lobspark-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_intermediates(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has stored so far. Call it once no result that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n

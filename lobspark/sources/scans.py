@@ -228,7 +228,8 @@ def _scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         raise ValueError(f"{path}: header lacks {missing}; it has {head}")
     by_name = {f.name: f for f in schema}
     full = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in head])
-    raw = spark.read.option("sep", ";").option("header", True).option("mode", "FAILFAST").schema(full).csv(path)
+    # every file's own header is compared with the first one's: a file with another column order fails, it is not misread
+    raw = spark.read.option("sep", ";").option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(full).csv(path)
     return raw.select(
         F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("file"), *[f.name for f in schema]
     )

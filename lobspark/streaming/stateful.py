@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lobspark.operators import kernels as K
-from lobspark.operators.bars import BarClock
+from lobspark.session import DAY_NS
+from lobspark.operators.bars import OpenBar, assign_bars, close_day
 
 FLUSH = 9
 
@@ -109,13 +110,14 @@ def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, wate
         flush = bool((pdf["kind"] == FLUSH).any())
         out = buf.take(pdf, watermark_ns)
         if buf.engine is None:
-            buf.engine = BarClock(threshold, False, cap_ns, int(key[1]))
+            buf.engine = OpenBar(0, int(key[1]))
         closed = []
         if out is not None:
             n = out["price"].to_numpy(float) * out["quantity"].to_numpy(float)
-            closed += buf.engine.feed(out["ts"].to_numpy(np.int64), n)[2]
+            buf.engine, _, _, closed = assign_bars(buf.engine, out["ts"].to_numpy(np.int64), n, threshold, cap_ns)
         if flush:
-            closed += buf.engine.finish()
+            closed += close_day(buf.engine, int(key[1]) + DAY_NS, cap_ns)
+            buf.engine = OpenBar(buf.engine.number + len(closed), int(key[1]) + DAY_NS)
         state.update((pickle.dumps(buf),))
         if closed:
             idx, start, why, fire, acc = (list(x) for x in zip(*closed))

@@ -12,19 +12,17 @@ from pyspark.sql import functions as F
 from lobspark.functions.normal import norm_cdf, norm_ppf
 from lobspark.operators import cv
 from lobspark.operators import labels as L
-from lobspark.operators.bars import BarClock
+from lobspark.operators.bars import OpenBar, assign_bars, close_day
 from lobspark.operators.contracts import check_matrix
 from lobspark.operators.ordered import islands, running
 from lobspark.operators.stats import quantiles
 
 
 def test_bar_clock_threshold_caps_and_residual():
-    c = BarClock(threshold=10.0, warmup=False, cap_ns=100, open_ns=0)
-    c.end = 400
-    bar, first, closed = c.feed(np.array([10, 20, 120, 130]), np.array([4.0, 6.0, 3.0, 1.0]))
+    state, bar, first, closed = assign_bars(OpenBar(0, 0), np.array([10, 20, 120, 130]), np.array([4.0, 6.0, 3.0, 1.0]), 10.0, 100)
     assert closed == [(0, 0, "threshold", None, 10.0), (1, 20, "time_cap", 120, 0.0)]  # at the deadline: next bar
     assert bar.tolist() == [0, 0, 2, 2] and first.tolist() == [True, False, True, False]
-    assert c.finish() == [(2, 120, "time_cap", 220, 4.0), (3, 220, "time_cap", 320, 0.0)]
+    assert close_day(state, 400, 100) == [(2, 120, "time_cap", 220, 4.0), (3, 220, "time_cap", 320, 0.0)]
 
 
 def test_two_phase_scans_equal_pandas(spark):
@@ -126,3 +124,42 @@ def test_query_equals_sql(spark, name):
 def test_every_sql_has_a_query():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_bars_do_not_depend_on_how_trades_are_cut():
+    rng = np.random.default_rng(3)
+    ts, notional = np.sort(rng.integers(0, 5000, 400)), rng.random(400) * 5
+    whole = assign_bars(OpenBar(0, 0), ts, notional, 20.0, 90)
+    state, closed = OpenBar(0, 0), []
+    for part in np.array_split(np.arange(400), 7):
+        state, _, _, more = assign_bars(state, ts[part], notional[part], 20.0, 90)
+        closed += more
+    assert closed == whole[3] and state == whole[0]
+
+
+def test_ewma_carry_reaches_back_over_all_buckets(spark):
+    from lobspark.operators.labels import ewma_vol
+
+    rows = [("a", t * 10, 100.0 if t == 0 else 101.0) for t in range(2000)]  # one early move, then flat
+    path = spark.createDataFrame(rows, "symbol string, ts long, mid double")
+    got = [ewma_vol(path, ["symbol"], 100, width=w).orderBy("ts").toPandas()["vol_bps"].to_numpy() for w in (400, 6400)]
+    assert np.allclose(got[0][1:], got[1][1:], rtol=1e-9, atol=0) and (got[0][1:] > 0).all()
+
+
+def test_range_join_semi_and_anti_with_nulls(spark):
+    from lobspark.operators.ordered import range_join
+
+    p = spark.createDataFrame([("a", 1, 2, None), ("a", 50, 51, None), ("a", 3, 4, 7)], "k string, lo long, hi long, extra long")
+    s = spark.createDataFrame([("a", 0, 10)], "k string, s long, e long")
+    kw = dict(point_lo="lo", point_hi="hi", span_lo="s", span_hi="e", width=5)
+    assert {r["lo"] for r in range_join(p, s, ["k"], how="left_semi", **kw).collect()} == {1, 3}
+    assert {r["lo"] for r in range_join(p, s, ["k"], how="left_anti", **kw).collect()} == {50}
+
+
+def test_book_carries_a_column_named_side(spark):
+    from lobspark.operators.book import book_asof
+
+    d = spark.createDataFrame([("a", 1, 1, "bid", 100, 2.0), ("a", 2, 2, "ask", 102, 3.0)], "symbol string, origin_ns long, seq long, side string, tick long, size double")
+    q = spark.createDataFrame([("a", 5, "sell")], "symbol string, sample_ts long, side string")
+    r = book_asof(d, q, k=1, carry={"side": "string"}).collect()[0]
+    assert (r["side"], r["bid_depth"], r["ask_depth"]) == ("sell", 1, 1)
