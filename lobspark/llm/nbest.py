@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lobspark.llm.common import chunks
 from lobspark.llm.packing import vocabulary
@@ -210,7 +211,7 @@ def decode(df: DataFrame, column: str = "ids", path: str | None = None) -> DataF
             out = [None if ids is None else b"".join(map(pieces.text.__getitem__, ids))[1:] for ids in b[column].to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "binary"))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def encode_digests(docs: DataFrame, most: int = 4, carry: list[str] | None = None, path: str | None = None) -> DataFrame:

@@ -159,7 +159,7 @@ def test_nbest_of_a_text_against_its_words():
 def test_license_templates():
     autos = [licenses.compile_template(*t) for t in licenses.TEMPLATES]
     scan = lambda s: licenses.scan_text(s.encode(), autos)
-    assert scan("This work is licensed under the GNU General Public License, version 3.")[3] == [("gnu-gpl", 0, 11)]
+    assert scan("This work is licensed under the GNU General Public License, version 3.")[3] == [("gnu-gpl", 0, 12)]
     assert scan("released under the terms of the MIT License")[3] == [("mit", 0, 8)]
     assert scan("under the very MIT License")[3] == [] and scan("")[0] == 0
     n, places, base, accepted = scan("Licensed under CC BY-NC 4.0. CC BY")
