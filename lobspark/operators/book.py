@@ -17,11 +17,14 @@ from pyspark.sql.window import Window as W
 
 from lobspark.operators import kernels as K
 from lobspark.operators.folds import ordered_fold
-from lobspark.operators.ordered import BUCKET, bucket_of, shift
-from lobspark.session import DAY_NS
+from lobspark.operators.ordered import BUCKET, balanced_bucket_width, bucket_of, shift
+from lobspark.session import DAY_NS, HOUR_NS
 
 PRICE_SCALE = 100
 
+#: Events of one key that a task folds, where the caller names no bucket width.
+MAX_BUCKET_EVENTS = 4_000_000
+
 
 # ------------------------------------------------------------------ relational forms
 def merge_events(deltas: DataFrame, trades: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def merge_events(deltas: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def level_intervals(
-    deltas: DataFrame, keys: Sequence[str] = ("symbol",), *, ts: str = "origin_ns", width: int = DAY_NS
+    deltas: DataFrame, keys: Sequence[str] = ("symbol",), *, ts: str = "origin_ns", width: int = HOUR_NS
 ) -> DataFrame:
     """Rows ``[valid_from, valid_to)`` with the size of a level; ``valid_to`` null = still live."""
     lv = shift(
@@ -59,7 +62,7 @@ def book_at_instant(
 
 
 def seq_anomalies(
-    deltas: DataFrame, keys: Sequence[str] = ("symbol",), *, ts: str = "origin_ns", width: int = DAY_NS
+    deltas: DataFrame, keys: Sequence[str] = ("symbol",), *, ts: str = "origin_ns", width: int = HOUR_NS
 ) -> DataFrame:
     """Rows whose sequence number does not increase past the previously applied delta."""
     out = shift(deltas, keys, [ts, "pos"], {"prev_seq": F.col("seq")}, width=width)
@@ -199,15 +202,17 @@ def book_asof(
     probe_ts: str = "sample_ts",
     probe_seq: str | None = None,
     carry: Mapping[str, str] | None = None,
-    width: int = DAY_NS,
+    width: int | None = None,
     scale: float = PRICE_SCALE,
 ) -> DataFrame:
     """Top-``k`` book each probe sees (events with ``ts <= probe_ts`` applied, ties included).
 
     Returns ``keys, probe_ts, [probe_seq], carry…, mid, microprice, {bid,ask}_depth`` and the wide
-    level columns; a missing level is null. ``carry`` maps extra probe columns to their types.
+    level columns; a missing level is null. ``carry`` maps extra probe columns to their types. ``width`` is the time
+    bucket one task folds; unset, the widest that keeps a key's bucket within ``MAX_BUCKET_EVENTS``.
     """
     # carried columns get a name of their own inside the fold, so that a probe's side is not taken for the book's
+    width = width or balanced_bucket_width(deltas, list(keys), ts, MAX_BUCKET_EVENTS)
     carried = {c: f"__c_{c}" for c in carry or {}}
     carry = {carried[c]: t for c, t in (carry or {}).items()}
     p = probes.select(
@@ -245,10 +250,11 @@ def quote_path(
     *,
     keys: Sequence[str] = ("symbol",),
     ts: str = "origin_ns",
-    width: int = DAY_NS,
+    width: int | None = None,
     scale: float = PRICE_SCALE,
 ) -> DataFrame:
     """Best bid and ask after every delta: ``keys, ts, seq, best_bid, best_ask`` (null = no side)."""
+    width = width or balanced_bucket_width(deltas, list(keys), ts, MAX_BUCKET_EVENTS)
     stream = _stream(deltas, None, list(keys), ts, width, {})
     schema = f"{_key_ddl(deltas, keys)}{BUCKET} bigint, ts bigint, seq bigint, best_bid double, best_ask double"
     out = ordered_fold(
@@ -328,7 +334,7 @@ def day_of(ts: str | Column) -> Column:
     return F.to_date(F.timestamp_micros(F.floor(c / 1000).cast("bigint")))
 
 
-def open_points(deltas: DataFrame, days: DataFrame, *, width: int = DAY_NS) -> DataFrame:
+def open_points(deltas: DataFrame, days: DataFrame, *, width: int | None = None) -> DataFrame:
     """Touch as of each day open: ``symbol, dt, ts, best_bid, best_ask``."""
     opens = days.select("symbol", "dt", day_open().alias("ts"))
     at = book_asof(deltas, opens, k=1, probe_ts="ts", carry={"dt": "date"}, width=width)

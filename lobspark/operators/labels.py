@@ -97,6 +97,22 @@ def coverage_gate(anchors: DataFrame, keys: Sequence[str], max_horizon_ns: int,
     )
 
 
+def first_hits(mid: np.ndarray, lo: np.ndarray, hi: np.ndarray, p0: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """First index in ``[lo, hi)`` whose return against ``p0`` reaches the width, for all anchors at once; -1 for none."""
+    found, at, step = np.full(len(lo), -1, np.int64), lo.astype(np.int64), 8
+    left = np.flatnonzero(lo < hi)
+    while len(left):
+        idx = at[left, None] + np.arange(step)
+        ret = (mid[np.minimum(idx, len(mid) - 1)] - p0[left, None]) / p0[left, None] * 1e4
+        hit = (np.abs(ret) >= width[left, None]) & (idx < hi[left, None])
+        any_ = hit.any(axis=1)
+        found[left[any_]] = idx[any_, hit[any_].argmax(axis=1)]
+        at[left] += step
+        left = left[~any_ & (at[left] < hi[left])]
+        step = max(8, min(2 * step, (1 << 20) // max(1, len(left))))
+    return found
+
+
 class _BarrierScan:
     """Path of one bucket (plus one horizon of look-ahead), then its anchors, batch by batch."""
 
@@ -118,14 +134,12 @@ class _BarrierScan:
         p0, w = a["mid"].to_numpy(float), a["width_bps"].to_numpy(float)
         lo, hi = np.searchsorted(self.ts, t, side="right"), np.searchsorted(self.ts, t + h, side="right")
         y, lab, at = np.zeros(len(a)), np.zeros(len(a), np.int64), t + h
-        for i in range(len(a)):
-            ret = (self.mid[lo[i] : hi[i]] - p0[i]) / p0[i] * 1e4
-            hit = np.flatnonzero(np.abs(ret) >= w[i])
-            if len(hit):
-                j = hit[0]
-                y[i], lab[i], at[i] = ret[j], (1 if ret[j] > 0 else -1), self.ts[lo[i] + j]
-            elif len(ret):
-                y[i] = ret[-1]
+        hit = first_hits(self.mid, lo, hi, p0, w)
+        last = np.flatnonzero((hit < 0) & (hi > lo))
+        y[last] = (self.mid[hi[last] - 1] - p0[last]) / p0[last] * 1e4
+        won = np.flatnonzero(hit >= 0)
+        y[won] = (self.mid[hit[won]] - p0[won]) / p0[won] * 1e4
+        lab[won], at[won] = np.where(y[won] > 0, 1, -1), self.ts[hit[won]]
         out = a[["ts", "horizon"]].rename(columns={"ts": "t_event"}).reset_index(drop=True)
         out["y_fwd_bps"], out["label"], out["t_barrier"], out["p0"], out["width_bps"] = y, lab, at, p0, w
         return out

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lobspark.session import DAY_NS
+from lobspark.session import DAY_NS, HOUR_NS
 
 BUCKET = "__bucket"
 
@@ -71,7 +71,7 @@ def running(
     order: Sequence[str],
     aggs: Mapping[str, tuple[str, Column]],
     *,
-    width: int = DAY_NS,
+    width: int = HOUR_NS,
     inclusive: bool = True,
     reverse: bool = False,
 ) -> DataFrame:
@@ -135,7 +135,7 @@ def shift(
     order: Sequence[str],
     cols: Mapping[str, Column],
     *,
-    width: int = DAY_NS,
+    width: int = HOUR_NS,
     lead: bool = False,
 ) -> DataFrame:
     """``lag`` (or ``lead``) by one row across bucket borders; outputs named by ``cols``."""
@@ -164,7 +164,7 @@ def islands(
     order: Sequence[str],
     state: Sequence[Column],
     *,
-    width: int = DAY_NS,
+    width: int = HOUR_NS,
     name: str = "island",
 ) -> DataFrame:
     """Number maximal runs of rows with equal (null-safe) ``state``, counting from 0 per key.
@@ -195,7 +195,7 @@ def islands(
 
 
 def rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, width: int = DAY_NS, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, width: int = HOUR_NS, name: str = "rn"
 ) -> DataFrame:
     """1-based row number per key in a total order, without a single-task window."""
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, width=width)
@@ -210,7 +210,7 @@ def asof(
     right_ts: str,
     right_order: Sequence[str] = (),
     cols: Mapping[str, Column],
-    width: int = DAY_NS,
+    width: int = HOUR_NS,
     strict: bool = False,
 ) -> DataFrame:
     """Backward as-of join: each left row gets the last right row with ``right_ts <= left_ts``.

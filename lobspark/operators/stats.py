@@ -11,9 +11,8 @@ from lobspark.operators.ordered import running
 from lobspark.session import materialize
 
 
-def _monotone_bucket(v: Column) -> Column:
-    """Coarse BIGINT that never decreases with the value (about 32 buckets per factor of e)."""
-    return F.floor(F.asinh(v * 1e6) * 32).cast("bigint")
+#: Value ranges into which each group's distinct values are cut.
+PARTS = 64
 
 
 def quantiles(
@@ -24,8 +23,9 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolated exact quantiles per key, wide: one ``{value}_{prob}`` column each.
 
-    Values are counted first (map-side combine), then ranked with the two-phase running sum, so no
-    task holds a group. Null and NaN values are ignored.
+    Values are counted first (map-side combine), then ranked with the two-phase running sum over value ranges cut at
+    approximate quantiles of the group's own distinct values: no task holds a group, however close its values
+    are. The cuts only place rows, ranks are exact. Null and NaN values are ignored.
     """
     keys = list(keys)
     if not keys:
@@ -42,11 +42,12 @@ def quantiles(
         long.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*keys, "__m", "__v")
         .agg(F.count("*").alias("__n"))
-        .withColumn("__b", _monotone_bucket(F.col("__v")))
     )
-    cum = running(counts, [*keys, "__m"], ["__b", "__v"], {"__cum": ("sum", F.col("__n"))}, width=16)
-    total = counts.groupBy(*keys, "__m").agg(F.sum("__n").alias("__tot"))
-    both = cum.join(total, [*keys, "__m"])
+    cuts = F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
+    groups = counts.groupBy(*keys, "__m").agg(cuts.alias("__cuts"), F.sum("__n").alias("__tot"))
+    part = F.size(F.filter("__cuts", lambda e: e <= F.col("__v"))).cast("bigint")
+    placed = counts.join(groups, [*keys, "__m"]).withColumn("__b", part).drop("__cuts")
+    both = running(placed, [*keys, "__m"], ["__b", "__v"], {"__cum": ("sum", F.col("__n"))}, width=1)
     before = F.col("__cum") - F.col("__n")
 
     def at(rank: Column) -> Column:

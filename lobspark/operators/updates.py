@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lobspark.operators.ordered import running, shift
+from lobspark.session import materialize
 
 ID_WIDTH = 1_000_000
 
+# Verdicts that break a chain.
+FAILING = ("conflicting_duplicate", "seed_anchor_gap", "incompatible_overlap", "sequence_gap")
+
 
 def group_update_events(rows: DataFrame) -> DataFrame:
     """Level rows to events after dropping identical rows, with the first contract breach as ``issue``.
@@ -46,8 +50,9 @@ def check_id_continuity(events: DataFrame, market: str, width: int = ID_WIDTH) -
     """Verdict per event in ``(order_id, kind)`` order; a snapshot re-arms the anchor rule.
 
     Verdicts: snapshot, stale_snapshot, pre_snapshot, duplicate, conflicting_duplicate, anchor,
-    seed_anchor_gap, applied, incompatible_overlap, sequence_gap. A chain is sound when no event has
-    one of the failing verdicts; after a failure later verdicts describe the chain as if it resumed.
+    seed_anchor_gap, applied, incompatible_overlap, sequence_gap. ``epoch`` is the id of the last accepted
+    snapshot; ``chain_ok`` turns false at the first failing verdict and stays so until the next snapshot (the
+    verdicts in between describe the chain as if it resumed).
     """
     if market not in ("futures", "spot"):
         raise ValueError("market must be futures or spot")
@@ -84,24 +89,30 @@ def check_id_continuity(events: DataFrame, market: str, width: int = ID_WIDTH) -
         .when(chain_ok, "applied")
         .otherwise("sequence_gap")
     )
-    return x.withColumn("verdict", verdict).select(*events.columns, "verdict")
+    x = x.withColumn("verdict", verdict)
+    snapshot = c("verdict") == "snapshot"
+    state = {"epoch": ("last", F.when(snapshot, c("order_id"))), "__broken": ("last", F.when(c("verdict").isin(*FAILING), True).when(snapshot, False))}
+    x = running(x, ["symbol"], order, state, width=width)
+    return x.select(*events.columns, "verdict", "epoch", (~F.coalesce("__broken", F.lit(False))).alias("chain_ok"))
 
 
 def replay_deltas(rows: DataFrame, checked: DataFrame) -> DataFrame:
-    """Applied events as a level-2 delta stream; a snapshot first removes every level of its symbol.
+    """Applied events as a level-2 delta stream; a snapshot, or the break of a chain, first removes the book's levels.
 
     The removals are the levels touched since the previous snapshot, so the stream feeds the ordinary
-    book fold with no special reset case.
+    book fold with no special reset case. Nothing is applied between a break and the next snapshot: the book is empty there.
     """
-    ok = checked.filter(F.col("verdict").isin("snapshot", "anchor", "applied")).select("symbol", "order_id", "kind", "event_time")
+    event = ["symbol", "order_id", "kind", "event_time"]
+    ok = checked.filter(F.col("verdict").isin("snapshot", "anchor", "applied") & F.col("chain_ok")).select(*event, "epoch").dropDuplicates(event)
     r = rows.dropDuplicates().withColumns(
         {"kind": F.when(F.col("event_type") == "update", 0).otherwise(1).cast("bigint"), "order_id": F.when(F.col("event_type") == "update", F.col("final_id")).otherwise(F.col("last_id"))}
     )
-    lv = r.join(ok, ["symbol", "order_id", "kind", "event_time"], "left_semi").select("symbol", "order_id", "kind", "event_time", "side", "tick", "size")
-    touched = lv.select("symbol", "side", "tick", F.col("order_id").alias("__o"), F.col("kind").alias("__k")).distinct()
-    snaps = ok.filter("kind = 1").select("symbol", "order_id", "event_time")
-    prior = snaps.join(touched, "symbol").filter(F.struct("__o", "__k") < F.struct(F.col("order_id"), F.lit(1).cast("bigint")))
-    wipe = prior.select("symbol", "order_id", F.lit(1).cast("bigint").alias("kind"), "event_time", "side", "tick").distinct()
-    wipe = wipe.join(lv.select("symbol", "order_id", "kind", "side", "tick"), ["symbol", "order_id", "kind", "side", "tick"], "left_anti").withColumn("size", F.lit(0.0))
-    out = lv.unionByName(wipe)
+    lv = materialize(r.join(ok, event).select(*event, "side", "tick", "size", "epoch"))
+    touched = lv.select("symbol", "epoch", "side", "tick").distinct()
+    snaps = shift(ok.filter("kind = 1").drop("epoch"), ["symbol"], ["order_id"], {"epoch": F.col("order_id")}, width=ID_WIDTH).filter("epoch IS NOT NULL")
+    first = F.min(F.struct("order_id", "kind", "event_time")).alias("at")
+    breaks = checked.filter("NOT chain_ok AND epoch IS NOT NULL").groupBy("symbol", "epoch").agg(first).select("symbol", "epoch", "at.*")
+    wipe = touched.join(snaps.unionByName(breaks), ["symbol", "epoch"]).select(*event, "side", "tick")
+    wipe = wipe.join(lv, ["symbol", "order_id", "kind", "side", "tick"], "left_anti").withColumn("size", F.lit(0.0))
+    out = lv.drop("epoch").unionByName(wipe)
     return out.select("symbol", F.col("event_time").alias("origin_ns"), (F.col("order_id") * 2 + F.col("kind")).alias("seq"), "side", "tick", "size")

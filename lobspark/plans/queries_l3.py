@@ -119,7 +119,7 @@ TOP = ["bid_0_price", "bid_0_size", "ask_0_price", "ask_0_size", "bid_1_price",
 
 def l3_top(t: Tables):
     l2 = materialize(l2_timed(t).withColumnRenamed("label_ns", "origin_ns"))
-    syms = t.spark.createDataFrame([("S0",), ("S1",)], "symbol string")
+    syms = l2.select("symbol").distinct()
     g = B.grid(syms.withColumn("dt", F.to_date(F.lit("2024-01-01"))), H)
     return B.book_asof(l2, g, k=2, width=6 * H)
 

@@ -1,7 +1,9 @@
-"""Streaming queries: the events file as a stream, drained once, results kept as a table."""
+"""Streaming queries: the events file as a stream, ended by a control stream, results kept as a table."""
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lobspark.plans.queries_book import LEVELS
@@ -10,37 +12,73 @@ from lobspark.plans.tables import Tables, sql
 from lobspark.session import DAY_NS, HOUR_NS, _shared_folder
 from lobspark.streaming.stateful import FLUSH, stream_book_at_trades, stream_dollar_bars
 
+WM_NS = 1_000_000_000
+BAR_THRESHOLD, BAR_CAP_NS = 27_000.0, 2 * HOUR_NS
 
-def drain(t: Tables, stream):
-    """Run a streaming DataFrame to completion (available now) and return its output as a table."""
-    base = f"{_shared_folder(t.spark)}/lobspark-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
+def drain(data: DataFrame, ends: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``build(data)`` over all that the stream holds, then end every key of ``ends``, and return the output as a table.
 
-def source(t: Tables):
-    schema = t.raw("events").schema
-    e = t.spark.readStream.schema(schema).parquet(f"{t.path}/event[s].parquet")
+    The ends come through a second source that stays empty until the first run is over, so no key ends before its
+    last event, whatever the micro-batches are.
+    """
+    spark = data.sparkSession
+    base = f"{_shared_folder(spark)}/lobspark-{uuid.uuid4().hex}"
+    spark.createDataFrame([], data.schema).write.parquet(f"{base}/ends")
+    stream = build(data.unionByName(spark.readStream.schema(data.schema).parquet(f"{base}/ends")))
+
+    def run() -> None:
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    # no nulls in BIGINT columns: pandas would turn them into floats
+    known = {f.name: F.lit(0 if f.dataType.simpleString() == "bigint" else None).cast(f.dataType) for f in data.schema}
+    known |= {"kind": F.lit(FLUSH).cast("bigint")} | {c: F.col(c) for c in ends.columns}
+    ends.select(*[known[f.name].alias(f.name) for f in data.schema]).write.mode("append").parquet(f"{base}/ends")
+    run()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def mapped(events: DataFrame) -> DataFrame:
     ts = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return e.select("event_id", "event_type", "user_id", "value", ts.alias("ns"), F.concat(F.lit("S"), (F.col("user_id") % 2).cast("string")).alias("symbol"))
+    return events.select("event_id", "event_type", "user_id", "value", ts.alias("ns"), F.concat(F.lit("S"), (F.col("user_id") % 2).cast("string")).alias("symbol"))
 
 
-def market(t: Tables):
-    """Deltas and trades in one stream plus one drain marker per symbol (from its first event)."""
-    e = source(t)
+def source(t: Tables) -> DataFrame:
+    return t.spark.readStream.schema(t.raw("events").schema).parquet(f"{t.path}/event[s].parquet")
+
+
+def market(events: DataFrame, arrival: str = "event_id") -> DataFrame:
+    """Deltas and trades in one stream."""
     trade = F.col("event_type").isin("purchase", "signup")
     bid = (F.col("event_type") == "view") | ((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0))
     buy = F.col("event_type") == "purchase"
     tick = 10000 + (1 + F.col("user_id") % 10) * F.when(bid, -1).otherwise(1)
-    row = F.struct(
-        F.col("ns").alias("ts"), F.when(trade, 1).otherwise(0).cast("bigint").alias("kind"), F.col("event_id").alias("seq"), F.col("event_id").alias("arrival"),
+    return mapped(events).select(
+        "symbol", F.col("ns").alias("ts"), F.when(trade, 1).otherwise(0).cast("bigint").alias("kind"), F.col("event_id").alias("seq"), F.expr(arrival).cast("bigint").alias("arrival"),
         F.when(trade, F.when(buy, "buy").otherwise("sell")).otherwise(F.when(bid, "bid").otherwise("ask")).alias("side"),
         tick.cast("bigint").alias("tick"), F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("amount"),
     )
-    end = row.withField("kind", F.lit(FLUSH).cast("bigint"))
-    rows = F.when(F.col("event_id") % 50 == 0, F.array(row, end)).otherwise(F.array(row))
-    return e.withColumn("x", F.explode(rows)).select("symbol", "x.*")
+
+
+def priced(events: DataFrame) -> DataFrame:
+    """Trades of every symbol-day."""
+    e = mapped(events).filter(F.col("event_type").isin("purchase", "signup"))
+    return e.select(
+        "symbol", F.expr(f"(ns div {DAY_NS}L) * {DAY_NS}L").alias("day_ns"), F.col("ns").alias("ts"), F.lit(1).cast("bigint").alias("kind"), F.col("event_id").alias("seq"), F.col("event_id").alias("arrival"),
+        (F.lit(100.0) + (F.col("event_id") % 21 - 10) / 100.0).alias("price"), F.col("value").alias("quantity"),
+    )
+
+
+def book_stream(data: DataFrame, events: DataFrame, k: int = 2) -> DataFrame:
+    """Book at trades over a stream ``data`` of ``market`` rows; ``events`` is the same input as a table."""
+    return drain(data, mapped(events).select("symbol").distinct(), lambda d: stream_book_at_trades(d, k=k, watermark_ns=WM_NS))
+
+
+def bar_stream(data: DataFrame, events: DataFrame) -> DataFrame:
+    """Bars over a stream ``data`` of ``priced`` rows; ``events`` is the same input as a table."""
+    days = priced(events).select("symbol", "day_ns").distinct().withColumn("ts", F.col("day_ns") + DAY_NS + 1_000_000)
+    return drain(data, days, lambda d: stream_dollar_bars(d, threshold=BAR_THRESHOLD, cap_ns=BAR_CAP_NS, watermark_ns=WM_NS))
 
 
 @query(
@@ -48,20 +86,23 @@ def market(t: Tables):
     sql("SELECT t.symbol, t.origin_ns ts, t.seq, t.side, t.quantity amount, 0::BIGINT late_count, " + ", ".join(LEVELS) + " FROM book_at_trades_v b JOIN trades_v t USING (symbol, origin_ns)", "book_at_trades_v", "trades_v"),
 )
 def book_at_trades(t: Tables):
-    return drain(t, stream_book_at_trades(market(t), k=2, watermark_ns=1_000_000_000))
+    return book_stream(market(source(t)), t.raw("events"))
 
 
 @query("stream_dollar_bars")
 def dollar_bars(t: Tables):
-    e = source(t).filter(F.col("event_type").isin("purchase", "signup"))
-    row = F.struct(F.col("ns").alias("ts"), F.lit(1).cast("bigint").alias("kind"), F.col("event_id").alias("seq"), F.col("event_id").alias("arrival"),
-                   (F.lit(100.0) + (F.col("event_id") % 21 - 10) / 100.0).alias("price"), F.col("value").alias("quantity"))
-    end = row.withField("kind", F.lit(FLUSH).cast("bigint"))
-    x = e.withColumn("x", F.explode(F.when(F.lit(True), F.array(row, end)))).select("symbol", F.expr(f"(ns div {DAY_NS}L) * {DAY_NS}L").alias("day_ns"), "x.*")
-    return drain(t, stream_dollar_bars(x, threshold=27_000.0, cap_ns=2 * HOUR_NS, watermark_ns=1_000_000_000))
+    return bar_stream(priced(source(t)), t.raw("events"))
 
 
-@query("late_event_count", sql("SELECT symbol, 0::BIGINT late_count, count(*) n_trades FROM trades_v GROUP BY 1", "trades_v"))
+@query(
+    "late_event_count",
+    """WITH e AS (SELECT 'S' || (user_id % 2) symbol, epoch_us(CAST(ts AS TIMESTAMP)) * 1000 ns, event_type IN ('purchase', 'signup') trade, event_id * 2 + CASE WHEN event_id % 97 = 0 THEN 81 ELSE 0 END arrival FROM events),
+         l AS (SELECT *, coalesce(ns <= max(ns) OVER (PARTITION BY symbol ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000000000, false) late FROM e),
+         c AS (SELECT *, sum(late::INT) OVER (PARTITION BY symbol ORDER BY arrival) n FROM l)
+       SELECT symbol, max(n)::BIGINT late_count, count(*) n_trades FROM c WHERE trade AND NOT late GROUP BY 1""",
+)
 def late_event_count(t: Tables):
-    out = drain(t, stream_book_at_trades(market(t), k=1, watermark_ns=1_000_000_000))
+    """Every 97th event arrives forty events late."""
+    arrival = "event_id * 2 + CASE WHEN event_id % 97 = 0 THEN 81 ELSE 0 END"
+    out = book_stream(market(source(t), arrival), t.raw("events"), k=1)
     return out.groupBy("symbol").agg(F.max("late_count").alias("late_count"), F.count("*").alias("n_trades"))

@@ -2,8 +2,10 @@
 
 Per key the state holds the events inside the watermark, the book (or open bar) and a late counter.
 The per-event rule is applied to arrival order: an event at or behind ``max seen − watermark`` is
-dropped and counted, everything else is released in total order ``(ts, kind, seq)``. A row with
-``kind = 9`` drains its key (end of day or of the replay).
+dropped and counted, everything else is released in total order ``(ts, kind, seq)``. Results do not
+depend on how the input is cut into micro-batches. A row with ``kind = 9`` ends its key (end of a
+replay): the buffer is drained and the state removed. A bar day also ends by an event-time timer, once
+the stream's own watermark, ``idle_ns`` behind the newest event of any key, has passed the day's end.
 """
 
 from __future__ import annotations
@@ -14,37 +16,41 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lobspark.operators import kernels as K
-from lobspark.session import DAY_NS
 from lobspark.operators.bars import OpenBar, assign_bars, close_day
+from lobspark.session import DAY_NS
 
 FLUSH = 9
 
 
-def admit(pdf: pd.DataFrame, seen: int | None, wm: int) -> tuple[pd.DataFrame, int | None, int]:
-    """Apply the late rule in arrival order; returns admitted rows, new maximum, dropped count."""
+def admit(pdf: pd.DataFrame, seen: int | None, wm: int, late_before: int = 0) -> tuple[pd.DataFrame, int | None, int]:
+    """Apply the late rule in arrival order; returns admitted rows, new maximum, dropped count.
+
+    Admitted rows get ``late``: how many events of the key had been dropped when they arrived.
+    """
     pdf = pdf.sort_values("arrival", kind="stable")
     ts = pdf["ts"].to_numpy(np.int64)
     low = np.iinfo(np.int64).min // 2
     before = np.maximum.accumulate(np.concatenate([[low if seen is None else seen], ts]))[:-1]
     late = ts <= before - wm
     # a late event never raises the maximum, so the running maximum over all events is the right one
-    kept = pdf[~late]
+    kept = pdf.assign(late=late_before + np.cumsum(late))[~late]
     top = int(max(before[-1], ts[-1])) if len(ts) else seen
     return kept, top, int(late.sum())
 
 
 class _Buffer:
     def __init__(self):
-        self.rows, self.seen, self.late, self.engine = None, None, 0, None
+        self.rows, self.seen, self.late, self.engine, self.open_late = None, None, 0, None, 0
 
-    def take(self, pdf: pd.DataFrame, wm: int) -> pd.DataFrame | None:
-        flush = bool((pdf["kind"] == FLUSH).any())
+    def take(self, pdf: pd.DataFrame, wm: int, end: bool = False) -> pd.DataFrame | None:
+        flush = end or bool((pdf["kind"] == FLUSH).any())
         pdf = pdf[pdf["kind"] != FLUSH]
         if len(pdf):
-            kept, self.seen, dropped = admit(pdf, self.seen, wm)
+            kept, self.seen, dropped = admit(pdf, self.seen, wm, self.late)
             self.late += dropped
             self.rows = kept if self.rows is None else pd.concat([self.rows, kept], ignore_index=True)
         if self.rows is None or not len(self.rows):
@@ -70,13 +76,16 @@ def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale
     schema = "symbol string, ts bigint, seq bigint, side string, amount double, late_count bigint, " + ", ".join(f"{c} double" for c in lv)
 
     def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        buf = _load(state)
-        out = buf.take(_whole(frames), watermark_ns)
+        buf, pdf = _load(state), _whole(frames)
+        out = buf.take(pdf, watermark_ns)
         if buf.engine is None:
             buf.engine = (K.Side(1), K.Side(-1))
         if out is not None:
             yield from _read(out, buf, key[0])
-        state.update((pickle.dumps(buf),))
+        if (pdf["kind"] == FLUSH).any():
+            state.remove()
+        else:
+            state.update((pickle.dumps(buf),))
 
     def _read(out, buf, symbol):
         bid_side, ask_side = buf.engine
@@ -86,7 +95,7 @@ def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale
         is_bid = (d["side"] == "bid").to_numpy()
         ep = np.arange(len(d))
         res = {"symbol": symbol, "ts": t["ts"].to_numpy(), "seq": t["seq"].to_numpy(), "side": t["side"].to_numpy(), "amount": t["amount"].to_numpy()}
-        res["late_count"] = buf.late
+        res["late_count"] = t["late"].to_numpy()
         for name, side, m in (("bid", bid_side, is_bid), ("ask", ask_side, ~is_bid)):
             blk = side.prepare(ep[m], d["tick"].to_numpy(np.int64)[m], d["amount"].to_numpy(float)[m])
             tk, sz, _ = blk.top(pos[~is_d], k)
@@ -100,34 +109,45 @@ def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale
     return events.groupBy("symbol").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int) -> DataFrame:
-    """Bars per (symbol, day_ns) from ``symbol, day_ns, ts, kind, seq, arrival, price, quantity``."""
+def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int, idle_ns: int = DAY_NS) -> DataFrame:
+    """Bars per (symbol, day_ns) from ``symbol, day_ns, ts, kind, seq, arrival, price, quantity``.
+
+    ``late_count`` of a bar is the late events seen when its last member arrived. ``idle_ns`` bounds how far one
+    symbol may trail the newest event of all; rows behind that are dropped by the engine, and state is kept no longer.
+    """
     schema = "symbol string, day_ns bigint, bar_idx bigint, interval_start bigint, close_reason string, cap_fire bigint, notional double, late_count bigint"
+    columns = ["ts", "kind", "seq", "arrival", "price", "quantity"]
 
     def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        buf = _load(state)
-        pdf = _whole(frames)
-        flush = bool((pdf["kind"] == FLUSH).any())
-        out = buf.take(pdf, watermark_ns)
+        buf, day_end = _load(state), int(key[1]) + DAY_NS
+        over = state.hasTimedOut
+        pdf = pd.DataFrame({c: [] for c in columns}) if over else _whole(frames)
+        over = over or bool((pdf["kind"] == FLUSH).any())
+        out = buf.take(pdf, watermark_ns, end=over)
         if buf.engine is None:
             buf.engine = OpenBar(0, int(key[1]))
-        closed = []
+        closed, late = [], {buf.engine.number: buf.open_late}
         if out is not None:
             n = out["price"].to_numpy(float) * out["quantity"].to_numpy(float)
-            buf.engine, _, _, closed = assign_bars(buf.engine, out["ts"].to_numpy(np.int64), n, threshold, cap_ns)
-        if flush:
-            closed += close_day(buf.engine, int(key[1]) + DAY_NS, cap_ns)
-            buf.engine = OpenBar(buf.engine.number + len(closed), int(key[1]) + DAY_NS)
-        state.update((pickle.dumps(buf),))
+            buf.engine, number, _, closed = assign_bars(buf.engine, out["ts"].to_numpy(np.int64), n, threshold, cap_ns)
+            for i, top in out["late"].groupby(number).max().items():
+                late[i] = max(late.get(i, 0), int(top))
+            buf.open_late = late.get(buf.engine.number, 0)
+        if over:
+            closed += close_day(buf.engine, day_end, cap_ns)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps(buf),))
+            state.setTimeoutTimestamp(max(day_end // 1_000_000, state.getCurrentWatermarkMs() + 1))
         if closed:
             idx, start, why, fire, acc = (list(x) for x in zip(*closed))
             yield pd.DataFrame(
                 {
                     "symbol": key[0], "day_ns": key[1], "bar_idx": idx, "interval_start": start, "close_reason": why,
-                    "cap_fire": pd.array([pd.NA if f is None else f for f in fire], dtype="Int64"), "notional": acc, "late_count": buf.late,
+                    "cap_fire": pd.array([pd.NA if f is None else f for f in fire], dtype="Int64"), "notional": acc, "late_count": [late.get(i, 0) for i in idx],
                 }
             )
 
-    return trades.groupBy("symbol", "day_ns").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.NoTimeout)
-
-
+    timed = trades.withColumn("event_time", F.timestamp_micros(F.expr("ts div 1000L"))).withWatermark("event_time", f"{idle_ns // 1_000_000} milliseconds")
+    return timed.groupBy("symbol", "day_ns").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)

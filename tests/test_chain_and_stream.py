@@ -35,3 +35,20 @@ def test_futures_chain_verdicts(spark):
     g = U.group_update_events(spark.createDataFrame(ev, cols))
     out = {r.order_id: r.verdict for r in U.check_id_continuity(g, "futures").collect()}
     assert out == {5: "pre_snapshot", 10: "snapshot", 12: "anchor", 15: "applied", 20: "sequence_gap"}
+
+
+def test_broken_chain_empties_the_book_until_the_next_snapshot(spark):
+    cols = "symbol string, event_type string, event_time bigint, first_id bigint, final_id bigint, prev_id bigint, last_id bigint, side string, tick bigint, size double"
+    ev = [
+        ("A", "snapshot", 2, None, None, None, 10, "bid", 100, 1.0),
+        ("A", "update", 3, 9, 12, 8, None, "ask", 101, 2.0),
+        ("A", "update", 4, 15, 17, 14, None, "bid", 99, 2.0),
+        ("A", "update", 5, 18, 20, 17, None, "bid", 98, 2.0),
+        ("A", "snapshot", 6, None, None, None, 30, "bid", 97, 1.0),
+    ]
+    r = spark.createDataFrame(ev, cols)
+    checked = U.check_id_continuity(U.group_update_events(r), "futures")
+    assert {x.order_id: (x.epoch, x.chain_ok) for x in checked.collect()} == {10: (10, True), 12: (10, True), 17: (10, False), 20: (10, False), 30: (30, True)}
+    d = {(x.origin_ns, x.side, x.tick): x.size for x in U.replay_deltas(r, checked).collect()}
+    # the break removes both levels; so does, again, the snapshot after it
+    assert d == {(2, "bid", 100): 1.0, (3, "ask", 101): 2.0, (4, "bid", 100): 0.0, (4, "ask", 101): 0.0, (6, "bid", 100): 0.0, (6, "ask", 101): 0.0, (6, "bid", 97): 1.0}

@@ -163,3 +163,28 @@ def test_book_carries_a_column_named_side(spark):
     q = spark.createDataFrame([("a", 5, "sell")], "symbol string, sample_ts long, side string")
     r = book_asof(d, q, k=1, carry={"side": "string"}).collect()[0]
     assert (r["side"], r["bid_depth"], r["ask_depth"]) == ("sell", 1, 1)
+
+
+def test_quantiles_of_values_close_together_are_cut_into_many_ranges(spark):
+    import numpy as np
+
+    from lobspark.operators.stats import quantiles
+
+    v = 1e9 + np.random.default_rng(3).permutation(5000) * 0.25
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = quantiles(df, [], {"v": F.col("v")}, {"a": 0.0, "b": 0.37, "c": 0.995, "d": 1.0}).first()
+    assert np.allclose(list(got), np.quantile(v, [0.0, 0.37, 0.995, 1.0]), rtol=0, atol=1e-6)
+
+
+def test_first_crossings_match_a_plain_search():
+    import numpy as np
+
+    from lobspark.operators.labels import first_hits
+
+    g = np.random.default_rng(5)
+    mid = 100 + np.cumsum(g.normal(0, 0.02, 400))
+    lo = g.integers(0, 400, 200)
+    hi = np.minimum(400, lo + g.integers(0, 90, 200))
+    p0, w = mid[np.maximum(lo - 1, 0)], np.where(g.random(200) < 0.1, np.nan, g.uniform(0, 30, 200))
+    want = [next((j for j in range(a, b) if abs((mid[j] - p) / p * 1e4) >= x), -1) for a, b, p, x in zip(lo, hi, p0, w)]
+    assert first_hits(mid, lo, hi, p0, w).tolist() == want
