@@ -15,10 +15,10 @@ from lobspark.operators.ordered import rank
 from lobspark.session import DAY_NS
 
 
-def time_groups(rows: DataFrame, n_groups: int, keys: Sequence[str] = (), width: int = DAY_NS) -> DataFrame:
-    """``grp`` = floor(rank · n / N) by t_event (not ``ntile``)."""
+def time_groups(rows: DataFrame, n_groups: int, keys: Sequence[str] = (), width: int = DAY_NS, ties: Sequence[str] = ()) -> DataFrame:
+    """``grp`` = floor(rank · n / N) by t_event (not ``ntile``); rows of one instant are ordered by ``ties``."""
     keys = list(keys)
-    r = rank(rows, keys, ["t_event"], width=width, name="__rn")
+    r = rank(rows, keys, ["t_event", *ties], width=width, name="__rn")
     n = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     r = r.join(n, keys) if keys else r.crossJoin(F.broadcast(n))  # one count row per key
     return r.withColumn("grp", F.expr(f"((__rn - 1) * {n_groups}) div __n")).drop("__rn", "__n")
@@ -52,7 +52,9 @@ def cpcv_splits(
     The purge therefore needs only the group bounds (n_groups rows), no row-to-row join.
     """
     keys = list(keys)
-    g = time_groups(rows.select(*keys, "t_event", "t_barrier", *keep), n_groups, keys, width)
+    rest = [c for c in dict.fromkeys(["t_barrier", *keep]) if c not in (*keys, "t_event")]
+    # ordered by all columns: rows that still tie are equal, so groups do not depend on the run
+    g = time_groups(rows.select(*keys, "t_event", *rest), n_groups, keys, width, rest)
     bounds = g.groupBy(*keys, "grp").agg(F.min("t_event").alias("lo"), F.max("t_barrier").alias("hi"))
     per_key = bounds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("grp", "lo", "hi"))).alias("bounds"))
     g = g.join(per_key, keys) if keys else g.crossJoin(F.broadcast(per_key))  # one row of n_groups bounds
@@ -65,28 +67,31 @@ def cpcv_splits(
         | ((F.col("t_event") > b["hi"]) & (F.col("t_event") <= b["hi"] + embargo_ns)),
     )
     role = F.when(is_test, "test").when(meets, "purged").otherwise("train")
-    return x.select(*keys, "t_event", "t_barrier", *keep, "grp", F.col("__s.split").alias("split"), role.alias("role"))
+    return x.select(*keys, "t_event", *rest, "grp", F.col("__s.split").alias("split"), role.alias("role"))
 
 
 # ------------------------------------------------------------------ ridge
 def _gram_columns(x: Sequence[str], y: str, w: str) -> list:
-    cols = [F.sum(w).alias("sw"), F.sum(F.col(w) * F.col(y)).alias("swy")]
-    for i, a in enumerate(x):
-        cols.append(F.sum(F.col(w) * F.col(a)).alias(f"s{i}"))
-        cols.append(F.sum(F.col(w) * F.col(a) * F.col(y)).alias(f"y{i}"))
-        for j in range(i, len(x)):
-            cols.append(F.sum(F.col(w) * F.col(a) * F.col(x[j])).alias(f"g{i}_{j}"))
+    """Weighted sums of products of the centred columns."""
+    c = [F.col(a) - F.col(f"__m{i}") for i, a in enumerate(x)]
+    v, w = F.col(y) - F.col("__my"), F.col(w)
+    cols = [F.first("__my").alias("my"), *[F.first(f"__m{i}").alias(f"m{i}") for i in range(len(c))]]
+    for i, a in enumerate(c):
+        cols.append(F.sum(w * a * v).alias(f"y{i}"))
+        cols += [F.sum(w * a * c[j]).alias(f"g{i}_{j}") for j in range(i, len(c))]
     return cols
 
 
 def fit_ridge(train: DataFrame, keys: Sequence[str], x: Sequence[str], y: str = "y_fwd_bps", w: str = "uniqueness", alpha: float = 1.0) -> DataFrame:
-    """Weighted ridge with intercept for every key in one aggregation of Gram sums.
+    """Weighted ridge with intercept for every key: means first, then Gram sums of the centred columns.
 
-    The d × d solve runs on the one summary row of each key.
+    Columns of any size (nanoseconds) lose no digits that way. The d × d solve runs on the one summary row of each key.
     """
     keys, x = list(keys), list(x)
     d = len(x)
-    sums = train.groupBy(*keys).agg(F.count("*").alias("n"), *_gram_columns(x, y, w))
+    mean = {f"__m{i}": F.col(a) for i, a in enumerate(x)} | {"__my": F.col(y)}
+    means = train.groupBy(*keys).agg(*[(F.sum(F.col(w) * v) / F.sum(w)).alias(n) for n, v in mean.items()])
+    sums = train.join(means, keys).groupBy(*keys).agg(F.count("*").alias("n"), *_gram_columns(x, y, w))
     types = dict(sums.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "n bigint", "intercept double", *[f"b{i} double" for i in range(d)]])
 
@@ -94,10 +99,9 @@ def fit_ridge(train: DataFrame, keys: Sequence[str], x: Sequence[str], y: str =
         for pdf in batches:
             out = []
             for _, r in pdf.iterrows():
-                mx = np.array([r[f"s{i}"] for i in range(d)]) / r["sw"]
-                my = r["swy"] / r["sw"]
-                a = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) - r["sw"] * np.outer(mx, mx)
-                b = np.array([r[f"y{i}"] for i in range(d)]) - r["sw"] * mx * my
+                mx, my = np.array([r[f"m{i}"] for i in range(d)]), r["my"]
+                a = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+                b = np.array([r[f"y{i}"] for i in range(d)])
                 beta = np.linalg.solve(a + alpha * np.eye(d), b) if r["n"] >= 2 else np.zeros(d)
                 b0 = my - mx @ beta if r["n"] >= 2 else 0.0
                 out.append([*[r[k] for k in keys], int(r["n"]), float(b0), *map(float, beta)])
@@ -121,20 +125,26 @@ def collapse_forecasts(forecasts: DataFrame, row_keys: Sequence[str], expected:
 
 
 def cv_ladder(rows: DataFrame, *, features: Sequence[str], micro: str, n_groups: int, k: int, embargo_ns: int,
-              keep: Sequence[str], width: int = DAY_NS) -> DataFrame:
-    """Out-of-sample forecasts of the closed-form rungs (naive, microprice, ridge), averaged per row."""
+              keep: Sequence[str], keys: Sequence[str] = (), width: int = DAY_NS) -> DataFrame:
+    """Out-of-sample forecasts of the closed-form rungs (naive, microprice, ridge), averaged per row.
+
+    Rows are split, and models fitted, inside each of ``keys`` (horizons). ``keep`` must tell rows of one instant apart.
+    """
     from math import comb
 
+    keys = list(keys)
+    keep = [c for c in keep if c not in keys]
     cols = list(dict.fromkeys([*features, micro, *keep]))
-    s = cpcv_splits(rows, n_groups=n_groups, k=k, embargo_ns=embargo_ns, keep=cols, width=width)
-    models = fit_ridge(s.filter("role = 'train'"), ["split"], features)
+    s = cpcv_splits(rows, n_groups=n_groups, k=k, embargo_ns=embargo_ns, keys=keys, keep=cols, width=width)
+    models = fit_ridge(s.filter("role = 'train'"), [*keys, "split"], features)
     test = s.filter("role = 'test'")
-    ridge = ridge_forecast(test, models, ["split"], features)
+    ridge = ridge_forecast(test, models, [*keys, "split"], features)
     times = comb(n_groups - 1, k - 1)
-    out = collapse_forecasts(ridge, ["t_event", *keep], times).withColumn("model", F.lit("ridge"))
-    naive = rows.select("t_event", *keep, F.lit(0.0).alias("f"), F.lit("naive").alias("model"))
-    mp = rows.select("t_event", *keep, F.col(micro).cast("double").alias("f"), F.lit("microprice").alias("model"))
-    return out.select("t_event", *keep, "f", "model").unionByName(naive).unionByName(mp)
+    own = [*keys, "t_event", *keep]
+    out = collapse_forecasts(ridge, own, times).withColumn("model", F.lit("ridge"))
+    naive = rows.select(*own, F.lit(0.0).alias("f"), F.lit("naive").alias("model"))
+    mp = rows.select(*own, F.col(micro).cast("double").alias("f"), F.lit("microprice").alias("model"))
+    return out.select(*own, "f", "model").unionByName(naive).unionByName(mp)
 
 
 # ------------------------------------------------------------------ boosted trees
@@ -177,35 +187,37 @@ def gbt_clf_forecast(models, rows: DataFrame, x: Sequence[str], scale: float) ->
     return v.withColumn("f", (F.col("__up") - F.col("__dn")) * scale).drop("__x", "__up", "__dn")
 
 
-def block_index(rows: DataFrame, s: int, width: int = DAY_NS) -> DataFrame:
-    """Row position cut into ``s`` near-equal blocks, the first N mod s one row longer."""
-    r = rank(rows, [], ["t_event"], width=width, name="__rn")
-    n = rows.agg(F.count("*").alias("__n"))
-    x = r.crossJoin(F.broadcast(n))  # one count row
+def block_index(rows: DataFrame, s: int, width: int = DAY_NS, keys: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Row position inside ``keys``, by t_event and ``ties``, cut into ``s`` near-equal blocks, the first N mod s one row longer."""
+    keys = list(keys)
+    r = rank(rows, keys, ["t_event", *ties], width=width, name="__rn")
+    n = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    x = r.join(n, keys) if keys else r.crossJoin(F.broadcast(n))  # one count row per key
     i, m = F.expr("__rn - 1"), F.expr(f"__n % {s}")
     small = F.expr(f"(__n % {s}) * (__n div {s} + 1)")
     blk = F.when(i < small, F.expr(f"(__rn - 1) div (__n div {s} + 1)")).otherwise(m + F.expr(f"(__rn - 1 - (__n % {s}) * (__n div {s} + 1)) div greatest(__n div {s}, 1)"))
     return x.withColumn("block", blk.cast("bigint")).drop("__rn", "__n")
 
 
-def pbo_logits(perf: DataFrame, s: int = 8, trial: str = "trial") -> DataFrame:
-    """In-sample winner and its out-of-sample rank for every half split of ``s`` blocks.
+def pbo_logits(perf: DataFrame, s: int = 8, trial: str = "trial", keys: Sequence[str] = ()) -> DataFrame:
+    """In-sample winner and its out-of-sample rank for every half split of ``s`` blocks, inside each of ``keys``.
 
-    ``perf``: block, trial, swp (Σ weight·pnl), sw (Σ weight): s × trials rows, whatever the matrix size.
+    ``perf``: keys, block, trial, swp (Σ weight·pnl), sw (Σ weight): s × trials rows, whatever the matrix size.
     """
+    keys = list(keys)
     combos = [list(c) for c in combinations(range(s), s // 2)]
     cells = F.array(*[F.struct(F.lit(i).cast("bigint").alias("combo"), F.array(*[F.lit(b).cast("bigint") for b in c]).alias("tr")) for i, c in enumerate(combos)])
-    x = perf.withColumn("c", F.explode(cells)).select("block", trial, "swp", "sw", "c.combo", "c.tr")
+    x = perf.withColumn("c", F.explode(cells)).select(*keys, "block", trial, "swp", "sw", "c.combo", "c.tr")
     ins = F.array_contains("tr", F.col("block"))
-    p = x.groupBy("combo", trial).agg(
+    p = x.groupBy(*keys, "combo", trial).agg(
         (F.sum(F.when(ins, F.col("swp"))) / F.sum(F.when(ins, F.col("sw")))).alias("is_perf"),
         (F.sum(F.when(~ins, F.col("swp"))) / F.sum(F.when(~ins, F.col("sw")))).alias("oos_perf"),
     )
-    w = W.partitionBy("combo")
+    w = W.partitionBy(*keys, "combo")
     first = F.row_number().over(w.orderBy(F.desc("is_perf"), trial))
     p = p.withColumns({"__r": first, "n": F.count("*").over(w)})
     p = p.withColumn("best_oos", F.max(F.when(F.col("__r") == 1, F.col("oos_perf"))).over(w))
-    out = p.groupBy("combo").agg(
+    out = p.groupBy(*keys, "combo").agg(
         F.max(F.when(F.col("__r") == 1, F.col(trial))).alias("winner"),
         F.count_if(F.col("oos_perf") <= F.col("best_oos")).alias("rank_count"),
         F.max("n").alias("n_trials"),

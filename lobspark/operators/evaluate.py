@@ -229,7 +229,9 @@ def block_bootstrap(prefix: DataFrame, *, n_boot: int, block: int, seed: int) ->
 
 
 def bootstrap_band(replicates: DataFrame, alpha: float, col: str = "total") -> DataFrame:
-    return quantiles(replicates, [], {"band": F.col(col)}, {"low": alpha / 2, "high": 1 - alpha / 2})
+    """``band_low, band_high``: always one row, null where there are no replicates."""
+    q = quantiles(replicates, [], {"band": F.col(col)}, {"low": alpha / 2, "high": 1 - alpha / 2})
+    return q.agg(*[F.max(c).alias(c) for c in ("band_low", "band_high")])
 
 
 def lower_bound(replicates: DataFrame, alpha: float, col: str) -> DataFrame:

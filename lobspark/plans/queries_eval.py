@@ -257,7 +257,7 @@ def draw_sql(parts: str, n: str) -> str:
     "block_bootstrap_band",
     sql(
         f"""WITH d AS (SELECT row_number() OVER (ORDER BY t_event)-1 i, sum(CASE trial WHEN 0 THEN pnl ELSE -pnl END) v FROM pnl_v WHERE trial<2 GROUP BY t_event),
-            n AS (SELECT count(*) n FROM d), r AS (SELECT rep, j, n, {draw_sql("'11', rep::VARCHAR, j::VARCHAR", 'n')} st, least(50, n-j*50) len FROM n, (SELECT unnest(range(200)) rep), (SELECT unnest(range((SELECT (n-1)//50+1 FROM n))) j)),
+            n AS (SELECT count(*) n FROM d), r AS (SELECT rep, j, n, {draw_sql("'11', rep::VARCHAR, j::VARCHAR", 'n')} st, least(50, n-j*50) len FROM n, (SELECT unnest(range(2000)) rep), (SELECT unnest(range((SELECT (n-1)//50+1 FROM n))) j)),
             t AS (SELECT rep, sum(v) total FROM r, (SELECT unnest(range(50)) k), d WHERE k<len AND d.i=(st+k)%n GROUP BY 1)
             SELECT round(quantile_cont(total,0.05),4)+0.0 band_low, round(quantile_cont(total,0.95),4)+0.0 band_high FROM t""",
         "pnl_v",
@@ -266,7 +266,7 @@ def draw_sql(parts: str, n: str) -> str:
 def block_bootstrap_band(t: Tables):
     d = pnl(t).filter("trial < 2").groupBy("t_event").agg(F.sum(F.when(F.col("trial") == 0, F.col("pnl")).otherwise(-F.col("pnl"))).alias("v"))
     pre = materialize(E.prefix_sums(d, ["t_event"], F.col("v"), WIDTH))
-    reps = E.block_bootstrap(pre, n_boot=200, block=50, seed=11)
+    reps = E.block_bootstrap(pre, n_boot=2000, block=50, seed=11)
     return rnd(E.bootstrap_band(reps, 0.1), "band_low", "band_high", d=4)
 
 
@@ -275,7 +275,7 @@ FRAGMENTS["dayboot_v"] = (
     ("pnl_v",),
     f"""WITH d AS (SELECT row_number() OVER (ORDER BY dy)-1 i, * FROM (SELECT t_event//{DAY} dy, sum(uniqueness*y_fwd_bps*y_fwd_bps) a, sum(uniqueness*(y_fwd_bps-f)*(y_fwd_bps-f)) b, sum(pnl) p FROM pnl_v WHERE trial=0 GROUP BY 1)),
        n AS (SELECT count(*) n FROM d)
-       SELECT rep, any_value(n) n_days, sum(a) a, sum(b) b, sum(p) p FROM n, (SELECT unnest(range(500)) rep), (SELECT unnest(range((SELECT n FROM n))) j), d
+       SELECT rep, any_value(n) n_days, sum(a) a, sum(b) b, sum(p) p FROM n, (SELECT unnest(range(10000)) rep), (SELECT unnest(range((SELECT n FROM n))) j), d
        WHERE d.i = ({draw_sql("'3', rep::VARCHAR, (j//2)::VARCHAR", 'n')} + j%2) % n GROUP BY rep""",
 )
 
@@ -284,7 +284,7 @@ def day_replicates(t: Tables):
     x = pnl(t).filter("trial = 0")
     u, y = F.col("uniqueness"), F.col("y_fwd_bps")
     d = E.day_sums(x, F.expr(f"t_event div {DAY}L"), {"a": u * y * y, "b": u * (y - F.col("f")) ** 2, "p": F.col("pnl")})
-    return E.day_bootstrap(materialize(d), ["a", "b", "p"], n_boot=500, seed=3)
+    return E.day_bootstrap(materialize(d), ["a", "b", "p"], n_boot=10000, seed=3)
 
 
 @query("day_bootstrap_lift", sql("SELECT rep, round((a-b)/a,6)+0.0 lift FROM dayboot_v", "dayboot_v"))
@@ -431,35 +431,54 @@ def fit_ridge(t: Tables):
     return rnd(cv.fit_ridge(tr, ["split"], ["x0"]), "intercept", "b0")
 
 
+FRAGMENTS["signal_v"] = (("matrix_v",), "SELECT *, x1*3 micro, y_fwd_bps/2+x0*4 x2 FROM matrix_v")
+FRAGMENTS["hsplits_v"] = (
+    ("signal_v",),
+    f"""WITH g AS (SELECT *, ((row_number() OVER (PARTITION BY horizon ORDER BY t_event)-1)*6)//count(*) OVER (PARTITION BY horizon) grp FROM signal_v),
+       x AS (SELECT g.*, split, list_contains(test, grp) is_test FROM g, (VALUES {COMBOS}) c(split, test)),
+       y AS (SELECT *, max(CASE WHEN is_test THEN t_barrier END) OVER w m, min(CASE WHEN is_test THEN t_event END) OVER r nx FROM x
+             WINDOW w AS (PARTITION BY horizon, split ORDER BY t_event), r AS (PARTITION BY horizon, split ORDER BY t_event DESC))
+       SELECT * EXCLUDE (m, nx), CASE WHEN is_test THEN 'test' WHEN coalesce(m>=t_event,false) OR coalesce(nx<=t_barrier,false) OR coalesce(t_event>m AND t_event<=m+{EMB},false) THEN 'purged' ELSE 'train' END AS role FROM y""",
+)
+
+
+def ridge_fragment(x: str) -> str:
+    """Out-of-sample ridge forecasts on one feature, split and fitted inside each horizon."""
+    return f"""SELECT horizon, t_event, avg(my-b*mx+b*{x}) f FROM hsplits_v JOIN (
+         SELECT horizon, split, any_value(mx) mx, any_value(my) my, sum(uniqueness*({x}-mx)*(y_fwd_bps-my))/(sum(uniqueness*({x}-mx)*({x}-mx))+1) b FROM (
+           SELECT *, sum(uniqueness*{x}) OVER w/sum(uniqueness) OVER w mx, sum(uniqueness*y_fwd_bps) OVER w/sum(uniqueness) OVER w my FROM hsplits_v WHERE role='train' WINDOW w AS (PARTITION BY horizon, split)) GROUP BY 1,2)
+         USING (horizon, split) WHERE role='test' GROUP BY 1,2"""
+
+
 FRAGMENTS["ladder_v"] = (
-    ("splits_v", "matrix_v"),
-    """WITH b AS (SELECT split, any_value(mx) mx, any_value(my) my, sum(uniqueness*(x0-mx)*(y_fwd_bps-my))/(sum(uniqueness*(x0-mx)*(x0-mx))+1) b FROM (
-         SELECT *, sum(uniqueness*x0) OVER (PARTITION BY split)/sum(uniqueness) OVER (PARTITION BY split) mx, sum(uniqueness*y_fwd_bps) OVER (PARTITION BY split)/sum(uniqueness) OVER (PARTITION BY split) my FROM splits_v WHERE role='train') GROUP BY 1),
-       r AS (SELECT t_event, avg(my-b*mx+b*x0) f FROM splits_v JOIN b USING (split) WHERE role='test' GROUP BY 1)
-       SELECT m.*, 'ridge' model, r.f FROM matrix_v m JOIN r USING (t_event) UNION ALL SELECT *, 'naive', 0 FROM matrix_v UNION ALL SELECT *, 'microprice', x1 FROM matrix_v""",
+    ("hsplits_v", "signal_v"),
+    f"""SELECT m.*, 'ridge' model, r.f FROM signal_v m JOIN ({ridge_fragment("x2")}) r USING (horizon, t_event)
+       UNION ALL SELECT *, 'naive', 0 FROM signal_v UNION ALL SELECT *, 'microprice', micro FROM signal_v""",
 )
+KEEP = ["y_fwd_bps", "cost_bps", "half_spread_bps", "uniqueness", "regime"]
+
+
+def signal(t: Tables):
+    """The matrix with a planted signal (x2, half the return behind noise) and a microprice forecast in bps."""
+    return matrix(t).withColumns({"micro": F.col("x1") * 3, "x2": F.col("y_fwd_bps") / 2 + F.col("x0") * 4})
 
 
 def ladder(t: Tables):
-    return cv.cv_ladder(
-        matrix(t), features=["x0"], micro="x1", n_groups=6, k=2, embargo_ns=EMB, width=WIDTH,
-        keep=["horizon", "y_fwd_bps", "cost_bps", "half_spread_bps", "uniqueness", "regime"],
-    )
+    return cv.cv_ladder(signal(t), features=["x2"], micro="micro", n_groups=6, k=2, embargo_ns=EMB, width=WIDTH, keys=["horizon"], keep=KEEP)
 
 
-LP = "(SELECT *, CASE WHEN traded THEN sign(f)*y_fwd_bps ELSE 0 END gross, CASE WHEN traded THEN sign(f)*y_fwd_bps-tc ELSE 0 END pnl FROM (SELECT *, 1.0::DOUBLE tc, abs(f)>1.0 traded FROM ladder_v))"
+LP = "(SELECT *, CASE WHEN traded THEN sign(f)*y_fwd_bps ELSE 0 END gross, CASE WHEN traded THEN sign(f)*y_fwd_bps-tc ELSE 0 END pnl FROM (SELECT *, cost_bps+2*half_spread_bps tc, abs(f)>cost_bps+2*half_spread_bps traded FROM ladder_v))"
 
 
 @query("cv_ladder", sql(f"SELECT model, horizon, {SUMMARY} FROM {LP} GROUP BY 1,2", "ladder_v"))
 def cv_ladder(t: Tables):
-    x = ladder(t).withColumns({"cost_bps": F.lit(1.0), "half_spread_bps": F.lit(0.0)}).withColumns(E.net_pnl())
-    return rounded_summary(E.trade_summary(x, ["model", "horizon"]))
+    return rounded_summary(E.trade_summary(ladder(t).withColumns(E.net_pnl()), ["model", "horizon"]))
 
 
 @query("fit_gbt_reg")
 def fit_gbt_reg(t: Tables):
     m = matrix(t)
-    model = cv.fit_gbt_reg(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"], trees=10, depth=3)
+    model = cv.fit_gbt_reg(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"])
     f = cv.gbt_forecast(model, m.filter("t_event % 3000000000 = 0"), ["x0", "x1"])
     return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f")), "mean_f")
 
@@ -467,14 +486,14 @@ def fit_gbt_reg(t: Tables):
 @query("fit_gbt_clf")
 def fit_gbt_clf(t: Tables):
     m = matrix(t)
-    models = cv.fit_gbt_clf(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"], trees=6, depth=3)
+    models = cv.fit_gbt_clf(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"])
     f = cv.gbt_clf_forecast(models, m.filter("t_event % 3000000000 = 0"), ["x0", "x1"], 10.0)
     return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f")), "mean_f")
 
 
 def study(t: Tables):
     """Ladder → PnL → trade Sharpe, DSR, PBO and regimes per horizon."""
-    x = materialize(ladder(t).withColumns({"cost_bps": F.lit(1.0), "half_spread_bps": F.lit(0.0)}).withColumns(E.net_pnl()))
+    x = materialize(ladder(t).withColumns(E.net_pnl()))
     keys = ["horizon", "model"]
     s = E.trade_summary(x, keys)
     sk = E.sample_skew_kurt(x.filter("traded"), keys).drop("n")
@@ -482,10 +501,10 @@ def study(t: Tables):
     sa = E.weighted_sharpe(x, keys, traded_only=False).withColumnRenamed("sharpe", "sample_sharpe")
     c = s.join(sk, keys, "left").join(sh, keys).join(sa, keys)
     spread = c.groupBy("horizon").agg(F.stddev_pop("trade_sharpe").alias("sd"), F.count("*").alias("n_tr"))
-    blk = cv.block_index(x.filter("model = 'naive'").select("t_event"), 8, WIDTH)
-    perf = x.join(blk, "t_event").groupBy("block", F.col("model").alias("trial")).agg(F.sum(F.col("uniqueness") * F.col("pnl")).alias("swp"), F.sum("uniqueness").alias("sw"))
-    p = cv.pbo_logits(perf).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"))
-    c = c.join(spread, "horizon").crossJoin(F.broadcast(p))  # one row
+    blk = cv.block_index(x.filter("model = 'naive'").select("horizon", "t_event"), 8, WIDTH, ["horizon"])
+    perf = x.join(blk, ["horizon", "t_event"]).groupBy("horizon", "block", F.col("model").alias("trial")).agg(F.sum(F.col("uniqueness") * F.col("pnl")).alias("swp"), F.sum("uniqueness").alias("sw"))
+    p = cv.pbo_logits(perf, keys=["horizon"]).groupBy("horizon").agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"))
+    c = c.join(spread, "horizon").join(p, "horizon")
     naive = c.filter("model = 'naive'").select("horizon", F.col("net_pnl").alias("naive_net"))
     c = c.join(naive, "horizon").withColumn(
         "dsr",
@@ -501,25 +520,25 @@ def run_study(t: Tables):
     return rnd(g.select("horizon", "model", "net_pnl", "trade_sharpe", "sample_sharpe", "dsr", "pbo", "n_trades", "reasons", "verdict"), "net_pnl", "trade_sharpe", "sample_sharpe", "dsr", "pbo", d=4)
 
 
-ARMS = {"flow": ["x0"], "book": ["x1"], "combined": ["x0", "x1"]}
+ARMS = {"flow": ["x0"], "book": ["x2"], "combined": ["x0", "x2"]}
 
 
 @query("matched_arm_study")
 def matched_arm_study(t: Tables):
-    """Every feature arm on the same rows: ridge per arm over all splits, then the combined-vs-control band."""
-    m = matrix(t)
+    """Every feature arm on the same rows: ridge per arm and horizon, then the combined-vs-control band (only book has signal)."""
+    m = signal(t)
     parts = None
     for arm, cols in ARMS.items():
-        f = cv.cv_ladder(m, features=cols, micro="x1", n_groups=6, k=2, embargo_ns=EMB, keep=["horizon", "y_fwd_bps", "uniqueness"], width=WIDTH).filter("model = 'ridge'")
+        f = cv.cv_ladder(m, features=cols, micro="micro", n_groups=6, k=2, embargo_ns=EMB, keys=["horizon"], keep=KEEP, width=WIDTH).filter("model = 'ridge'")
         f = f.withColumns({"arm": F.lit(arm), "config": F.lit("ridge")})
         parts = f if parts is None else parts.unionByName(f)
-    x = parts.withColumns({"cost_bps": F.lit(0.1), "half_spread_bps": F.lit(0.0), "f": F.col("f") * 10}).withColumns(E.net_pnl())
+    x = parts.withColumns(E.net_pnl())
     x = materialize(x.select("t_event", "horizon", "arm", "config", "uniqueness", "traded", "gross", "pnl"))
     d = E.matched_delta(x, "arm", "combined", "flow", ["t_event"], ["config"])
     pre = materialize(E.prefix_sums(d, ["t_event"], F.col("delta"), WIDTH))
-    band = E.bootstrap_band(E.block_bootstrap(pre, n_boot=100, block=50, seed=5), 0.1)
+    band = E.bootstrap_band(E.block_bootstrap(pre, n_boot=2000, block=50, seed=5), 0.1)
     s = E.trade_summary(x, ["arm"]).crossJoin(F.broadcast(band))  # one row
-    s = s.withColumn("beats_control", F.when(F.col("arm") == "combined", F.col("band_low") > 0))
+    s = s.withColumn("beats_control", F.when(F.col("arm") == "combined", F.coalesce(F.col("band_low") > 0, F.lit(False))))
     return rounded_summary(s).withColumns({c: r(c, 4) for c in ("band_low", "band_high")})
 
 
