@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -165,16 +166,17 @@ def gbt_forecast(model, rows: DataFrame, x: Sequence[str]) -> DataFrame:
 
 
 def fit_gbt_clf(train: DataFrame, x: Sequence[str], label: str = "label", w: str = "uniqueness", trees: int = 200, depth: int = 5, step: float = 0.05, seed: int = 0):
-    """One binary model for up and one for down (Spark's boosted classifier is binary)."""
+    """One binary model for up and one for down (Spark's boosted classifier is binary), fitted side by side."""
     from pyspark.ml.classification import GBTClassifier
 
     v = _vector(train, x)
-    out = []
-    for cls in (1, -1):
+
+    def fit(cls: int):
         t = v.withColumn("__y", (F.col(label) == cls).cast("double"))
-        g = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol=w, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8)
-        out.append(g.fit(t))
-    return out
+        return GBTClassifier(featuresCol="__x", labelCol="__y", weightCol=w, maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8).fit(t)
+
+    with ThreadPoolExecutor(2) as pool:  # both fits are Spark jobs
+        return list(pool.map(fit, (1, -1)))
 
 
 def gbt_clf_forecast(models, rows: DataFrame, x: Sequence[str], scale: float) -> DataFrame:

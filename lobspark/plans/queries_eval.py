@@ -477,18 +477,18 @@ def cv_ladder(t: Tables):
 
 @query("fit_gbt_reg")
 def fit_gbt_reg(t: Tables):
-    m = matrix(t)
-    model = cv.fit_gbt_reg(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"])
-    f = cv.gbt_forecast(model, m.filter("t_event % 3000000000 = 0"), ["x0", "x1"])
-    return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f")), "mean_f")
+    m = signal(t)
+    model = cv.fit_gbt_reg(m.filter("t_event div 1000000000 % 5 <> 0"), ["x1", "x2"])
+    f = cv.gbt_forecast(model, m.filter("t_event div 1000000000 % 5 = 0"), ["x1", "x2"])
+    return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f"), F.corr("f", "y_fwd_bps").alias("ic")), "mean_f", "ic")
 
 
 @query("fit_gbt_clf")
 def fit_gbt_clf(t: Tables):
-    m = matrix(t)
-    models = cv.fit_gbt_clf(m.filter("t_event % 3000000000 <> 0"), ["x0", "x1"])
-    f = cv.gbt_clf_forecast(models, m.filter("t_event % 3000000000 = 0"), ["x0", "x1"], 10.0)
-    return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f")), "mean_f")
+    m = signal(t)
+    models = cv.fit_gbt_clf(m.filter("t_event div 1000000000 % 5 <> 0"), ["x1", "x2"])
+    f = cv.gbt_clf_forecast(models, m.filter("t_event div 1000000000 % 5 = 0"), ["x1", "x2"], 10.0)
+    return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f"), F.corr("f", "y_fwd_bps").alias("ic")), "mean_f", "ic")
 
 
 def study(t: Tables):
