@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lobspark.functions.normal import norm_cdf, norm_ppf
 from lobspark.operators import cv
+from lobspark.operators import evaluate as E
 from lobspark.operators import labels as L
 from lobspark.operators.bars import OpenBar, assign_bars, close_day
 from lobspark.operators.contracts import check_matrix
@@ -188,3 +189,35 @@ def test_first_crossings_match_a_plain_search():
     p0, w = mid[np.maximum(lo - 1, 0)], np.where(g.random(200) < 0.1, np.nan, g.uniform(0, 30, 200))
     want = [next((j for j in range(a, b) if abs((mid[j] - p) / p * 1e4) >= x), -1) for a, b, p, x in zip(lo, hi, p0, w)]
     assert first_hits(mid, lo, hi, p0, w).tolist() == want
+
+
+def test_ridge_keeps_digits_of_large_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1000, 300).astype(float)
+    d = pd.DataFrame({"k": 1, "x": 1e13 + x, "y_fwd_bps": 0.25 * x + rng.normal(size=300), "uniqueness": rng.uniform(0.1, 1, 300)})
+    got = cv.fit_ridge(spark.createDataFrame(d), ["k"], ["x"]).toPandas().iloc[0]
+    w, y = d.uniqueness, d.y_fwd_bps
+    cx, cy = x - (w * x).sum() / w.sum(), y - (w * y).sum() / w.sum()
+    assert abs(got.b0 - (w * cx * cy).sum() / ((w * cx * cx).sum() + 1)) < 1e-6
+
+
+def test_groups_of_tied_instants_do_not_depend_on_row_order(spark):
+    d = pd.DataFrame({"t_event": [i // 4 for i in range(60)], "t_barrier": [i // 4 + 2 for i in range(60)], "symbol": [f"s{i % 4}" for i in range(60)]})
+
+    def run(frame):
+        s = cv.cpcv_splits(spark.createDataFrame(frame).repartition(5), n_groups=7, k=2, embargo_ns=1, keep=["symbol"], width=10)
+        return s.orderBy("split", "t_event", "symbol").toPandas()
+
+    pd.testing.assert_frame_equal(run(d), run(d.sample(frac=1, random_state=2)))
+
+
+def test_blocks_are_numbered_inside_keys(spark):
+    d = spark.createDataFrame([(h, t) for h in ("a", "b") for t in range(10)], "horizon string, t_event long")
+    got = cv.block_index(d, 4, 3, ["horizon"]).groupBy("horizon", "block").count().toPandas()
+    assert sorted(got["count"]) == [2, 2, 2, 2, 3, 3, 3, 3] and set(got.block) == {0, 1, 2, 3}
+
+
+def test_band_of_no_replicates_is_one_null_row(spark):
+    pre = spark.createDataFrame([(1, 1.0), (2, 3.0)], "i long, p double")
+    rows = E.bootstrap_band(E.block_bootstrap(pre, n_boot=20, block=50, seed=1), 0.1).collect()
+    assert [tuple(r) for r in rows] == [(None, None)]
