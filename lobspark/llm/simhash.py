@@ -8,6 +8,10 @@ with the bit set meet values without it, so it meets once.
 Scale: only distinct fingerprints are joined, copies stay with their class. A variant that very many fingerprints
 share is cut again in the same way on the other half (two quarters, one of which differs by at most one bit), so its
 join key gains 15 more bits.
+
+``near_groups`` links by similarity instead of bits: texts whose sets of shingles have a Jaccard similarity of 0.8 or more
+differ in about 15 % of their bits, far beyond three of 64. Deletion variants wide enough for that (256 for every text)
+need several times the input on disk, so it finds candidates by bands of smallest hashes and decides each on its shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import components
+from lobspark.llm.common import components, mix
 from lobspark.session import materialize
 
 #: Fingerprints under one variant beyond which it is cut again.
@@ -106,3 +110,97 @@ def simhash_dedup(docs: DataFrame, carry: list[str] | None = None, hot_bucket: i
     linked = comp.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     ids = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return rows.join(ids, "fp").select("row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: ``near_groups``: bands of smallest hashes; at similarity 0.8 all bands miss a pair in 0.2 % of the cases.
+BANDS, BAND_ROWS = 16, 5
+_LIFT = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
+
+
+def _shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; a shorter text is one shingle, a text without words has none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=max(1, len(words) - size + 1)))
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """Keys of a set's bands; two sets share a smallest hash with the probability of their Jaccard similarity."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 4096):
+        for k, (a, b) in enumerate(_LIFT.T):
+            least[k] = min(least[k], ((hashes[i : i + 4096] ^ a) * (b | np.uint64(1))).min())
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least.reshape(BANDS, -1))], dtype=np.uint64).view(np.int64).tolist()
+
+
+def shingle_classes(docs: DataFrame, carry: list[str], size: int = 5) -> DataFrame:
+    """``(row, text_hash, cls, bands)``: ``cls`` names the set of shingles of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_set(t or b"", size) for t in b["text"].to_pylist()]
+            cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b["row"], b["text_hash"], pa.array(cls), pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=["row", "text_hash", "cls", "bands"])
+
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, text_hash long, cls long, bands array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have at least this Jaccard similarity; ``texts`` has ``cls`` and ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"]):
+                if a != last:
+                    last, x = a, _shingle_set(ta.as_py(), size)
+                y = _shingle_set(tb.as_py(), size)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
+
+    full = pairs.join(texts.toDF("b", "tb").hint("merge"), "b").join(texts.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
+    return full.mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, carry: list[str] | None = None, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``row, group``: rows have the same group (a long) if a chain of texts joins them, each next one at least this similar by its shingles.
+
+    Candidates of a band are first compared with two of its members only, in two rounds; what that joins is not compared
+    again, so a large group of near copies is not compared pair by pair.
+
+    Defined cases: equal sets of shingles are one class; a text shorter than a shingle is one shingle; texts without
+    words, or null, are one class and near nothing else; an empty table gives no rows.
+    """
+    rows = materialize(shingle_classes(docs, carry or ["doc_id"], size))
+    classes = materialize(rows.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ids = pairs.select("a").union(pairs.select("b")).toDF("cls").distinct()
+        wanted = classes.join(ids, "cls", "left_semi").select("cls", "text_hash")
+        found = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+        texts = materialize(found.join(wanted, "text_hash").groupBy("cls").agg(F.first("text").alias("text")))
+        return materialize(_similar(pairs, texts, size, similarity))
+
+    links = None
+    known = classes.select("cls", "bands", F.col("cls").alias("c"))
+    for last in (False, False, True):
+        v = known.select(F.struct("c", "cls").alias("x"), F.explode("bands").alias("key"))
+        if last:
+            met = v.join(v.select("key", F.col("x").alias("y")).hint("merge"), "key").where("x.c < y.c").select("x.cls", F.col("y.cls").alias("other"))
+        else:
+            ends = v.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.c <> high.c")
+            met = v.join(ends, "key").select("x", F.explode(F.array("low", "high")).alias("y")).where("x.c <> y.c").select("x.cls", F.col("y.cls").alias("other"))
+        new = verified(met.toDF("a", "b"))
+        links = new if links is None else links.union(new)
+        comp = components(links).toDF("cls", "c")
+        known = materialize(classes.select("cls", "bands").join(comp, "cls", "left").withColumn("c", F.coalesce("c", "cls")))
+    return rows.join(known.select("cls", "c"), "cls").select("row", F.col("c").alias("group"))

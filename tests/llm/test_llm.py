@@ -66,6 +66,27 @@ def test_simhash_hot_variants_are_cut_again(spark):
         assert {(min(r), max(r)) for r in simhash.links(df, hot).collect()} == want
 
 
+def test_near_groups_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((40, 150, 600)))]
+        texts.append(" ".join(base))
+        for change in (0.005, 0.01, 0.02, 0.03, 0.06):
+            texts.append(" ".join(w if rng.random() > change else "new" + str(rng.randrange(9999)) for w in base))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, "one two"), (902, "ONE  two")], "doc_id long, text string")
+    group = {r[0]: r[1] for r in simhash.near_groups(df).selectExpr("row.doc_id", "group").collect()}
+    assert len(group) == len(texts) + 3 and group[901] == group[902] != group[900]
+    assert len(links) > 60 and sum(group[a] == group[b] for a, b in links) >= 0.98 * len(links)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[a] == root[b] for a in range(len(texts)) for b in range(a) if group[a] == group[b])
+
+
 def test_suffix_against_brute_force(docs, rows):
     texts = texts_of(rows)
     seen = Counter(t[j : j + 40] for _, t in texts for j in range(len(t) - 39))
