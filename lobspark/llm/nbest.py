@@ -77,7 +77,11 @@ def best_parts(pieces: Pieces, buffer: np.ndarray, start: np.ndarray, end: np.nd
 
 
 def search(pieces: Pieces, part: bytes, most: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The ``most`` best segmentations of a part, best first: A* from the end, guided by exact scores from the beginning."""
+    """The ``most`` best segmentations of a part, best first: A* from the end, guided by exact scores from the beginning.
+
+    A heap entry holds its last step, linked to the step before it, so memory grows with the length of the part. Of equal
+    scores the entry nearer to the beginning is followed first, then the one pushed first; the segmentations found are given by score, then by ids.
+    """
     ending: list[list[tuple[int, int, float]]] = [[] for _ in range(len(part) + 1)]
     for a, s, i in pieces.edges_of_one(part):
         ending[a + s].append((a, i, float(pieces.score[i])))
@@ -85,17 +89,23 @@ def search(pieces: Pieces, part: bytes, most: int) -> list[tuple[float, tuple[in
     for e in range(1, len(part) + 1):
         for a, _, v in ending[e]:
             ahead[e] = max(ahead[e], ahead[a] + v)
-    heap: list[tuple[float, tuple[int, ...], int, float]] = [(-ahead[-1], (), len(part), 0.0)]
+    heap: list[tuple[float, int, int, float, tuple | None]] = [(-ahead[-1], len(part), 0, 0.0, None)]
+    pushed = 0
     out: list[tuple[float, tuple[int, ...]]] = []
     while heap and len(out) < most:
-        f, path, place, done = heapq.heappop(heap)
+        f, place, _, done, step = heapq.heappop(heap)
         if place == 0:
-            out.append((-f, path))
+            ids = []
+            while step is not None:
+                i, step = step
+                ids.append(i)
+            out.append((-f, tuple(ids)))
             continue
         for a, i, v in ending[place]:
             if ahead[a] > -np.inf:
-                heapq.heappush(heap, (-(done + v + ahead[a]), (i, *path), a, done + v))
-    return out
+                pushed += 1
+                heapq.heappush(heap, (-(done + v + ahead[a]), a, pushed, done + v, (i, step)))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 def combined(lists: list[list[tuple[float, tuple[int, ...]]]], most: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -137,7 +147,9 @@ def _answers(pieces: Pieces, texts: list[bytes], most: int) -> list[list[tuple[f
         for k in cheap:
             p = int(which[k])
             if p not in found:
-                found[p] = search(pieces, w.buffer[s[p] : e[p]].tobytes(), most)
+                # of several best ones, the one of the forward pass is choice 0
+                one, own = search(pieces, w.buffer[s[p] : e[p]].tobytes(), most), tuple(ids[bounds[p] : bounds[p + 1]].tolist())
+                found[p] = [(one[0][0], own), *(x for x in one if x[1] != own)][:most]
             lists.append(found[p])
         best = float(score[which].sum())
         whole = flat[ends[x] : ends[y]]
@@ -196,8 +208,8 @@ def _encoded(docs: DataFrame, carry: list[str] | None, kinds: str, run) -> DataF
 def encode(docs: DataFrame, most: int = 4, carry: list[str] | None = None, path: str | None = None) -> DataFrame:
     """``row, segmentations``: the ``most`` best segmentations of every text, best first, with scores and piece ids.
 
-    Defined cases: a null or empty text has the one segmentation without pieces; of equal scores the smaller ids come
-    first within a part; fewer segmentations than asked for are given where no more exist; an empty table gives no rows.
+    Defined cases: a null or empty text has the one segmentation without pieces; of equal scores found, the smaller ids
+    come first within a part (``search`` tells which are found); fewer segmentations than asked for are given where no more exist; an empty table gives no rows.
     """
     return _encoded(docs, carry, "segmentations array<struct<score: double, ids: array<int>>>", _encoder(path, most, _as_lists))
 

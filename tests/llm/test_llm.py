@@ -177,6 +177,23 @@ def test_nbest_of_a_text_against_its_words():
     assert [s for s, _ in answers] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["random", "one letter"])
+def test_nbest_of_a_long_text_without_blanks(kind):
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = (bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000)) if kind == "random" else b"a" * 100_000)
+    voc = pieces.load(nbest.vocabulary(nbest.VOCABULARY))
+    tracemalloc.start()
+    found = nbest.search(voc, text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    assert len(found) == 4 and len({ids for _, ids in found}) == 4
+    assert all(b"".join(voc.text[i] for i in ids) == text and sum(float(voc.score[i]) for i in ids) == pytest.approx(s) for s, ids in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
 def test_license_templates():
     autos = [licenses.compile_template(*t) for t in licenses.TEMPLATES]
     scan = lambda s: licenses.scan_text(s.encode(), autos)
