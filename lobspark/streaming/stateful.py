@@ -4,8 +4,8 @@ Per key the state holds the events inside the watermark, the book (or open bar)
 The per-event rule is applied to arrival order: an event at or behind ``max seen − watermark`` is
 dropped and counted, everything else is released in total order ``(ts, kind, seq)``. Results do not
 depend on how the input is cut into micro-batches. A row with ``kind = 9`` ends its key (end of a
-replay): the buffer is drained and the state removed. A bar day also ends by an event-time timer, once
-the stream's own watermark, ``idle_ns`` behind the newest event of any key, has passed the day's end.
+replay): the buffer is drained and the state removed. There is no engine watermark, which would remove rows unseen,
+unless ``stream_dollar_bars`` is given an ``idle_ns``.
 """
 
 from __future__ import annotations
@@ -109,11 +109,12 @@ def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale
     return events.groupBy("symbol").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int, idle_ns: int = DAY_NS) -> DataFrame:
+def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int, idle_ns: int | None = None) -> DataFrame:
     """Bars per (symbol, day_ns) from ``symbol, day_ns, ts, kind, seq, arrival, price, quantity``.
 
-    ``late_count`` of a bar is the late events seen when its last member arrived. ``idle_ns`` bounds how far one
-    symbol may trail the newest event of all; rows behind that are dropped by the engine, and state is kept no longer.
+    ``late_count`` of a bar is the late events seen when its last member arrived. A day ends by its control
+    row, and its state is kept until then. If ``idle_ns`` is given, a day also ends by an event-time timer that far behind the
+    newest event of any symbol; the engine then drops rows behind that uncounted, so the bars depend on the micro-batches.
     """
     schema = "symbol string, day_ns bigint, bar_idx bigint, interval_start bigint, close_reason string, cap_fire bigint, notional double, late_count bigint"
     columns = ["ts", "kind", "seq", "arrival", "price", "quantity"]
@@ -139,7 +140,8 @@ def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, wate
                 state.remove()
         else:
             state.update((pickle.dumps(buf),))
-            state.setTimeoutTimestamp(max(day_end // 1_000_000, state.getCurrentWatermarkMs() + 1))
+            if idle_ns is not None:
+                state.setTimeoutTimestamp(max(day_end // 1_000_000, state.getCurrentWatermarkMs() + 1))
         if closed:
             idx, start, why, fire, acc = (list(x) for x in zip(*closed))
             yield pd.DataFrame(
@@ -149,5 +151,8 @@ def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, wate
                 }
             )
 
-    timed = trades.withColumn("event_time", F.timestamp_micros(F.expr("ts div 1000L"))).withWatermark("event_time", f"{idle_ns // 1_000_000} milliseconds")
-    return timed.groupBy("symbol", "day_ns").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
+    timer = GroupStateTimeout.NoTimeout
+    if idle_ns is not None:
+        timer = GroupStateTimeout.EventTimeTimeout
+        trades = trades.withColumn("event_time", F.timestamp_micros(F.expr("ts div 1000L"))).withWatermark("event_time", f"{idle_ns // 1_000_000} milliseconds")
+    return trades.groupBy("symbol", "day_ns").applyInPandasWithState(step, schema, "blob binary", "append", timer)

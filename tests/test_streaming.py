@@ -47,3 +47,19 @@ def test_book_does_not_depend_on_micro_batches(spark, tmp_path):
         events, stream = cut(spark, tmp_path / f"in{n}", n)
         found.append(rows(S.book_stream(S.market(stream), events)))
     assert found[0] == found[1] and found[0]
+
+
+def test_bars_of_a_symbol_fed_after_another(spark, tmp_path):
+    """One symbol's later days come in earlier micro-batches than all of the other's."""
+    day = 86_400 * 10**9
+    kinds = "symbol string, day_ns long, ts long, kind long, seq long, arrival long, price double, quantity double"
+    make = lambda symbol, days: [(symbol, d * day, d * day + i * 10**12, 1, i, i, 100.0, 90.0) for d in days for i in range(1, 40)]
+    parts = [make("A", [20000, 20005]), make("A", [20010]), make("B", [20000]), make("B", [20001])]
+    ends = spark.createDataFrame(sorted({(r[0], r[1], r[1] + day + 1_000_000) for p in parts for r in p}), "symbol string, day_ns long, ts long")
+    found = []
+    for name, files in (("one", [sum(parts, [])]), ("many", parts)):
+        for n, part in enumerate(files):
+            spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        found.append(rows(S.drain(stream, ends, lambda d: S.stream_dollar_bars(d, threshold=27_000.0, cap_ns=S.BAR_CAP_NS, watermark_ns=S.WM_NS))))
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {"A", "B"}
