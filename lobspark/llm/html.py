@@ -2,7 +2,8 @@
 
 Pages of one host are aligned into one wrapper, a regular expression without unions over tags and text slots: tags that
 only some pages have become optional groups, neighbours that repeat become repeated groups, texts become slots. The
-slots of the article are then chosen once for the host, on its wrapper, and every page gives the texts found in them.
+slots outside page furniture are then chosen once for the host, on its wrapper; every page gives its texts in them, narrowed to
+its own article or main element, so templates that share a host do not decide for each other.
 
 Scale: a page is first folded by itself, so that its form no longer depends on how many paragraphs or links it has. Equal
 forms of a host are counted once (map-side), and the distinct forms are aligned in rounds of groups of bounded size, so
@@ -34,6 +35,8 @@ FURNITURE = frozenset("head nav footer aside form menu dialog button label".spli
 WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements that hold the text of a page: words in their class tell of parts inside, not of them.
+WHOLE = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("article main section div body ul ol dl table tbody thead tfoot tr td th blockquote figure html".split())
 
@@ -43,15 +46,16 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 def _label(name: str, attrs: str) -> str:
-    """An element's name, with what its attributes say: ``!`` for furniture, or its first class."""
-    first, furniture = "", name in FURNITURE
+    """An element's name, with what its attributes say: ``!`` for furniture (``!!`` if hidden), or its first class."""
+    first, furniture = "", int(name in FURNITURE)
     for key, value in _ATTR.findall(attrs) if attrs.strip() else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            furniture = True
+            furniture = 2
         elif key in ("class", "id", "role"):
             words = _SPLIT.split(value)
-            furniture |= not WORDS.isdisjoint(words)
+            if name not in WHOLE and not WORDS.isdisjoint(words):
+                furniture = max(furniture, 1)
             first = first or next((w for w in words if w), "")
     return f"{name}.{first}" + "!" * furniture
 
@@ -200,37 +204,52 @@ def slots(form: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
     return out
 
 
+def _names(path: tuple[str, ...]) -> list[str]:
+    return [label.partition(".")[0] for label in path]
+
+
+def furniture(path: tuple[str, ...], forms: bool = True) -> bool:
+    """Whether a path leads through page furniture; a form around a main or article element is none, nor any if ``forms`` is false."""
+    names, inside = _names(path), False
+    for k, (label, name) in enumerate(zip(path, names)):
+        around = name == "form" and not label.endswith("!!") and (not forms or not {"article", "main"}.isdisjoint(names[k + 1 :]))
+        if label.endswith("!") and not around or name == "header" and not inside:
+            return True
+        inside |= name in ("article", "main")
+    return False
+
+
 def article_slots(wrapper: list) -> list[str]:
-    """The slots that hold the article: not inside page furniture, and inside an article or main element if the wrapper has one with slots."""
+    """The slots that can hold an article: not inside page furniture."""
+    return sorted("\x1f".join(p) for p in slots(wrapper) if not furniture(p, forms=False))
 
-    def furniture(path: tuple[str, ...]) -> bool:
-        inside = False
-        for label in path:
-            name = label.partition(".")[0]
-            if label.endswith("!") or name == "header" and not inside:
-                return True
-            inside |= name in ("article", "main")
-        return False
 
-    kept = {p for p in slots(wrapper) if not furniture(p)}
-    for name in ("article", "main"):
-        if inner := {p for p in kept if any(x.partition(".")[0] == name for x in p)}:
-            kept = inner
-            break
-    return sorted("\x1f".join(p) for p in kept)
+def _container(texts: list[tuple[str, tuple[str, ...]]]) -> set[tuple[str, ...]]:
+    """The paths of one page's article: in its article elements, unless those are small beside its main element or the page."""
+    size: dict[tuple[str, ...], int] = {}
+    for text, path in texts:
+        size[path] = size.get(path, 0) + len(text.strip())
+    size = {p: n for p, n in size.items() if n}
+    every = {p for p in size if not furniture(p)} or set(size)  # else the page is wrapped in one form
+    article, main = ({p for p in every if name in _names(p)} for name in ("article", "main"))
+    length = lambda paths: sum(size[p] for p in paths)
+    if article and (2 * length(article) >= length(main) if main else 4 * length(article) >= length(every)):
+        return article
+    return main or every
 
 
 def main_text(html: str, chosen: frozenset[str]) -> str:
-    """The texts in the chosen slots: one blank for white space inside a block and between blocks."""
+    """The texts in the chosen slots and the page's container: one blank for white space inside a block and between blocks."""
+    found, known = list(walk(html)), {}
+    for _, path in found:
+        if path not in known:
+            known[path] = "\x1f".join(path) in chosen
+    inside = _container([(t, p) for t, p in found if t and known[p]])
     blocks: list[list[str]] = [[]]
-    known: dict[tuple, bool] = {}
-    for text, path in walk(html):
+    for text, path in found:
         if not text:
             blocks.append([])
-            continue
-        if path not in known:
-            known[path] = "\x1f".join(path) in chosen
-        if known[path]:
+        elif path in inside:
             blocks[-1].append(text)
     return " ".join(" ".join("".join(b).split()) for b in blocks if b and not all(t.isspace() for t in b))
 

@@ -227,6 +227,22 @@ def test_html_cases(spark):
     assert html.page_form("<ul><li>a<li>b<li>c</ul>") == html.page_form("<ul><li>x<li>y</ul>")
 
 
+def test_html_hosts_with_several_templates(spark):
+    pages = [
+        ("<body><nav>n</nav><article><p>post</article>", "post"),
+        ("<body><nav>n</nav><main><p>docs</main>", "docs"),
+        ("<body class='has-sidebar'><div id=content><p>old page</div><footer>f</footer>", "old page"),
+        ("<main><p>a long text of its own here<article class=card>x</article></main>", "a long text of its own here x"),
+        ("<article class='post comments-open'><p>open</article>", "open"),
+        ("<body><form id=f><nav>n</nav><div><p>wrapped</div></form>", "wrapped"),
+        ("<body><form id=f><main><p>deep</main></form><p>out", "deep"),
+        ("<body><form>find</form><div hidden>h</div><p>kept", "kept"),
+    ]
+    for url in ("http://a.x/", None):
+        df = spark.createDataFrame([(i, url, h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+        assert [r[0] for r in html.extract(df).orderBy("row.page_id").select("text").collect()] == [t for _, t in pages]
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
