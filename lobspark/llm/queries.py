@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lobspark.llm.collocations import collocations
 from lobspark.llm.common import table
 from lobspark.llm.embeddings import near_vectors
+from lobspark.llm.hostrules import host_rules
 from lobspark.llm.html import extract
 from lobspark.llm.langid import held_out, language_id
 from lobspark.llm.licenses import license_scan
 from lobspark.llm.media import document_media
+from lobspark.llm.merkle import document_manifest
 from lobspark.llm.nbest import encode_digests
 from lobspark.llm.packing import pack
 from lobspark.llm.simhash import simhash_dedup
@@ -143,3 +146,82 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query(
+    "op11_host_rules",
+    r"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d))),
+    r AS (SELECT doc_id, sum(least(3, coalesce(i - before, 3)))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE c > 1) GROUP BY doc_id),
+    m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                 len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+          FROM d LEFT JOIN r USING (doc_id)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS f2, 10 * n_dup_lines > 3 * n_lines AS f3,
+                 n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words) AS f4 FROM m),
+    h AS (SELECT source, 'base' AS rule, count(*) AS n, sum(base_failed::INT) AS k FROM f GROUP BY source UNION ALL SELECT source, 'symbols', count(*), sum(f2::INT) FROM f GROUP BY source
+          UNION ALL SELECT source, 'lines', count(*), sum(f3::INT) FROM f GROUP BY source UNION ALL SELECT source, 'word_length', count(*), sum(f4::INT) FROM f GROUP BY source),
+    p AS (SELECT rule, sum(k)::DOUBLE / sum(n)::DOUBLE AS m1, sum(k * (k - 1))::DOUBLE / nullif(sum(n * (n - 1))::DOUBLE, 0) AS m2 FROM h GROUP BY rule),
+    s AS (SELECT source, rule, n, k, m1, CASE WHEN m2 > m1 * m1 THEN (m1 - m2) / (m2 - m1 * m1) END AS strength FROM h JOIN p USING (rule)),
+    v AS (SELECT source, rule, CASE WHEN strength IS NULL THEN m1 ELSE (k + m1 * strength) / (n + strength) END AS rate FROM s),
+    b AS (SELECT source, max(CASE WHEN rule = 'base' THEN rate END) AS r1, max(CASE WHEN rule = 'symbols' THEN rate END) AS r2, max(CASE WHEN rule = 'lines' THEN rate END) AS r3, max(CASE WHEN rule = 'word_length' THEN rate END) AS r4 FROM v GROUP BY source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR r1 > 0.8 OR (r2 > 0.3 AND f2) OR (r3 > 0.3 AND f3) OR (r4 > 0.3 AND f4)) AS kept,
+           CASE WHEN r1 > 0.8 THEN 'rejected' WHEN greatest(r1, r2, r3, r4) > 0.3 THEN 'doubtful' ELSE 'trusted' END AS host_verdict
+    FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
+    """,
+)
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+    WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    x AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+                 xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda y: ascii(y)::BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 0 AS hit
+          FROM documents, tab),
+    y AS (SELECT doc_id, source, hit, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                 coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(low) || ':' || low, '-') AS u FROM x),
+    l AS (SELECT doc_id, source, coalesce('+' || source, '') AS g, sha256(head || t) AS leaf, sha256(head || CASE WHEN hit THEN u ELSE t END) AS now,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(head || t)) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM y),
+    a(g, lev, pos, n, d) AS (SELECT g, 0, pos, n, leaf FROM l UNION ALL SELECT g, lev + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY g, lev, pos // 16, n),
+    r AS (SELECT g, d AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM a WHERE n = 1),
+    b(lev, pos, n, d) AS (SELECT 0, pos, n, subroot FROM r UNION ALL SELECT lev + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY lev, pos // 16, n),
+    sa AS (SELECT p.g, p.lev, p.pos, coalesce(string_agg(q.d, '' ORDER BY q.pos) FILTER (q.pos < p.pos), '') AS lft, coalesce(string_agg(q.d, '' ORDER BY q.pos) FILTER (q.pos > p.pos), '') AS rgt
+           FROM a p JOIN a q ON p.g = q.g AND p.lev = q.lev AND p.pos // 16 = q.pos // 16 WHERE p.n > 1 GROUP BY ALL),
+    sb AS (SELECT p.lev, p.pos, coalesce(string_agg(q.d, '' ORDER BY q.pos) FILTER (q.pos < p.pos), '') AS lft, coalesce(string_agg(q.d, '' ORDER BY q.pos) FILTER (q.pos > p.pos), '') AS rgt
+           FROM b p JOIN b q ON p.lev = q.lev AND p.pos // 16 = q.pos // 16 WHERE p.n > 1 GROUP BY ALL),
+    fa(doc_id, g, leaf, lev, pos, n, d, seen) AS (SELECT doc_id, g, leaf, 0, pos, n, now, '' FROM l
+       UNION ALL SELECT fa.doc_id, fa.g, leaf, fa.lev + 1, fa.pos // 16, (n + 15) // 16, sha256(lft || d || rgt), seen || lft || rgt FROM fa JOIN sa ON fa.g = sa.g AND fa.lev = sa.lev AND fa.pos = sa.pos WHERE n > 1),
+    fb(doc_id, g, leaf, lev, pos, n, d, seen) AS (SELECT doc_id, fa.g, leaf, 0, r.pos, r.n, d, seen FROM fa JOIN r USING (g) WHERE fa.n = 1
+       UNION ALL SELECT doc_id, g, leaf, fb.lev + 1, fb.pos // 16, (n + 15) // 16, sha256(lft || d || rgt), seen || lft || rgt FROM fb JOIN sb ON fb.lev = sb.lev AND fb.pos = sb.pos WHERE n > 1)
+    SELECT doc_id, leaf, subroot, (SELECT d FROM b WHERE n = 1) AS root, sha256(seen) AS proof_sha256, d AS folded_root, d = (SELECT d FROM b WHERE n = 1) AS verified FROM fb JOIN r USING (g) WHERE fb.n = 1
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents")).select("row.doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+    o AS (SELECT lang, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k)),
+    f AS (SELECT lang, k, w[i : i + k - 1] AS w, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+    c AS (SELECT lang, phrase, k, w, f AS a, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+    s AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, j, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+          FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1 : c.k], ' ') JOIN n ON n.lang = c.lang),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS q FROM s) WHERE q = 1),
+    i AS (SELECT lang, array_to_string(w[q : q + size - 1], ' ') AS phrase, max(f) AS longer
+          FROM (SELECT lang, w, k, f, size, unnest(range(1, k - size + 2)) AS q FROM (SELECT lang, w, k, f, unnest(range(2, k)) AS size FROM f WHERE k > 2)) GROUP BY ALL)
+    SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+                   FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR longer < a) WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
