@@ -69,8 +69,11 @@ def test_host_rules_against_brute_force(docs, rows):
 def test_host_verdicts_reach_clean_documents_of_a_bad_host(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(i, "too short" if i % 50 else good, "bad") for i in range(200)] + [(1000 + i, good if i % 50 else "short", f"fine{i % 4}") for i in range(400)] + [(5000, "short", "one page")]
-    got = {r[0]: (r[1], r[2]) for r in hostrules.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).selectExpr("row.doc_id", "host_verdict", "kept").collect()}
-    assert got[0] == ("rejected", False) and got[1001] == ("trusted", True) and got[5000][0] != "rejected"
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r[0]: (r[1], r[2]) for r in hostrules.host_rules(df).selectExpr("row.doc_id", "host_verdict", "kept").collect()}
+    assert got[0] == ("rejected", False) and got[1001] == ("trusted", True)
+    rates = {r["host"]: r["rate_base"] for r in hostrules.host_rates(hostrules.measured(df, ["doc_id"])).collect()}
+    assert rates["one page"] < rates["bad"] < 1 and 0 < rates["fine1"]  # one page weighs less than a record of 200
 
 
 def digest(*parts):
