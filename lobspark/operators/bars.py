@@ -1,8 +1,9 @@
 """Dollar bars with a time cap, their decision clock, and member-trade features.
 
-Bars reset on every close, so a symbol-day is folded in order; days and symbols fold in parallel, a
-task streams Arrow batches and keeps only the open bar's totals. Chaining across days (the decision
-watermark) is a running maximum over bars.
+Bars reset on every close. A symbol-day is cut into chunks of time: each reduces itself, as a task of its own, to a map
+from the state before it to the state after it, a short walk over the maps finds the state before every chunk, and the
+chunks then tag their trades in parallel. A task streams Arrow batches and keeps the open bar's totals, or one chunk's
+instants and notionals. Chaining across days (the decision watermark) is a running maximum over bars.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql.window import Window as W
 
 from lobspark.operators.book import day_open
 from lobspark.operators.folds import ordered_fold
-from lobspark.operators.ordered import running
-from lobspark.session import DAY_NS
+from lobspark.operators.ordered import balanced_bucket_width, bucket_of, running
+from lobspark.session import DAY_NS, materialize
 
 REASONS = ("threshold", "time_cap", "day_end")
 
+#: Trades of a chunk that one task keeps as two numbers each.
+CHUNK_TRADES = 2_000_000
+
 
 def threshold_schedule(
     days: DataFrame, *, window_days: int, warmup_days: int, target_bars: int, seed_threshold: float, min_coverage: float = 0.0
@@ -106,16 +110,19 @@ TAGGED = (
     "prev_price double, interval_start bigint, close_reason string, cap_fire bigint, notional double, "
     "threshold double, is_warmup boolean"
 )
-_COLS = [c.strip().split()[0] for c in TAGGED.split(",")]
+#: What a fold starts from: the open bar, the price before it, and the day's end if the fold is to close it.
+STATE = "number bigint, since bigint, held double, open_trades bigint, last_price double"
+_INTS = ("bar_idx", "origin_ns", "received_ns", "seq", "interval_start", "cap_fire", "chunk", "number", "since", "open_trades")
 
 
-_INTS = ("bar_idx", "origin_ns", "received_ns", "seq", "interval_start", "cap_fire")
+def _names(schema: str) -> list[str]:
+    return [c.strip().split()[0] for c in schema.split(",")]
 
 
-def _typed(cols: dict, n: int) -> pd.DataFrame:
+def _typed(cols: dict, n: int, names: list[str] = _names(TAGGED)) -> pd.DataFrame:
     """Frame in schema order; nanosecond columns are nullable integers, never floats."""
     out = {}
-    for c in _COLS:
+    for c in names:
         if c in _INTS:
             out[c] = pd.array(cols[c], dtype="Int64") if c in cols else pd.array([pd.NA] * n, dtype="Int64")
         else:
@@ -123,73 +130,225 @@ def _typed(cols: dict, n: int) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def _closed_bars(closed: list, threshold: float, warmup: bool, names: list[str] = _names(TAGGED)) -> pd.DataFrame | None:
+    if not closed:
+        return None
+    idx, start, reason, fire, acc = (list(x) for x in zip(*closed))
+    n = len(idx)
+    cap_fire = [pd.NA if f is None else f for f in fire]
+    return _typed({"bar_idx": idx, "interval_start": start, "close_reason": reason, "cap_fire": cap_fire, "notional": acc, "threshold": [threshold] * n, "is_warmup": [warmup] * n}, n, names)
+
+
 class _BarFold:
-    def __init__(self, cap_ns: int):
-        self.cap, self.bar, self.last_price = cap_ns, None, np.nan
+    """Tags trades with their bars from the state that the head row gives."""
 
-    def _bars(self, closed: list) -> pd.DataFrame | None:
-        if not closed:
-            return None
-        idx, start, reason, fire, acc = (list(x) for x in zip(*closed))
-        n = len(idx)
-        return _typed(
-            {
-                "bar_idx": idx,
-                "interval_start": start,
-                "close_reason": reason,
-                "cap_fire": [pd.NA if f is None else f for f in fire],
-                "notional": acc,
-                "threshold": [self.threshold] * n,
-                "is_warmup": [self.warmup] * n,
-            },
-            n,
-        )
+    def __init__(self, cap_ns: int):
+        self.cap, self.bar = cap_ns, None
 
     def push(self, pdf: pd.DataFrame) -> list | None:
         if self.bar is None:
             head = pdf.iloc[0]
-            self.threshold, self.warmup, day = float(head["threshold"]), bool(head["is_warmup"]), int(pdf["open_ns"].iloc[0])
-            self.bar, self.day_end = OpenBar(0, day), day + DAY_NS
+            if head["kind"] != 0:
+                raise ValueError("a symbol-day has trades and no threshold")
+            self.threshold, self.warmup, self.last_price = float(head["threshold"]), bool(head["is_warmup"]), float(head["last_price"])
+            self.bar = OpenBar(int(pdf["number"].iloc[0]), int(pdf["since"].iloc[0]), float(head["held"]), int(pdf["open_trades"].iloc[0]))
+            self.day_end = int(pdf["day_end"].iloc[0])
         t = pdf[pdf["kind"].to_numpy() == 1]
         if not len(t):
             return None
         price = t["price"].to_numpy(float)
+        before = self.bar.number
         self.bar, number, opens, closed = assign_bars(self.bar, t["origin_ns"].to_numpy(np.int64), price * t["quantity"].to_numpy(float), self.threshold, self.cap)
         prev = np.concatenate([[self.last_price], price[:-1]])
-        prev[opens | np.concatenate([[False], number[1:] != number[:-1]])] = np.nan
+        prev[opens | np.concatenate([[number[0] != before], number[1:] != number[:-1]])] = np.nan
         self.last_price = price[-1]
         cols = {c: t[c].to_numpy() for c in ("origin_ns", "received_ns", "seq", "side", "price", "quantity")}
         rows = _typed({**cols, "bar_idx": number, "prev_price": prev}, len(t))
-        return [rows, self._bars(closed)]
+        return [rows, _closed_bars(closed, self.threshold, self.warmup)]
 
     def finish(self) -> pd.DataFrame | None:
-        if self.bar is None:
+        if self.bar is None or not self.day_end:
             return None
-        rows, self.bar = close_day(self.bar, self.day_end, self.cap), None
-        return self._bars(rows)
+        return _closed_bars(close_day(self.bar, self.day_end, self.cap), self.threshold, self.warmup)
 
 
-def tagged_bars(trades: DataFrame, schedule: DataFrame, cap_ns: int) -> DataFrame:
-    """Member rows (trade columns set) and bar rows (close columns set) of every symbol-day.
+# ------------------------------------------------------------------ one symbol-day in several tasks
+def _first_close(bar: OpenBar, ts: np.ndarray, notional: np.ndarray, threshold: float, cap_ns: int) -> tuple[int, int]:
+    """The first trade that closes a bar by threshold (-1: none) and the number of the bar after it."""
+    at = 0
+    while at < len(ts):
+        bar, _ = _caps(bar, int(ts[at]), cap_ns)
+        stop = int(np.searchsorted(ts, bar.since + cap_ns))
+        taken, total = _reach(bar.held, notional[at:stop], threshold)
+        if taken > 0:
+            return at + taken - 1, bar.number + 1
+        bar, at = bar._replace(held=total, trades=bar.trades + stop - at), stop
+    return -1, bar.number
+
+
+def next_closes(ts: np.ndarray, notional: np.ndarray, threshold: float, cap_ns: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a bar opened by the close at each trade: the next trade that closes by threshold (len: none), and the bars closed until then.
 
-    ``schedule`` rows head each day, so a day without trades still emits its capped empty bars.
+    Sums come from prefix sums; where they are too close to the threshold to tell, the trades are added up one by one, as
+    the fold does. Every turn of the loop takes the open bars past one cap.
     """
+    n = len(ts)
+    sums = np.concatenate([[0], np.cumsum(notional, dtype=np.longdouble)])
+    near = threshold * 1e-9 + float(sums[-1]) * 1e-14
+    close, count = np.full(n, n), np.zeros(n, dtype=np.int64)
+    who, at, since = np.arange(n - 1), np.arange(1, n), ts[:-1].copy()
+    while len(who):
+        passed = np.maximum(0, (ts[at] - since) // cap_ns)
+        since, count[who] = since + passed * cap_ns, count[who] + passed
+        want = sums[at] + threshold
+        k = np.searchsorted(sums, want)
+        hit = np.maximum(k - 1, at)
+        for i in np.flatnonzero((np.abs(sums[np.minimum(k, n)] - want) < near) | (np.abs(sums[k - 1] - want) < near)):
+            taken, _ = _reach(0.0, notional[at[i] :], threshold)
+            hit[i] = at[i] + taken - 1 if taken > 0 else n
+        stop = np.searchsorted(ts, since + cap_ns)
+        closes = hit < stop
+        close[who[closes]], count[who[closes]] = hit[closes], count[who[closes]] + 1
+        on = ~closes & (stop < n)
+        who, at, since = who[on], stop[on], since[on]
+    return close, count
+
+
+def chunk_map(ts: np.ndarray, notional: np.ndarray, threshold: float, cap_ns: int) -> dict | None:
+    """How a chunk of trades takes any state before it to the state after it; None where it is no shorter than its trades.
+
+    Closes by threshold are a graph: each has one next close. Pointer doubling leads from every close to the last one in the
+    chunk. Whatever bar is open before, a close comes as soon as trades less than a cap apart hold two thresholds: the trades up
+    to there are the ``head``, and those after the earliest last close the ``tail``. Between them nothing need be kept.
+    """
+    n = len(ts)
+    if not n or not threshold > 0 or not (notional >= 0).all() or not np.isfinite(notional).all():
+        return None
+    sums = np.concatenate([[0], np.cumsum(notional, dtype=np.longdouble)])
+    full = sums[1:] - sums[np.searchsorted(ts, ts - cap_ns, side="right")] >= 2 * threshold * (1 + 1e-6)
+    head = int(full.argmax()) + 1
+    if not full.any() or 2 * head >= n:
+        return None
+    close, count = next_closes(ts, notional, threshold, cap_ns)
+    jump = np.where(close < n, close, np.arange(n))
+    total = np.where(close < n, count, 0)
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        total, jump = total + total[jump], further
+    last, tail = jump[:head], int(jump[:head].min())
+    if head + n - tail >= n:
+        return None
+    return {"ts": ts[:head], "notional": notional[:head], "last": last - tail, "count": total[:head], "tail_ts": ts[tail:], "tail_notional": notional[tail:]}
+
+
+_MAP = {"ts": np.int64, "notional": np.float64, "last": np.int64, "count": np.int64, "tail_ts": np.int64, "tail_notional": np.float64}
+
+
+class _ChunkFold:
+    """Collects a chunk's instants and notionals and gives its map as one row of packed arrays."""
+
+    def __init__(self, cap_ns: int):
+        self.cap, self.threshold, self.parts = cap_ns, None, []
+
+    def push(self, pdf: pd.DataFrame) -> None:
+        if self.threshold is None:
+            self.threshold = float(pdf["threshold"].iloc[0])
+        t = pdf[pdf["kind"].to_numpy() == 1]
+        if len(t):
+            self.price = float(t["price"].iloc[-1])
+            self.parts.append((t["origin_ns"].to_numpy(np.int64), t["price"].to_numpy(float) * t["quantity"].to_numpy(float)))
+
+    def finish(self) -> pd.DataFrame:
+        ts, notional = (np.concatenate(x) for x in zip(*self.parts))
+        short = chunk_map(ts, notional, self.threshold, self.cap) or {"ts": ts, "notional": notional}
+        return pd.DataFrame({**{c: [short[c].astype(kind).tobytes() if c in short else None] for c, kind in _MAP.items()}, "chunk_price": [self.price]})
+
+
+_WALKED = f"{TAGGED}, chunk bigint, {STATE}"
+
+
+class _DayWalk:
+    """Walks a symbol-day over its chunk maps: the state before each chunk, and the bars left when the day ends."""
+
+    def __init__(self, cap_ns: int):
+        self.cap, self.bar, self.last_price = cap_ns, None, np.nan
+
+    def _after(self, m: dict) -> OpenBar:
+        if m["last"] is None:
+            return assign_bars(self.bar, m["ts"], m["notional"], self.threshold, self.cap)[0]
+        j, number = _first_close(self.bar, m["ts"], m["notional"], self.threshold, self.cap)
+        k = int(m["last"][j])
+        fresh = OpenBar(number + int(m["count"][j]), int(m["tail_ts"][k]))
+        return assign_bars(fresh, m["tail_ts"][k + 1 :], m["tail_notional"][k + 1 :], self.threshold, self.cap)[0]
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        if self.bar is None:
+            head = pdf.iloc[0]
+            self.threshold, self.warmup = float(head["threshold"]), bool(head["is_warmup"])
+            self.bar, self.day_end = OpenBar(0, int(pdf["since"].iloc[0])), int(pdf["day_end"].iloc[0])
+        rows = []
+        for i in np.flatnonzero(pdf["kind"].to_numpy() == 1):
+            row = pdf.iloc[i]
+            rows.append((int(pdf["chunk"].iloc[i]), *self.bar, self.last_price))
+            self.bar = self._after({c: None if row[c] is None else np.frombuffer(row[c], dtype=kind) for c, kind in _MAP.items()})
+            self.last_price = float(row["chunk_price"])
+        n = len(rows)
+        names = ["chunk", *_names(STATE)]
+        return _typed({**dict(zip(names, map(list, zip(*rows)))), "threshold": [self.threshold] * n, "is_warmup": [self.warmup] * n}, n, _names(_WALKED)) if n else None
+
+    def finish(self) -> pd.DataFrame | None:
+        return _closed_bars(close_day(self.bar, self.day_end, self.cap), self.threshold, self.warmup, _names(_WALKED))
+
+
+def _heads(schedule: DataFrame) -> DataFrame:
+    """The state at the start of each scheduled day."""
     zero = F.lit(0).cast("bigint")  # no nulls in BIGINT columns: pandas would turn them into floats
-    head = schedule.select(
-        "symbol", "dt", "threshold", "is_warmup", day_open().alias("open_ns"), F.lit(0).alias("kind"),
-        day_open().alias("origin_ns"), zero.alias("received_ns"), zero.alias("seq"),
+    return schedule.select(
+        "symbol", "dt", "threshold", "is_warmup", F.lit(0).alias("kind"), day_open().alias("origin_ns"), zero.alias("received_ns"), zero.alias("seq"),
+        zero.alias("number"), day_open().alias("since"), F.lit(0.0).alias("held"), zero.alias("open_trades"), F.lit(float("nan")).alias("last_price"),
+        (day_open() + DAY_NS).alias("day_end"),
     )
-    body = trades.select(
-        "symbol", "dt", zero.alias("open_ns"), "origin_ns", "received_ns", "seq", "side", "price", "quantity", F.lit(1).alias("kind")
-    )
-    stream = head.unionByName(body, allowMissingColumns=True)
-    return ordered_fold(
-        stream,
-        ["symbol", "dt"],
-        ["kind", "origin_ns", "seq"],
-        lambda key: _BarFold(cap_ns),
-        f"symbol string, dt date, {TAGGED}",
+
+
+def _bodies(trades: DataFrame, *more: str) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return trades.select(
+        "symbol", "dt", *more, "origin_ns", "received_ns", "seq", "side", "price", "quantity", F.lit(1).alias("kind"),
+        zero.alias("number"), zero.alias("since"), zero.alias("open_trades"), zero.alias("day_end"),
+    )
+
+
+def tagged_bars(trades: DataFrame, schedule: DataFrame, cap_ns: int, *, width: int | None = None) -> DataFrame:
+    """Member rows (trade columns set) and bar rows (close columns set) of every symbol-day.
+
+    ``schedule`` rows head each day, so a day without trades still emits its capped empty bars. ``width`` cuts days into
+    chunks of time that are separate tasks (a divisor of a day; unset: trades are counted once and the widest one with at most
+    ``CHUNK_TRADES`` in a chunk is taken). Rows do not depend on it.
+    """
+    if width is None:
+        width = balanced_bucket_width(trades, ["symbol", "dt"], "origin_ns", CHUNK_TRADES)
+    out = f"symbol string, dt date, {TAGGED}"
+    if width >= DAY_NS:
+        stream = _heads(schedule).unionByName(_bodies(trades), allowMissingColumns=True)
+        return ordered_fold(stream, ["symbol", "dt"], ["kind", "origin_ns", "seq"], lambda key: _BarFold(cap_ns), out)
+    cut = trades.withColumn("chunk", bucket_of("origin_ns", width))
+    cells = cut.select("symbol", "dt", "chunk").distinct().join(schedule.select("symbol", "dt", "threshold"), ["symbol", "dt"])
+    stream = cells.withColumns({"kind": F.lit(0), "origin_ns": F.lit(0).cast("bigint"), "seq": F.lit(0).cast("bigint")}).unionByName(
+        cut.select("symbol", "dt", "chunk", "origin_ns", "seq", "price", "quantity", F.lit(1).alias("kind")), allowMissingColumns=True
     )
+    keys = ["symbol", "dt", "chunk"]
+    maps = ordered_fold(stream, keys, ["kind", "origin_ns", "seq"], lambda key: _ChunkFold(cap_ns), f"symbol string, dt date, chunk bigint, {', '.join(f'{c} binary' for c in _MAP)}, chunk_price double")
+    heads = _heads(schedule).select("symbol", "dt", "kind", "threshold", "is_warmup", "since", "day_end", F.lit(0).cast("bigint").alias("chunk"))
+    zero = {c: F.lit(0).cast("bigint") for c in ("since", "day_end")}
+    stream = heads.unionByName(maps.withColumns({"kind": F.lit(1), **zero}), allowMissingColumns=True)
+    walked = materialize(ordered_fold(stream, ["symbol", "dt"], ["kind", "chunk"], lambda key: _DayWalk(cap_ns), f"symbol string, dt date, {_WALKED}"))
+    zero = {c: F.lit(0).cast("bigint") for c in ("origin_ns", "received_ns", "seq", "day_end")}
+    entries = walked.where("chunk IS NOT NULL").select(*keys, "threshold", "is_warmup", *_names(STATE)).withColumns({"kind": F.lit(0), **zero})
+    stream = entries.unionByName(_bodies(cut, "chunk"), allowMissingColumns=True)
+    members = ordered_fold(stream, keys, ["kind", "origin_ns", "seq"], lambda key: _BarFold(cap_ns), f"symbol string, dt date, chunk bigint, {TAGGED}")
+    return members.drop("chunk").unionByName(walked.where("chunk IS NULL").select("symbol", "dt", *_names(TAGGED)))
 
 
 def bars_from_tagged(tagged: DataFrame) -> DataFrame:
@@ -223,8 +382,8 @@ def bars_from_tagged(tagged: DataFrame) -> DataFrame:
     )
 
 
-def dollar_bars(trades: DataFrame, schedule: DataFrame, cap_ns: int) -> DataFrame:
-    return bars_from_tagged(tagged_bars(trades, schedule, cap_ns))
+def dollar_bars(trades: DataFrame, schedule: DataFrame, cap_ns: int, *, width: int | None = None) -> DataFrame:
+    return bars_from_tagged(tagged_bars(trades, schedule, cap_ns, width=width))
 
 
 def decision_watermark(bars: DataFrame, width: int = 30 * DAY_NS) -> DataFrame:
