@@ -4,10 +4,11 @@ Only windows of the longest order are counted: the words from one place on, as l
 Spark's ROLLUP then sums them over successively shorter prefixes, which gives the frequency of every shorter phrase (and, with
 no word left, of all words) without an n-gram explosion per order.
 
-Scale: a window need not reach beyond a pair of words that is too rare for any phrase. A first pass counts pairs (and single words) by
-hash into a bit table of fixed size; only slots that reach the threshold keep their bit. A slot never counts less than its pair, so
+Scale: a window need not reach beyond two or three words that are too rare together for any phrase. A first pass counts single words, pairs and
+triples by hash into a table of fixed size; only slots that reach the threshold keep their bit. A slot never counts less than what falls into it, so
 windows are cut at most where no phrase can be, and what the slots let pass too much is counted exactly afterwards: results don't depend on the
-table, which is 16 MB for any corpus. Windows are pre-counted inside the tasks, and hot words are one row per task.
+table, which is 16 MB for any corpus (from about 10**10 words on it lets most windows pass, and these are shuffled). Windows are pre-counted inside
+the tasks, and hot words are one row per task.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from lobspark.llm.common import mix
 from lobspark.session import materialize
 
-#: Slots of the bit table that is sent to every task: 2**27 bits, 16 MB.
-SLOT_BITS = 27
+#: Slots of the bit table that is sent to every task: 2**27 bits, 16 MB; and slots that travel together.
+SLOT_BITS, CHUNK = 27, 1 << 15
 #: Words after which a task counts what it has read, and different words after which it starts a new word list.
 READ_WORDS, LISTED_WORDS = 1_000_000, 400_000
 SALTS = 8
@@ -59,47 +60,77 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.n
         yield list(listed), np.concatenate(ids), np.repeat(*np.array(tags).T), list(langs)
 
 
-def _slots(listed: list[bytes], ids: np.ndarray, tags: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of the word at each place, and of the pair of words that starts there (the last place has none)."""
+def _slots(listed: list[bytes], ids: np.ndarray, tags: np.ndarray, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one, two and three words from each place on: their slot, and whether they stand in one piece. The last places have no longer ones."""
     word = np.array([xxhash.xxh64_intdigest(w) for w in listed], dtype=np.uint64)[ids]
     word += np.array([xxhash.xxh64_intdigest(x, 1) for x in langs], dtype=np.uint64)[tags]
-    cut = np.uint64(64 - SLOT_BITS)
-    return (mix(word) >> cut).astype(np.int64), (mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]) >> cut).astype(np.int64)
+    cut, factor = np.uint64(64 - SLOT_BITS), np.uint64(0x9E3779B97F4A7C15)
+    out, h, inside = [], word, ids > 0
+    for k in range(1, 4):
+        out.append(((mix(h) >> cut).astype(np.int64), inside))
+        h, inside = h[:-1] * factor + word[k:], inside[:-1] & (ids[k:] > 0)
+    return out
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for listed, ids, tags, langs in _read(batches):
-        one, two = _slots(listed, ids, tags, langs)
-        slot, c = np.unique(np.concatenate([one[ids > 0], two[(ids[:-1] > 0) & (ids[1:] > 0)]]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(c)], names=["slot", "c"])
+def _count_slots(least: int):
+    """One row per chunk of slots and list of words: the slots seen (two bytes each) and how often, counted up to the threshold."""
+    small = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for read in _read(batches):
+            slot, c = np.unique(np.concatenate([s[inside] for s, inside in _slots(*read)]), return_counts=True)
+            edge = np.flatnonzero(np.diff(slot // CHUNK, prepend=-1))
+            at = np.append(edge, len(slot)).astype(np.int32)
+            packed = [pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(at * x.itemsize), pa.py_buffer(x)]) for x in ((slot % CHUNK).astype(np.uint16), np.minimum(c, least).astype(small))]
+            yield pa.RecordBatch.from_arrays([pa.array((slot[edge] // CHUNK).astype(np.int32)), *packed], names=["chunk", "slots", "counts"])
+
+    return run
+
+
+def _add_slots(least: int):
+    """Bits of the chunks dealt to a task; it keeps one array per chunk, whatever comes in."""
+    small = np.min_scalar_type(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for b in batches:
+            for chunk, slots, counts in zip(b["chunk"].to_pylist(), b["slots"].to_pylist(), b["counts"].to_pylist()):
+                have = sums.setdefault(chunk, np.zeros(CHUNK, dtype=np.int32))
+                slots = np.frombuffer(slots, dtype=np.uint16)
+                have[slots] = np.minimum(have[slots] + np.frombuffer(counts, dtype=small), least)
+        for chunk, have in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(have >= least, bitorder="little").tobytes()])], names=["chunk", "bits"])
+
+    return run
 
 
 def frequent_slots(texts: DataFrame, least: int) -> np.ndarray:
-    """The bit table (bytes): slots whose words and pairs stand at least ``least`` times in all texts."""
-    full = texts.mapInArrow(_count_slots, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    chunks = full.groupBy(F.expr("bitmap_bucket_number(slot + 1) - 1").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
-    size = 4096  # bytes of one chunk
-    table = np.zeros(2**SLOT_BITS // 8, dtype=np.uint8)
-    for chunk, bits in chunks.collect():  # at most 2**27 / 32768 rows
-        table[chunk * size : chunk * size + len(bits)] = np.frombuffer(bits, dtype=np.uint8)
-    return table
+    """The bit table (bytes): slots whose words, pairs and triples stand at least ``least`` times in all texts."""
+    seen = texts.mapInArrow(_count_slots(least), "chunk int, slots binary, counts binary")
+    chunks = seen.repartition(64, "chunk").mapInArrow(_add_slots(least), "chunk int, bits binary")
+    table = np.zeros((2**SLOT_BITS // CHUNK, CHUNK // 8), dtype=np.uint8)
+    for chunk, bits in chunks.collect():  # at most 4,096 rows of 4 kB
+        table[chunk] = np.frombuffer(bits, dtype=np.uint8)
+    return table.ravel()
 
 
-def _windows(frequent, longest: int):
+def _windows(bits, longest: int):
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
+        table = bits.value
         for listed, ids, tags, langs in _read(batches):
-            one, two = (table[s >> 3] >> (s & 7).astype(np.uint8) & 1 for s in _slots(listed, ids, tags, langs))
             here = np.flatnonzero(ids)
+            frequent = []
+            for s, inside in _slots(listed, ids, tags, langs):
+                frequent.append(np.zeros(len(ids) + longest, dtype=bool))
+                frequent[-1][: len(s)] = (table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1) & inside
+            one, two, three = frequent
             ids = np.append(ids, np.zeros(longest, dtype=np.int64))
-            joined = np.zeros(len(ids), dtype=bool)
-            joined[: len(two)] = (two == 1) & (ids[: len(two)] > 0) & (ids[1 : len(two) + 1] > 0)
-            on = one[here] == 1
+            on = one[here]
             columns = [np.where(on, ids[here], 0)]  # number 0 pads
             for k in range(1, longest):
-                on &= joined[here + k - 1]
+                on = on & two[here + k - 1] & (three[here + k - 2] if k > 1 else True)
                 columns.append(np.where(on, ids[here + k], 0))
             counted = pa.table([pa.array(tags[here]), *map(pa.array, columns)], names=["lang", *names]).group_by(["lang", *names], use_threads=False).aggregate([([], "count_all")])
             word = pa.array([b"", *listed[1:]], pa.binary()).cast(pa.string())
