@@ -5,7 +5,8 @@ to cut it into pieces, computed by the forward algorithm; a text's likelihood is
 
 Learning takes every training row: the expected count of a piece is taken over all segmentations (forward and backward pass
 with equal piece probabilities), and counts are summed by language and piece, so the model has one number for each
-piece and language, however large the corpus. Long words are cut every ``LONGEST`` bytes, so that sums stay in range.
+piece and language, however large the corpus. Long words are cut at the last character
+that begins within every ``LONGEST`` bytes, so that sums stay in range.
 """
 
 from __future__ import annotations
@@ -47,7 +48,10 @@ def _parts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(s)), n)
     k = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
     start = base[word] + k * LONGEST
-    return buffer, start, np.minimum(start + LONGEST, (base + size)[word]), word
+    for _ in range(3):  # a part begins with a character: back over up to three bytes inside one
+        start = start - ((buffer[start] & 0xC0) == 0x80)
+    end = np.append(start[1:], len(buffer))  # words stand in a row
+    return buffer, start, end, word
 
 
 def _expected(pieces, w: Words, per_word: np.ndarray) -> np.ndarray:

@@ -114,6 +114,9 @@ def simhash_dedup(docs: DataFrame, carry: list[str] | None = None, hot_bucket: i
 
 #: ``near_groups``: bands of smallest hashes; at similarity 0.8 all bands miss a pair in 0.2 % of the cases.
 BANDS, BAND_ROWS = 16, 5
+#: Shingles of one band key that are compared in one task, two blocks at a time.
+BLOCK_SHINGLES = 300_000
+SALTS = 16
 _LIFT = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 
 
@@ -138,69 +141,100 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def shingle_classes(docs: DataFrame, carry: list[str], size: int = 5) -> DataFrame:
-    """``(row, text_hash, cls, bands)``: ``cls`` names the set of shingles of a text."""
+    """``(row, text_hash, cls, n, bands)``: ``cls`` names the set of the ``n`` shingles of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_shingle_set(t or b"", size) for t in b["text"].to_pylist()]
             cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["row"], b["text_hash"], pa.array(cls), pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=["row", "text_hash", "cls", "bands"])
+            n = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["row"], b["text_hash"], pa.array(cls), n, pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=["row", "text_hash", "cls", "n", "bands"])
 
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, text_hash long, cls long, bands array<long>")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets of shingles have at least this Jaccard similarity; ``texts`` has ``cls`` and ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"]):
-                if a != last:
-                    last, x = a, _shingle_set(ta.as_py(), size)
-                y = _shingle_set(tb.as_py(), size)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
-
-    full = pairs.join(texts.toDF("b", "tb").hint("merge"), "b").join(texts.toDF("a", "ta").hint("merge"), "a").select("a", "b", "ta", "tb")
-    return full.mapInArrow(run, "a long, b long")
+    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, text_hash long, cls long, n long, bands array<long>")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Stretches of rows with equal keys in sorted batches, also where one goes over several batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes = np.stack([b[k].to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        if held and any(held[-1][k][-1].as_py() != b[k][0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(edges, edges[1:]):
+            held.append(b.slice(i, j - i))
+            if j < b.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links_of(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links between the sets of one band key, as few as join what is similar; a pair counts in the first band that it shares."""
+    band, cross = group["band"][0].as_py(), group["i"][0].as_py() != group["j"][0].as_py()
+    cls, own = group["cls"].to_numpy(), group["block"].to_numpy()
+    bands = np.array(group["bands"].to_pylist(), dtype=np.int64)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["hashes"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    root, out = np.arange(len(sets)), []
+    for a in range(len(sets)):
+        rest = np.arange(a + 1, len(sets))
+        low, high = np.minimum(size[rest], size[a]), np.maximum(size[rest], size[a])
+        ok = (root[rest] != root[a]) & (low >= similarity * high) & ~(bands[rest, :band] == bands[a, :band]).any(axis=1)
+        if cross:
+            ok &= own[rest] != own[a]
+        rest = rest[ok]
+        if not len(rest):
+            continue
+        flat = np.concatenate([sets[b] for b in rest])
+        at = np.minimum(np.searchsorted(sets[a], flat), size[a] - 1)
+        both = np.add.reduceat((sets[a][at] == flat).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+        for b in rest[both >= similarity * (size[a] + size[rest] - both)]:
+            if root[a] != root[b]:
+                out.append((int(cls[a]), int(cls[b])))
+                root[root == root[b]] = root[a]
+    return out
 
 
 def near_groups(docs: DataFrame, carry: list[str] | None = None, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``row, group``: rows have the same group (a long) if a chain of texts joins them, each next one at least this similar by its shingles.
 
-    Candidates of a band are first compared with two of its members only, in two rounds; what that joins is not compared
-    again, so a large group of near copies is not compared pair by pair.
+    Texts that share a band key are compared where they meet, on their sets of shingle hashes, which come once per text and key. A key with more than
+    ``BLOCK_SHINGLES`` is cut into blocks, and pairs of blocks meet. A task gives only links between what it has not yet joined, fewer than it has texts.
 
     Defined cases: equal sets of shingles are one class; a text shorter than a shingle is one shingle; texts without
     words, or null, are one class and near nothing else; an empty table gives no rows.
     """
     rows = materialize(shingle_classes(docs, carry or ["doc_id"], size))
-    classes = materialize(rows.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ids = pairs.select("a").union(pairs.select("b")).toDF("cls").distinct()
-        wanted = classes.join(ids, "cls", "left_semi").select("cls", "text_hash")
-        found = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-        texts = materialize(found.join(wanted, "text_hash").groupBy("cls").agg(F.first("text").alias("text")))
-        return materialize(_similar(pairs, texts, size, similarity))
-
-    links = None
-    known = classes.select("cls", "bands", F.col("cls").alias("c"))
-    for last in (False, False, True):
-        v = known.select(F.struct("c", "cls").alias("x"), F.explode("bands").alias("key"))
-        if last:
-            met = v.join(v.select("key", F.col("x").alias("y")).hint("merge"), "key").where("x.c < y.c").select("x.cls", F.col("y.cls").alias("other"))
-        else:
-            ends = v.groupBy("key").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low.c <> high.c")
-            met = v.join(ends, "key").select("x", F.explode(F.array("low", "high")).alias("y")).where("x.c <> y.c").select("x.cls", F.col("y.cls").alias("other"))
-        new = verified(met.toDF("a", "b"))
-        links = new if links is None else links.union(new)
-        comp = components(links).toDF("cls", "c")
-        known = materialize(classes.select("cls", "bands").join(comp, "cls", "left").withColumn("c", F.coalesce("c", "cls")))
-    return rows.join(known.select("cls", "c"), "cls").select("row", F.col("c").alias("group"))
+    classes = materialize(rows.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("n").alias("n")))
+    keys = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("m > 1").drop("m")
+    met = materialize(keys.join(shared, ["band", "key"]).select("band", "key", "cls", "blocks"))
+    wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "text_hash", "bands")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(wanted, "text_hash").dropDuplicates(["cls"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["cls"], b["bands"], pa.array([_shingle_set(t, size).tobytes() for t in b["text"].to_pylist()], pa.binary())], names=["cls", "bands", "hashes"])
+
+    sets = materialize(texts.select("cls", "bands", "text").mapInArrow(hashed, "cls long, bands array<long>, hashes binary"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, ["band", "key", "i", "j"]):
+            found = _links_of(group, similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    dealt = met.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "cls", "block")
+    pairs = dealt.join(sets.hint("merge"), "cls").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "cls")
+    links = materialize(pairs.mapInArrow(linked, "a long, b long"))
+    # copies of one text are one class: the few classes with a group go to them under a salt
+    named = components(links).toDF("cls", "c").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["cls", "salt"], "left").select("row", F.coalesce("c", "cls").alias("group"))

@@ -173,3 +173,45 @@ def test_very_long_text(spark):
     got = hostrules.host_rules(df).first()
     assert (got["n_words"], got["n_repeat_words"]) == (1_400_000, 1_400_000)
     assert collocations.collocations(df, 2, 100).where("phrase = 'w0 x0'").count() <= 1 and merkle.document_manifest(df).first()["root"]
+
+
+def test_near_groups_of_many_near_copies_link_few(spark):
+    """2,000 copies with 5 % of the words changed are mostly below 0.8: no pair is given unless it links, whatever the blocks."""
+    from lobspark.llm import simhash
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    texts = [" ".join(w if rng.random() > 0.05 else f"n{rng.randrange(99999)}" for w in base) for _ in range(300)] + [" ".join([*base[:-1], f"end{i}"]) for i in range(300)]
+    df = spark.createDataFrame([(i, t, 7, "x") for i, t in enumerate(texts)], "doc_id long, text string, band int, cls string").repartition(4)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old = group[a]
+                group = [group[b] if g == old else g for g in group]
+    found = {}
+    for block in (simhash.BLOCK_SHINGLES, 20_000):
+        simhash.BLOCK_SHINGLES, before = block, simhash.BLOCK_SHINGLES
+        got = {r[0]: r[1] for r in simhash.near_groups(df, ["doc_id", "band", "cls"]).selectExpr("row.doc_id", "group").collect()}
+        simhash.BLOCK_SHINGLES = before
+        found[block] = sorted(sorted(i for i in got if got[i] == g) for g in set(got.values()))
+    assert len({str(x) for x in found.values()}) == 1
+    # every group found is inside a true one; bands may miss a pair at exactly 0.8
+    for g in next(iter(found.values())):
+        assert len({group[i] for i in g}) == 1
+    assert len(next(iter(found.values()))) <= len(set(group)) + 2
+    none = df.where("false")
+    assert simhash.near_groups(none, ["doc_id"]).count() == 0
+
+
+def test_language_score_does_not_depend_on_neighbours(spark):
+    from lobspark.llm import langid
+
+    texts = ["Donaudampfschifffahrtsgesellschaftskapitaensmuetzenknopfloch " * 2, "naïveté" * 12, "日本語テキスト" * 30, "the cat", "x" * 3000, "ünïcödé" * 20, "Ω" * 41]
+    train = spark.createDataFrame([(t, "a" if i % 2 else "b") for i, t in enumerate(texts * 2)], "text string, lang string")
+    langs, prob = langid.learn(train)
+    one = {t: langid.identify(spark.createDataFrame([(1, t)], "doc_id long, text string"), langs, prob).first()["score"] for t in texts}
+    many = spark.createDataFrame(list(enumerate(random.Random(2).sample(texts * 3, 3 * len(texts)))), "doc_id long, text string").coalesce(1)
+    for r in langid.identify(many, langs, prob, ["text"]).collect():
+        assert r["score"] == pytest.approx(one[r["row"]["text"]], rel=1e-9)
