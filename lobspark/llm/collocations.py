@@ -28,6 +28,8 @@ from lobspark.session import materialize
 SLOT_BITS, CHUNK = 27, 1 << 15
 #: Words after which a task counts what it has read, and different words after which it starts a new word list.
 READ_WORDS, LISTED_WORDS = 1_000_000, 400_000
+#: Different windows that a task adds up before it gives them out.
+HELD_WINDOWS = 500_000
 SALTS = 8
 _SPLIT = bytes.maketrans(b"\t.,;:!?\x0b\x0c\r", b" \n\n\n\n\n\n\n\n\n")
 
@@ -118,7 +120,7 @@ def _windows(bits, longest: int):
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        table, held = bits.value, None
         for listed, ids, tags, langs in _read(batches):
             here = np.flatnonzero(ids)
             frequent = []
@@ -134,8 +136,14 @@ def _windows(bits, longest: int):
                 columns.append(np.where(on, ids[here + k], 0))
             counted = pa.table([pa.array(tags[here]), *map(pa.array, columns)], names=["lang", *names]).group_by(["lang", *names], use_threads=False).aggregate([([], "count_all")])
             word = pa.array([b"", *listed[1:]], pa.binary()).cast(pa.string())
-            out = [pa.array(langs, pa.string()).take(counted["lang"]), *(word.take(counted[c]) for c in names), counted["count_all"]]
-            yield from pa.table(out, names=["lang", *names, "c"]).combine_chunks().to_batches(50_000)
+            new = pa.table([pa.array(langs, pa.string()).take(counted["lang"]), *(word.take(counted[c]) for c in names), counted["count_all"]], names=["lang", *names, "c"])
+            # frequent words and pairs come back in every list: add them up over the task
+            held = new if held is None else pa.concat_tables([held, new]).group_by(["lang", *names], use_threads=False).aggregate([("c", "sum")]).rename_columns(["lang", *names, "c"])
+            if held.num_rows > HELD_WINDOWS:
+                yield from held.combine_chunks().to_batches(50_000)
+                held = None
+        if held is not None:
+            yield from held.combine_chunks().to_batches(50_000)
 
     return run
 
