@@ -164,12 +164,8 @@ def _listed(score: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, score.size + 1, score.shape[1], dtype=np.int32), pa.array(score.ravel()))
 
 
-def fit_boosted(train: DataFrame, keys: Sequence[str], params: BoostParams) -> Ensemble:
-    """One ensemble for all of ``keys`` (with the split among them). ``train``: keys, ``bins, y, label, w``.
-
-    Models start from the weighted mean and the log shares of the classes. A model of fewer than two rows stays at zero, one of a single
-    class gives no class score.
-    """
+def started(train: DataFrame, keys: Sequence[str], params: BoostParams) -> tuple[Ensemble, DataFrame | None]:
+    """Models without trees yet, and the rows with their model's number and starting scores; see ``fit_boosted``."""
     keys = list(keys)
     k = len(CLASSES)
     share = [F.sum(F.when(F.col("label") == c, F.col("w")).otherwise(0.0)).alias(f"s{i}") for i, c in enumerate(CLASSES)]
@@ -177,19 +173,30 @@ def fit_boosted(train: DataFrame, keys: Sequence[str], params: BoostParams) -> E
     facts = sums.orderBy(*keys).collect()  # one row per key and split
     names = [tuple(r[c] for c in keys) for r in facts]
     start, scale = np.zeros((len(names), OUTPUTS)), np.zeros(len(names))
-    for i, r in enumerate(facts):
-        if r["n"] >= 2 and r["sw"] > 0:
-            s = np.array([r[f"s{c}"] for c in range(k)])
-            start[i] = [r["mean"], *np.log(np.maximum(s / r["sw"], 1e-15))]
-            scale[i] = r["sd"] + 1e-9 if (s > 0).sum() > 1 else 0.0
+    usable = [i for i, r in enumerate(facts) if r["n"] >= 2 and r["sw"] > 0]
+    for i in usable:
+        s = np.array([facts[i][f"s{c}"] for c in range(k)])
+        start[i] = [facts[i]["mean"], *np.log(np.maximum(s / facts[i]["sw"], 1e-15))]
+        scale[i] = facts[i]["sd"] + 1e-9 if (s > 0).sum() > 1 else 0.0
     fit = Ensemble(names, start, scale, params)
     if not names:
-        return fit
-    spark = train.sparkSession
+        return fit, None
     types = dict(train.dtypes)
-    numbered = spark.createDataFrame([(*x, i, start[i].tolist()) for i, x in enumerate(names)], ", ".join([*[f"{c} {types[c]}" for c in keys], "model int", "score array<double>"]))
-    usable = numbered.where(F.col("model").isin([i for i, r in enumerate(facts) if r["n"] >= 2 and r["sw"] > 0]))
-    rows = materialize(train.join(usable, keys).select("model", "bins", "y", "label", "w", "score"))
+    schema = ", ".join([*[f"{c} {types[c]}" for c in keys], "model int", "score array<double>"])
+    numbered = train.sparkSession.createDataFrame([(*names[i], i, start[i].tolist()) for i in usable], schema)
+    return fit, materialize(train.join(numbered, keys).select("model", "bins", "y", "label", "w", "score"))
+
+
+def fit_boosted(train: DataFrame, keys: Sequence[str], params: BoostParams) -> Ensemble:
+    """One ensemble for all of ``keys`` (with the split among them). ``train``: keys, ``bins, y, label, w``.
+
+    Models start from the weighted mean and the log shares of the classes. A model of fewer than two rows stays at zero, one of a single
+    class gives no class score.
+    """
+    fit, rows = started(train, keys, params)
+    if rows is None:
+        return fit
+    names = fit.names
     for _ in range(params.trees):
         t = Trees.empty(len(names), params.depth)
         for level in range(params.depth):

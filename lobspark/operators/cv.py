@@ -126,17 +126,22 @@ def collapse_forecasts(forecasts: DataFrame, row_keys: Sequence[str], expected:
 
 
 def cv_ladder(rows: DataFrame, *, features: Sequence[str], micro: str, n_groups: int, k: int, embargo_ns: int,
-              keep: Sequence[str], keys: Sequence[str] = (), width: int = DAY_NS) -> DataFrame:
-    """Out-of-sample forecasts of the closed-form rungs (naive, microprice, ridge), averaged per row.
+              keep: Sequence[str], keys: Sequence[str] = (), width: int = DAY_NS, boost=None, label: str = "label") -> DataFrame:
+    """Out-of-sample forecasts of the rungs (naive, microprice, ridge, and with ``boost`` the boosted ones), averaged per row.
 
     Rows are split, and models fitted, inside each of ``keys`` (horizons). ``keep`` must tell rows of one instant apart.
+    ``boost`` is a ``BoostParams``.
     """
     from math import comb
 
+    from lobspark.operators.boost import boosted_ladder
+    from lobspark.session import materialize
+
     keys = list(keys)
     keep = [c for c in keep if c not in keys]
-    cols = list(dict.fromkeys([*features, micro, *keep]))
+    cols = list(dict.fromkeys([*features, micro, *keep, *([label] if boost else [])]))
     s = cpcv_splits(rows, n_groups=n_groups, k=k, embargo_ns=embargo_ns, keys=keys, keep=cols, width=width)
+    s = materialize(s) if boost else s
     models = fit_ridge(s.filter("role = 'train'"), [*keys, "split"], features)
     test = s.filter("role = 'test'")
     ridge = ridge_forecast(test, models, [*keys, "split"], features)
@@ -145,7 +150,11 @@ def cv_ladder(rows: DataFrame, *, features: Sequence[str], micro: str, n_groups:
     out = collapse_forecasts(ridge, own, times).withColumn("model", F.lit("ridge"))
     naive = rows.select(*own, F.lit(0.0).alias("f"), F.lit("naive").alias("model"))
     mp = rows.select(*own, F.col(micro).cast("double").alias("f"), F.lit("microprice").alias("model"))
-    return out.select(*own, "f", "model").unionByName(naive).unionByName(mp)
+    out = out.select(*own, "f", "model").unionByName(naive).unionByName(mp)
+    if boost:
+        trees = boosted_ladder(s, keys=keys, features=features, own=own, times=times, params=boost, label=label)
+        out = out.unionByName(trees.select(*own, "f", "model"))
+    return out
 
 
 # ------------------------------------------------------------------ boosted trees

@@ -158,10 +158,11 @@ def rank_candidates(cands: DataFrame, mode: str) -> DataFrame:
     return cands.withColumn("position", F.row_number().over(w).cast("bigint"))
 
 
-def gate_verdict(c: DataFrame, *, dsr_min: float, min_trades: int, min_effective: float, min_sharpe: float, pbo_max: float) -> DataFrame:
-    """Per-candidate pass with reasons, the PBO fail-closed gate and the winner by net PnL.
+def gate_verdict(c: DataFrame, *, dsr_min: float, min_trades: int, min_effective: float, min_sharpe: float, pbo_max: float, keys: Sequence[str] = (), eligible: Column | None = None) -> DataFrame:
+    """Per-candidate pass with reasons, the PBO fail-closed gate and the winner by net PnL inside each of ``keys``.
 
-    ``c``: name, net_pnl, naive_net, dsr, n_trades, effective_trades, sample_sharpe, pbo (null = unavailable).
+    ``c``: name, net_pnl, naive_net, dsr, n_trades, effective_trades, sample_sharpe, pbo (null = unavailable). Candidates that are not
+    ``eligible`` count as trials but never win.
     """
     rules = [
         (~(F.col("net_pnl") > 0), "net_not_positive"),
@@ -173,8 +174,9 @@ def gate_verdict(c: DataFrame, *, dsr_min: float, min_trades: int, min_effective
     ]
     why = F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(True)), F.lit(n)) for r, n in rules]))
     x = c.withColumn("reasons", F.array_join(why, ",")).withColumn("passes_solo", F.col("reasons") == "")
-    w = W.orderBy(F.desc("passes_solo"), F.desc("net_pnl"), "name")
-    x = x.withColumn("is_winner", (F.row_number().over(w) == 1) & F.col("passes_solo"))
+    can = F.col("passes_solo") & (eligible if eligible is not None else F.lit(True))
+    w = W.partitionBy(*keys).orderBy(F.desc(can), F.desc("net_pnl"), "name")  # a handful of candidates
+    x = x.withColumn("is_winner", (F.row_number().over(w) == 1) & can)
     ok = F.coalesce(F.col("pbo") < pbo_max, F.lit(False))
     verdict = F.when(~F.col("is_winner"), None).when(F.col("pbo").isNull(), "inconclusive").when(ok, "pass").otherwise("fail")
     return x.withColumn("verdict", verdict)

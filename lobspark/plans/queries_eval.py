@@ -10,7 +10,10 @@ from lobspark.operators import cv
 from lobspark.operators import evaluate as E
 from lobspark.operators import labels as L
 from lobspark.operators import matrix as M
-from lobspark.plans.common import r
+from lobspark.operators.boost import BoostParams, Trees, best_cuts, binned, node_sums, started
+from lobspark.operators.study import Gate
+from lobspark.operators.study import run_study as run_matrix_study
+from lobspark.plans.common import big, r
 from lobspark.plans.registry import query
 from lobspark.plans.tables import FRAGMENTS, Tables, sql
 from lobspark.session import materialize
@@ -491,33 +494,55 @@ def fit_gbt_clf(t: Tables):
     return rnd(f.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("f").alias("mean_f"), F.corr("f", "y_fwd_bps").alias("ic")), "mean_f", "ic")
 
 
-def study(t: Tables):
-    """Ladder → PnL → trade Sharpe, DSR, PBO and regimes per horizon."""
-    x = materialize(ladder(t).withColumns(E.net_pnl()))
-    keys = ["horizon", "model"]
-    s = E.trade_summary(x, keys)
-    sk = E.sample_skew_kurt(x.filter("traded"), keys).drop("n")
-    sh = E.weighted_trade_sharpe(x, keys).select(*keys, F.col("sharpe").alias("trade_sharpe"))
-    sa = E.weighted_sharpe(x, keys, traded_only=False).withColumnRenamed("sharpe", "sample_sharpe")
-    c = s.join(sk, keys, "left").join(sh, keys).join(sa, keys)
-    spread = c.groupBy("horizon").agg(F.stddev_pop("trade_sharpe").alias("sd"), F.count("*").alias("n_tr"))
-    blk = cv.block_index(x.filter("model = 'naive'").select("horizon", "t_event"), 8, WIDTH, ["horizon"])
-    perf = x.join(blk, ["horizon", "t_event"]).groupBy("horizon", "block", F.col("model").alias("trial")).agg(F.sum(F.col("uniqueness") * F.col("pnl")).alias("swp"), F.sum("uniqueness").alias("sw"))
-    p = cv.pbo_logits(perf, keys=["horizon"]).groupBy("horizon").agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"))
-    c = c.join(spread, "horizon").join(p, "horizon")
-    naive = c.filter("model = 'naive'").select("horizon", F.col("net_pnl").alias("naive_net"))
-    c = c.join(naive, "horizon").withColumn(
-        "dsr",
-        deflated_sharpe(F.col("trade_sharpe"), F.col("sd"), F.col("n_tr"), E.dsr_sample_count(F.col("effective_trades")), F.coalesce("skew", F.lit(0.0)), F.coalesce("kurt", F.lit(3.0))),
-    )
-    return c
+BOOST = BoostParams(trees=10, depth=3, step=0.3, bins=16, min_rows=20)
+GATE_LIMITS = Gate(dsr_min=0.5, pbo_max=0.6, min_trades=10, min_effective=5, min_sharpe=-1)
+
+
+@query(
+    "boost_root_cuts",
+    sql(
+        f"""WITH e AS (SELECT horizon, quantile_cont(x1, {[i / 16 for i in range(1, 16)]}) e0, quantile_cont(x2, {[i / 16 for i in range(1, 16)]}) e1 FROM hsplits_v GROUP BY horizon),
+            t AS (SELECT horizon, split, uniqueness w, y_fwd_bps y, len(list_filter(e0, lambda q: q<x1)) b0, len(list_filter(e1, lambda q: q<x2)) b1 FROM hsplits_v JOIN e USING (horizon) WHERE role='train'),
+            m AS (SELECT horizon, split, sum(w*y)/sum(w) mu FROM t GROUP BY ALL), g AS (SELECT t.*, w*(mu-y) g FROM t JOIN m USING (horizon, split)),
+            l AS (SELECT horizon, split, 0 f, b0 b, g, w FROM g UNION ALL SELECT horizon, split, 1, b1, g, w FROM g), c AS (SELECT horizon, split, f, b, sum(g) g, sum(w) h, count(*) n FROM l GROUP BY ALL),
+            p AS (SELECT *, sum(g) OVER o gl, sum(h) OVER o hl, sum(n) OVER o nl, sum(g) OVER a ga, sum(h) OVER a ha, sum(n) OVER a na FROM c WINDOW o AS (PARTITION BY horizon, split, f ORDER BY b), a AS (PARTITION BY horizon, split, f)),
+            k AS (SELECT *, round(gl*gl/hl+(ga-gl)*(ga-gl)/(ha-hl)-ga*ga/ha,6) gain FROM p WHERE nl>=20 AND na-nl>=20)
+            SELECT horizon, cast(split AS bigint) split, cast(f AS bigint) feature, cast(b AS bigint) cut, round(gain,3)+0.0 gain, round(-gl/hl,6)+0.0 left_value, round(-(ga-gl)/(ha-hl),6)+0.0 right_value
+            FROM (SELECT *, row_number() OVER (PARTITION BY horizon, split ORDER BY gain DESC, f, b) rn FROM k) WHERE rn=1""",
+        "hsplits_v",
+    ),
+)
+def boost_root_cuts(t: Tables):
+    """Root of the first regression tree of every horizon and split."""
+    s = cv.cpcv_splits(signal(t), n_groups=6, k=2, embargo_ns=EMB, keys=["horizon"], keep=["x1", "x2", "y_fwd_bps", "label", "uniqueness"], width=WIDTH)
+    x = binned(s, ["horizon"], ["x1", "x2"], BOOST.bins).where("role = 'train'")
+    keys = ["horizon", "split"]
+    fit, rows = started(x.select(*keys, "bins", F.col("y_fwd_bps").alias("y"), F.col("label").cast("int").alias("label"), F.col("uniqueness").alias("w")), keys, BOOST)
+    cuts = best_cuts(node_sums(rows, Trees.empty(len(fit.names), BOOST.depth), 0, BOOST.bins), BOOST).where("output = 0")
+    names = t.spark.createDataFrame([(*x, i) for i, x in enumerate(fit.names)], "horizon string, split bigint, model int")
+    out = cuts.join(names, "model").select(*keys, big("feature").alias("feature"), big("cut").alias("cut"), r("gain", 3).alias("gain"), F.expr("-gl/hl").alias("left_value"), F.expr("-gr/hr").alias("right_value"))
+    return rnd(out, "left_value", "right_value")
+
+
+def studied(t: Tables, features: list[str]):
+    m = signal(t)
+    lookback = 3 * S  # declared; the rows reach back at most six half seconds
+    return run_matrix_study(m, features=features, micro="micro", n_groups=6, k=2, embargo_ns=EMB, max_lookback_ns=lookback, keep=KEEP, boost=BOOST, gate=GATE_LIMITS, width=WIDTH)
+
+
+def verdicts(c):
+    return rnd(c.select("horizon", "model", "net_pnl", "trade_sharpe", "sample_sharpe", "mcc", "dsr", "pbo", "n_trades", "reasons", "verdict"), "net_pnl", "trade_sharpe", "sample_sharpe", "mcc", "dsr", "pbo", d=4)
 
 
 @query("run_study")
 def run_study(t: Tables):
-    c = study(t).withColumn("name", F.concat_ws("/", "horizon", "model"))
-    g = E.gate_verdict(c, dsr_min=0.5, min_trades=10, min_effective=5, min_sharpe=-1, pbo_max=0.6)
-    return rnd(g.select("horizon", "model", "net_pnl", "trade_sharpe", "sample_sharpe", "dsr", "pbo", "n_trades", "reasons", "verdict"), "net_pnl", "trade_sharpe", "sample_sharpe", "dsr", "pbo", d=4)
+    return verdicts(studied(t, ["x1", "x2"])[0])
+
+
+@query("run_study_noise")
+def run_study_noise(t: Tables):
+    """The same study where no feature knows the outcome: no boosted rung may win."""
+    return verdicts(studied(t, ["x0", "x1"])[0])
 
 
 ARMS = {"flow": ["x0"], "book": ["x2"], "combined": ["x0", "x2"]}

@@ -62,3 +62,26 @@ def test_degenerate_models_forecast_nothing(spark):
     got = G.boosted_forecast(rows.unionByName(rows.limit(1).withColumn("h", rows.h.substr(1, 1))), fit, ["h", "split"]).toPandas().groupby("h")[["f_reg", "f_clf"]].max()
     assert got.loc["one"].tolist() == got.loc["o"].tolist() == [0, 0] and got.loc["flat"].tolist() == [pytest.approx(3.0), 0]
     assert G.boosted_forecast(rows.where("false"), G.fit_boosted(rows.where("false"), ["h", "split"], G.BoostParams()), ["h", "split"]).count() == 0
+
+
+@pytest.mark.parametrize("strength,passes", [(8.0, True), (0.0, False)])
+def test_gate_passes_on_a_planted_signal_and_fails_on_noise(spark, strength, passes):
+    from lobspark.operators.study import Gate, check_lookback, run_study
+
+    n, g = 3000, np.random.default_rng(7)
+    d = frame(n, 5, strength)
+    d = d.assign(horizon="10s", t_event=np.arange(n) * 10, t_barrier=np.arange(n) * 10 + 30, t_feature_start=np.arange(n) * 10 - 20, y_fwd_bps=d.y, uniqueness=0.5, cost_bps=1.0, half_spread_bps=0.2, regime=np.where(g.random(n) < 0.5, "tight", "wide"), micro=0.0)
+    rows = spark.createDataFrame(d.drop(columns=["h", "split", "y", "w"]))
+    keep = ["y_fwd_bps", "cost_bps", "half_spread_bps", "uniqueness", "regime"]
+    boost = G.BoostParams(trees=6, depth=2, step=0.4, bins=16)
+    c, regimes = run_study(rows, features=["x0", "x1", "x2"], micro="micro", n_groups=4, k=1, embargo_ns=20, max_lookback_ns=20, keep=keep, boost=boost, gate=Gate(), width=1000)
+    c = c.toPandas().set_index("model")
+    assert set(c.index) == {"naive", "microprice", "ridge", *G.RUNGS}
+    assert (c.verdict == "pass").any() == passes and not c.loc[["naive", "ridge", "microprice"], "is_winner"].any()
+    if passes:
+        assert set(regimes.toPandas().regime) == {"tight", "wide"} and (regimes.toPandas().net_pnl > 0).all()
+    else:
+        assert regimes.count() == 0
+    for wrong in ({"embargo_ns": 10, "max_lookback_ns": 20}, {"embargo_ns": 30, "max_lookback_ns": 10}):
+        with pytest.raises(ValueError):
+            check_lookback(rows, **wrong)
