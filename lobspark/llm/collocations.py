@@ -4,8 +4,8 @@ Only windows of the longest order are counted: the words from one place on, as l
 Spark's ROLLUP then sums them over successively shorter prefixes, which gives the frequency of every shorter phrase (and, with
 no word left, of all words) without an n-gram explosion per order.
 
-Scale: a window need not reach beyond two or three words that are too rare together for any phrase. A first pass counts single words, pairs and
-triples by hash into a table of fixed size; only slots that reach the threshold keep their bit. A slot never counts less than what falls into it, so
+Scale: a window need not reach beyond two or three words that are too rare together for any phrase. A first pass counts pairs and triples
+by hash into a table of fixed size; only slots that reach the threshold keep their bit. A slot never counts less than what falls into it, so
 windows are cut at most where no phrase can be, and what the slots let pass too much is counted exactly afterwards: results don't depend on the
 table, which is 16 MB for any corpus (from about 10**10 words on it lets most windows pass, and these are shuffled). Windows are pre-counted inside
 the tasks, and hot words are one row per task.
@@ -63,14 +63,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.n
 
 
 def _slots(listed: list[bytes], ids: np.ndarray, tags: np.ndarray, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For one, two and three words from each place on: their slot, and whether they stand in one piece. The last places have no longer ones."""
+    """For two and for three words from each place on: their slot, and whether they stand in one piece. The last places have none."""
     word = np.array([xxhash.xxh64_intdigest(w) for w in listed], dtype=np.uint64)[ids]
     word += np.array([xxhash.xxh64_intdigest(x, 1) for x in langs], dtype=np.uint64)[tags]
     cut, factor = np.uint64(64 - SLOT_BITS), np.uint64(0x9E3779B97F4A7C15)
     out, h, inside = [], word, ids > 0
-    for k in range(1, 4):
-        out.append(((mix(h) >> cut).astype(np.int64), inside))
+    for k in (1, 2):
         h, inside = h[:-1] * factor + word[k:], inside[:-1] & (ids[k:] > 0)
+        out.append(((mix(h) >> cut).astype(np.int64), inside))
     return out
 
 
@@ -107,7 +107,7 @@ def _add_slots(least: int):
 
 
 def frequent_slots(texts: DataFrame, least: int) -> np.ndarray:
-    """The bit table (bytes): slots whose words, pairs and triples stand at least ``least`` times in all texts."""
+    """The bit table (bytes): slots whose pairs and triples stand at least ``least`` times in all texts."""
     seen = texts.mapInArrow(_count_slots(least), "chunk int, slots binary, counts binary")
     chunks = seen.repartition(64, "chunk").mapInArrow(_add_slots(least), "chunk int, bits binary")
     table = np.zeros((2**SLOT_BITS // CHUNK, CHUNK // 8), dtype=np.uint8)
@@ -127,10 +127,10 @@ def _windows(bits, longest: int):
             for s, inside in _slots(listed, ids, tags, langs):
                 frequent.append(np.zeros(len(ids) + longest, dtype=bool))
                 frequent[-1][: len(s)] = (table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1) & inside
-            one, two, three = frequent
+            two, three = frequent
             ids = np.append(ids, np.zeros(longest, dtype=np.int64))
-            on = one[here]
-            columns = [np.where(on, ids[here], 0)]  # number 0 pads
+            on = np.ones(len(here), dtype=bool)
+            columns = [ids[here]]  # number 0 pads
             for k in range(1, longest):
                 on = on & two[here + k - 1] & (three[here + k - 2] if k > 1 else True)
                 columns.append(np.where(on, ids[here + k], 0))
