@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from lobspark.llm.words import Words, split_at_space
 from lobspark.session import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
-TEXT_AT_ONCE = 4_000_000
+TEXT_AT_ONCE = 1_500_000
 LONGEST = 40
 #: Weight of the all-language distribution, in pieces, and of every piece in it.
 PRIOR, EACH = 2000.0, 0.5
@@ -150,7 +151,7 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, carry: list[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path or vocabulary(VOCABULARY))
         for b in batches:
-            texts = [t or b"" for t in b["text"].to_pylist()]
+            texts = [t or b"" for t in (b["text"] if alone else pc.struct_field(b["row"], "text").cast(pa.binary())).to_pylist()]
             pred, score = [], []
             for i, j in chunks([len(t) + 1 for t in texts], TEXT_AT_ONCE):
                 w = split_at_space(texts[i:j])
@@ -163,7 +164,9 @@ def identify(docs: DataFrame, langs: list[str], prob: np.ndarray, carry: list[st
                 score += [float(p) if ok else 0.0 for p, ok in zip(odds[np.arange(len(best)), best] / odds.sum(axis=1), known)]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or ["doc_id"])]).alias("row"), F.col("text").cast("binary").alias("text"))
+    carry = carry or ["doc_id"]
+    alone = "text" not in carry  # a text that is carried is not sent twice
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *([F.col("text").cast("binary").alias("text")] if alone else []))
     return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
