@@ -1,29 +1,28 @@
 """Structured Streaming forms of the book-at-trade join and the bar clock.
 
-Per key the state holds the events inside the watermark, the book (or open bar) and a late counter.
-The per-event rule is applied to arrival order: an event at or behind ``max seen − watermark`` is
-dropped and counted, everything else is released in total order ``(ts, kind, seq)``. Results do not
-depend on how the input is cut into micro-batches. A row with ``kind = 9`` ends its key (end of a
-replay): the buffer is drained and the state removed. There is no engine watermark, which would remove rows unseen,
-unless ``stream_dollar_bars`` is given an ``idle_ns``.
+Per key the engine's state store holds the events inside the watermark as a list, the book as a map from level to size (or the open
+bar as a value) and a late counter, so a micro-batch writes what it changes, not the whole book. The per-event rule is applied to arrival
+order: an event at or behind ``max seen − watermark`` is dropped and counted, everything else is released in total order
+``(ts, kind, seq)``. Results do not depend on how the input is cut into micro-batches. A row with ``kind = 9`` ends its key (end of a
+replay): the buffer is drained and the state removed. There is no engine watermark, which would remove rows unseen; a key that
+gets no rows for ``idle_ms`` of processing time can be ended by a timer instead.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lobspark.operators import kernels as K
 from lobspark.operators.bars import OpenBar, assign_bars, close_day
 from lobspark.session import DAY_NS
 
 FLUSH = 9
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def admit(pdf: pd.DataFrame, seen: int | None, wm: int, late_before: int = 0) -> tuple[pd.DataFrame, int | None, int]:
@@ -42,117 +41,165 @@ def admit(pdf: pd.DataFrame, seen: int | None, wm: int, late_before: int = 0) ->
     return kept, top, int(late.sum())
 
 
-class _Buffer:
-    def __init__(self):
-        self.rows, self.seen, self.late, self.engine, self.open_late = None, None, 0, None, 0
+def _whole(frames: Iterable[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """The rows of one key in one micro-batch (bounded by the trigger's rate limits)."""
+    frames = list(frames)
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in columns})
 
-    def take(self, pdf: pd.DataFrame, wm: int, end: bool = False) -> pd.DataFrame | None:
-        flush = end or bool((pdf["kind"] == FLUSH).any())
-        pdf = pdf[pdf["kind"] != FLUSH]
-        if len(pdf):
-            kept, self.seen, dropped = admit(pdf, self.seen, wm, self.late)
-            self.late += dropped
-            self.rows = kept if self.rows is None else pd.concat([self.rows, kept], ignore_index=True)
-        if self.rows is None or not len(self.rows):
-            return None
-        ready = np.ones(len(self.rows), bool) if flush else (self.rows["ts"].to_numpy() <= self.seen - wm)
-        out = self.rows[ready].sort_values(["ts", "kind", "seq"], kind="stable")
-        self.rows = self.rows[~ready]
-        return out if len(out) else None
 
+class _Buffered(StatefulProcessor):
+    """Keeps events until the watermark has passed them; ``release`` turns what is ready into rows."""
 
-def _load(state: GroupState) -> _Buffer:
-    return pickle.loads(state.get[0]) if state.exists else _Buffer()
+    EVENT: list[tuple[str, str, type]]  # name, SQL type, Python type of the columns that are kept
 
+    def __init__(self, watermark_ns: int, idle_ms: int | None = None):
+        self.wm, self.idle_ms = watermark_ns, idle_ms
 
-def _whole(frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch (bounded by the trigger's rate limits)."""
-    return pd.concat(list(frames), ignore_index=True)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "seen bigint, late bigint")
+        self.buffer = handle.getListState("buffer", ", ".join(f"{n} {t}" for n, t, _ in self.EVENT))
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _whole(rows, [n for n, _, _ in self.EVENT] + ["arrival"])
+        yield from self._step(key, pdf, bool((pdf["kind"] == FLUSH).any()))
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if self.clock.exists():
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale: float = 100.0) -> DataFrame:
-    """``events``: symbol, ts, kind (0 delta, 1 trade), seq, arrival, side, tick, amount."""
-    lv = [f"{s}_{i}_{f}" for s in ("bid", "ask") for i in range(k) for f in ("price", "size")]
-    schema = "symbol string, ts bigint, seq bigint, side string, amount double, late_count bigint, " + ", ".join(f"{c} double" for c in lv)
-
-    def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        buf, pdf = _load(state), _whole(frames)
-        out = buf.take(pdf, watermark_ns)
-        if buf.engine is None:
-            buf.engine = (K.Side(1), K.Side(-1))
-        if out is not None:
-            yield from _read(out, buf, key[0])
-        if (pdf["kind"] == FLUSH).any():
-            state.remove()
-        else:
-            state.update((pickle.dumps(buf),))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(key, _whole([], [n for n, _, _ in self.EVENT] + ["arrival"]), True)
 
-    def _read(out, buf, symbol):
-        bid_side, ask_side = buf.engine
+    def _step(self, key, pdf: pd.DataFrame, end: bool) -> Iterator[pd.DataFrame]:
+        seen, late = self.clock.get() if self.clock.exists() else (None, 0)
+        pdf = pdf[pdf["kind"] != FLUSH]
+        names = [n for n, _, _ in self.EVENT]
+        held = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=names)
+        if len(pdf):
+            kept, seen, dropped = admit(pdf, seen, self.wm, late)
+            late += dropped
+            held = pd.concat([held, kept[names]], ignore_index=True) if len(held) else kept[names]
+        ready = np.ones(len(held), bool) if end or seen is None else held["ts"].to_numpy(np.int64) <= seen - self.wm
+        out = held[ready].sort_values(["ts", "kind", "seq"], kind="stable")
+        yield from self.release(key, out, end)
+        if end:
+            self.clock.clear()
+            self.buffer.clear()
+            return
+        if seen is not None:
+            self.clock.update((int(seen), int(late)))
+        rest = held[~ready]
+        if len(rest):
+            self.buffer.put([tuple(None if v is None or v != v else kind(v) for v, (_, _, kind) in zip(row, self.EVENT)) for row in rest.itertuples(index=False)])
+        elif len(held):
+            self.buffer.clear()
+
+    def release(self, key, out: pd.DataFrame, end: bool) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _BookAtTrades(_Buffered):
+    EVENT = [("ts", "bigint", int), ("kind", "bigint", int), ("seq", "bigint", int), ("side", "string", str), ("tick", "bigint", int), ("amount", "double", float), ("late", "bigint", int)]
+
+    def __init__(self, watermark_ns: int, k: int, scale: float):
+        super().__init__(watermark_ns)
+        self.k, self.scale = k, scale
+
+    def init(self, handle):
+        super().init(handle)
+        self.levels = handle.getMapState("levels", "side string, tick bigint", "size double")
+
+    def release(self, key, out, end):
+        if len(out):
+            book = {"bid": K.Side(1), "ask": K.Side(-1)}
+            known = [(side, tick, size) for (side, tick), (size,) in self.levels.iterator()] if self.levels.exists() else []
+            for name, side in book.items():
+                side.reset([t for s, t, _ in known if s == name], [z for s, _, z in known if s == name])
+            yield from self._read(key[0], out, book)
+            if not end:
+                last = out[out["kind"] == 0].groupby(["side", "tick"])["amount"].last()
+                for (side, tick), size in last.items():
+                    at = (str(side), int(tick))
+                    if size > 0:
+                        self.levels.updateValue(at, (float(size),))
+                    else:
+                        self.levels.removeKey(at)
+        if end:
+            self.levels.clear()
+
+    def _read(self, symbol, out, book):
         is_d = (out["kind"] == 0).to_numpy()
         pos = np.cumsum(is_d) - is_d
         d, t = out[is_d], out[~is_d]
+        if not len(t):
+            return
         is_bid = (d["side"] == "bid").to_numpy()
         ep = np.arange(len(d))
-        res = {"symbol": symbol, "ts": t["ts"].to_numpy(), "seq": t["seq"].to_numpy(), "side": t["side"].to_numpy(), "amount": t["amount"].to_numpy()}
-        res["late_count"] = t["late"].to_numpy()
-        for name, side, m in (("bid", bid_side, is_bid), ("ask", ask_side, ~is_bid)):
-            blk = side.prepare(ep[m], d["tick"].to_numpy(np.int64)[m], d["amount"].to_numpy(float)[m])
-            tk, sz, _ = blk.top(pos[~is_d], k)
-            for i in range(k):
-                res[f"{name}_{i}_price"] = np.where(tk[:, i] == K.NONE, np.nan, tk[:, i] / scale)
+        res = {"symbol": symbol, "ts": t["ts"].to_numpy(), "seq": t["seq"].to_numpy(), "side": t["side"].to_numpy(), "amount": t["amount"].to_numpy(), "late_count": t["late"].to_numpy()}
+        for name, m in (("bid", is_bid), ("ask", ~is_bid)):
+            blk = book[name].prepare(ep[m], d["tick"].to_numpy(np.int64)[m], d["amount"].to_numpy(float)[m])
+            tk, sz, _ = blk.top(pos[~is_d], self.k)
+            for i in range(self.k):
+                res[f"{name}_{i}_price"] = np.where(tk[:, i] == K.NONE, np.nan, tk[:, i] / self.scale)
                 res[f"{name}_{i}_size"] = sz[:, i]
-            blk.apply_until(len(d))
-        if len(t):
-            yield pd.DataFrame(res)[["symbol", "ts", "seq", "side", "amount", "late_count", *lv]]
+        yield pd.DataFrame(res)
 
-    return events.groupBy("symbol").applyInPandasWithState(step, schema, "blob binary", "append", GroupStateTimeout.NoTimeout)
 
+def stream_book_at_trades(events: DataFrame, *, k: int, watermark_ns: int, scale: float = 100.0) -> DataFrame:
+    """``events``: symbol, ts, kind (0 delta, 1 trade), seq, arrival, side, tick, amount.
 
-def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int, idle_ns: int | None = None) -> DataFrame:
-    """Bars per (symbol, day_ns) from ``symbol, day_ns, ts, kind, seq, arrival, price, quantity``.
-
-    ``late_count`` of a bar is the late events seen when its last member arrived. A day ends by its control
-    row, and its state is kept until then. If ``idle_ns`` is given, a day also ends by an event-time timer that far behind the
-    newest event of any symbol; the engine then drops rows behind that uncounted, so the bars depend on the micro-batches.
+    Sets the session's state store to RocksDB, which keyed state needs.
     """
-    schema = "symbol string, day_ns bigint, bar_idx bigint, interval_start bigint, close_reason string, cap_fire bigint, notional double, late_count bigint"
-    columns = ["ts", "kind", "seq", "arrival", "price", "quantity"]
-
-    def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
-        buf, day_end = _load(state), int(key[1]) + DAY_NS
-        over = state.hasTimedOut
-        pdf = pd.DataFrame({c: [] for c in columns}) if over else _whole(frames)
-        over = over or bool((pdf["kind"] == FLUSH).any())
-        out = buf.take(pdf, watermark_ns, end=over)
-        if buf.engine is None:
-            buf.engine = OpenBar(0, int(key[1]))
-        closed, late = [], {buf.engine.number: buf.open_late}
-        if out is not None:
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    lv = [f"{s}_{i}_{f}" for s in ("bid", "ask") for i in range(k) for f in ("price", "size")]
+    schema = "symbol string, ts bigint, seq bigint, side string, amount double, late_count bigint, " + ", ".join(f"{c} double" for c in lv)
+    return events.groupBy("symbol").transformWithStateInPandas(_BookAtTrades(watermark_ns, k, scale), schema, "Append", "None")
+
+
+class _DollarBars(_Buffered):
+    EVENT = [("ts", "bigint", int), ("kind", "bigint", int), ("seq", "bigint", int), ("price", "double", float), ("quantity", "double", float), ("late", "bigint", int)]
+
+    def __init__(self, watermark_ns: int, threshold: float, cap_ns: int, idle_ms: int | None):
+        super().__init__(watermark_ns, idle_ms)
+        self.threshold, self.cap = threshold, cap_ns
+
+    def init(self, handle):
+        super().init(handle)
+        self.bar = handle.getValueState("bar", "number bigint, since bigint, held double, trades bigint, late bigint")
+
+    def release(self, key, out, end):
+        day = int(key[1])
+        *bar, open_late = self.bar.get() if self.bar.exists() else (0, day, 0.0, 0, 0)
+        bar = OpenBar(*bar)
+        closed, late = [], {bar.number: open_late}
+        if len(out):
             n = out["price"].to_numpy(float) * out["quantity"].to_numpy(float)
-            buf.engine, number, _, closed = assign_bars(buf.engine, out["ts"].to_numpy(np.int64), n, threshold, cap_ns)
+            bar, number, _, closed = assign_bars(bar, out["ts"].to_numpy(np.int64), n, self.threshold, self.cap)
             for i, top in out["late"].groupby(number).max().items():
                 late[i] = max(late.get(i, 0), int(top))
-            buf.open_late = late.get(buf.engine.number, 0)
-        if over:
-            closed += close_day(buf.engine, day_end, cap_ns)
-            if state.exists:
-                state.remove()
+        if end:
+            closed += close_day(bar, day + DAY_NS, self.cap)
+            self.bar.clear()
         else:
-            state.update((pickle.dumps(buf),))
-            if idle_ns is not None:
-                state.setTimeoutTimestamp(max(day_end // 1_000_000, state.getCurrentWatermarkMs() + 1))
+            self.bar.update((int(bar.number), int(bar.since), float(bar.held), int(bar.trades), int(late.get(bar.number, 0))))
         if closed:
             idx, start, why, fire, acc = (list(x) for x in zip(*closed))
-            yield pd.DataFrame(
-                {
-                    "symbol": key[0], "day_ns": key[1], "bar_idx": idx, "interval_start": start, "close_reason": why,
-                    "cap_fire": pd.array([pd.NA if f is None else f for f in fire], dtype="Int64"), "notional": acc, "late_count": [late.get(i, 0) for i in idx],
-                }
-            )
-
-    timer = GroupStateTimeout.NoTimeout
-    if idle_ns is not None:
-        timer = GroupStateTimeout.EventTimeTimeout
-        trades = trades.withColumn("event_time", F.timestamp_micros(F.expr("ts div 1000L"))).withWatermark("event_time", f"{idle_ns // 1_000_000} milliseconds")
-    return trades.groupBy("symbol", "day_ns").applyInPandasWithState(step, schema, "blob binary", "append", timer)
+            cap_fire = pd.array([pd.NA if f is None else f for f in fire], dtype="Int64")
+            yield pd.DataFrame({"symbol": key[0], "day_ns": day, "bar_idx": idx, "interval_start": start, "close_reason": why, "cap_fire": cap_fire, "notional": acc, "late_count": [late.get(i, 0) for i in idx]})
+
+
+def stream_dollar_bars(trades: DataFrame, *, threshold: float, cap_ns: int, watermark_ns: int, idle_ms: int | None = None) -> DataFrame:
+    """Bars per (symbol, day_ns) from ``symbol, day_ns, ts, kind, seq, arrival, price, quantity``.
+
+    ``late_count`` of a bar is the late events seen when its last member arrived. A day ends by its control row, or, with ``idle_ms``, by a
+    timer once it has had no rows for that long; what comes later opens the day anew. Sets the session's state store to RocksDB.
+    """
+    trades.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    schema = "symbol string, day_ns bigint, bar_idx bigint, interval_start bigint, close_reason string, cap_fire bigint, notional double, late_count bigint"
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return trades.groupBy("symbol", "day_ns").transformWithStateInPandas(_DollarBars(watermark_ns, threshold, cap_ns, idle_ms), schema, "Append", mode)

@@ -3,7 +3,7 @@
 import pandas as pd
 
 from lobspark.operators import updates as U
-from lobspark.streaming.stateful import FLUSH, _Buffer, admit
+from lobspark.streaming.stateful import FLUSH, _Buffered, admit
 
 
 def rows(ts, kind=0):
@@ -15,12 +15,37 @@ def test_late_rule_follows_arrival_order():
     assert kept.ts.tolist() == [10, 30, 21, 40] and seen == 40 and late == 2  # 20 <= 30-10, 30 <= 40-10
 
 
+class Memory:
+    """A state variable kept in memory."""
+
+    def __init__(self, *_):
+        self.v = None
+
+    exists = lambda self: self.v is not None
+    get = lambda self: self.v
+    clear = lambda self: setattr(self, "v", None)
+    update = put = lambda self, v: setattr(self, "v", v)
+
+
+class Plain(_Buffered):
+    EVENT = [(n, "bigint", int) for n in ("ts", "kind", "seq", "late")]
+    getValueState = getListState = staticmethod(Memory)
+
+    def release(self, key, out, end):
+        yield out
+
+    def take(self, pdf):
+        return list(self.handleInputRows(("A",), iter([pdf]), None))[0]
+
+
 def test_buffer_releases_in_order_across_batches_and_drains():
-    b = _Buffer()
-    first = b.take(rows([10, 25, 18]), 10)
-    assert first.ts.tolist() == [10]
-    assert b.take(rows([40]), 10).ts.tolist() == [18, 25]
-    assert b.take(rows([0], kind=FLUSH), 10).ts.tolist() == [40] and b.late == 0
+    b = Plain(10)
+    b.init(b)
+    first = b.take(rows([10, 25, 18]))
+    assert first.ts.tolist() == [10] and b.buffer.v == [(25, 0, 1, 0), (18, 0, 2, 0)]
+    assert b.take(rows([40])).ts.tolist() == [18, 25]
+    out = b.take(rows([0], kind=FLUSH))
+    assert out.ts.tolist() == [40] and out.late.tolist() == [0] and not b.clock.exists() and not b.buffer.exists()
 
 
 def test_futures_chain_verdicts(spark):
