@@ -43,18 +43,21 @@ def quantiles(
         .groupBy(*keys, "__m", "__v")
         .agg(F.count("*").alias("__n"))
     )
+    out = ranked_quantiles(counts, keys, {n: probs for n in values})
+    return out.drop("__one") if drop else out
+
+
+def ranked_quantiles(counts: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """The second half of ``quantiles``, for whoever has the counts: ``keys, __m`` (name of the value), ``__v, __n``, each value once."""
+    keys = list(keys)
     cuts = F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
     groups = counts.groupBy(*keys, "__m").agg(cuts.alias("__cuts"), F.sum("__n").alias("__tot"))
     part = F.size(F.filter("__cuts", lambda e: e <= F.col("__v"))).cast("bigint")
     placed = counts.join(groups, [*keys, "__m"]).withColumn("__b", part).drop("__cuts")
     both = running(placed, [*keys, "__m"], ["__b", "__v"], {"__cum": ("sum", F.col("__n"))}, width=1)
     before = F.col("__cum") - F.col("__n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((before <= rank) & (rank < F.col("__cum")), F.col("__v")))
-
     aggs = []
-    for n in values:
+    for n, probs in wanted.items():
         for p, q in probs.items():
             h = (F.col("__tot") - 1) * F.lit(float(q))
             lo, hi = F.floor(h), F.ceil(h)
@@ -64,11 +67,11 @@ def quantiles(
             aggs.append(F.max(F.when(m, h - lo)).alias(f"__f_{n}_{p}"))
     wide = both.groupBy(*keys).agg(*aggs)
     out = []
-    for n in values:
+    for n, probs in wanted.items():
         for p in probs:
             lo, hi, f = F.col(f"__lo_{n}_{p}"), F.col(f"__hi_{n}_{p}"), F.col(f"__f_{n}_{p}")
             out.append((lo + (hi - lo) * f).alias(f"{n}_{p}"))
-    return wide.select(*([] if drop else keys), *out)
+    return wide.select(*keys, *out)
 
 
 SUMMARY_PROBS = {"median": 0.5, "p95": 0.95, "p99": 0.99}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lobspark.operators.book import day_open
 from lobspark.operators.ordered import shift
-from lobspark.operators.stats import quantiles
+from lobspark.operators.stats import quantiles, ranked_quantiles
 from lobspark.session import DAY_NS, HOUR_NS, materialize
 
 KEYS = ("venue", "dt")
@@ -210,34 +210,103 @@ def clock_flags(df: DataFrame, keys: Sequence[str] = KEYS, pos_width: int = 1_00
     )
 
 
+#: Quantiles of a trade day by value.
+DAY_QUANTILES = {
+    "price": {"median": 0.5},
+    "ret": {"p99": 0.99},
+    "gap": {"median": 0.5, "p95": 0.95, "p99": 0.99, "max": 1.0},
+    "lag": {"median": 0.5, "p95": 0.95},
+}
+
+
 def trade_day_metrics(
     df: DataFrame, thresholds: TradeThresholds = TradeThresholds(), keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Every metric of a venue-day in one row; the clock-ordered rows are computed once."""
+    """Every metric of a venue-day in one row; equal to the single checks, in three aggregations over the rows.
+
+    Rows get the row before them once. One plain aggregation gives sums and extremes; one long frame counts every value of
+    every metric (prices, returns, gaps, lags, instants, ids, hours), which answers repeats, hours and, by one ranking,
+    all quantiles.
+    """
     keys = list(keys)
-    clocked = materialize(
-        ordered_clock(df, keys).select(*keys, "clock", "abs_ret", "gap_s")
+    rest = engine_clock(df).filter("unresolved")
+    rows = ordered_clock(df, keys).unionByName(rest, allowMissingColumns=True)
+    rows = materialize(rows.select(*keys, "pos", "clock", "unresolved", "origin_null", "origin_ns", "received_ns", "price", "quantity", "side", "trade_id", "abs_ret", "gap_s"))
+    p, q, off = F.col("price"), F.col("quantity"), F.col("clock") - day_open()
+    inside = (off >= 0) & (off < DAY_NS)
+    both_times = ~null_time(F.col("origin_ns")) & ~null_time(F.col("received_ns"))
+    lag = F.when(both_times, (F.col("received_ns") - F.col("origin_ns")) / 1e6)
+
+    flags = shift(rows, keys, ["pos"], {"prev_origin": F.col("origin_ns")}, width=1_000_000)
+    broken = F.col("origin_ns").isNull() | F.coalesce(F.col("origin_ns") < F.col("prev_origin"), F.lit(False))
+    n = F.count("*")
+    base = flags.groupBy(*keys).agg(
+        n.alias("row_count"),
+        F.avg(F.col("origin_null").cast("double")).alias("origin_null_frac"),
+        F.avg(null_time(F.col("received_ns")).cast("double")).alias("received_null_frac"),
+        F.count_if("unresolved").alias("unresolved_count"),
+        (~F.bool_or(broken)).alias("was_presorted"),
+        F.min("clock").alias("first_ns"),
+        F.max("clock").alias("last_ns"),
+        F.count_if(~F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False))).alias("side_unexpected"),
+        F.min(p).alias("price_min"),
+        F.max(p).alias("price_max"),
+        F.count_if(~finite(p)).alias("price_nonfinite_count"),
+        F.coalesce(F.max("abs_ret"), F.lit(0.0)).alias("price_max_abs_ret"),
+        F.min(q).alias("size_min"),
+        F.max(q).alias("size_max"),
+        (F.count_if(q == 0) / n).alias("size_zero_frac"),
+        (F.count_if((q < 0) | q.isNull() | F.isnan(q)) / n).alias("size_neg_frac"),
+        F.sum(p * q).alias("notional_sum"),
+        F.max(p * q).alias("notional_max_trade"),
+        F.coalesce(F.avg((lag < 0).cast("double")), F.lit(0.0)).alias("recv_origin_lag_neg_frac"),
+        F.coalesce(F.avg(F.when(~F.col("unresolved"), (~inside).cast("double"))), F.lit(0.0)).alias("off_day_frac"),
     )
-    parts = [
-        dup_timestamp_clusters(df, keys),
-        dup_trade_ids(df, keys),
-        price_checks(df, keys, thresholds.price_range_factor, clocked),
-        size_checks(df, keys),
-        notional_checks(df, keys),
-        interarrival(df, keys, clocked),
-        hour_coverage(df, keys, thresholds.sparse_hour_min_rows),
-        lag_metrics(df, keys),
-        off_day_fraction(df, keys),
-    ]
-    out = clock_flags(df, keys)
-    for p in parts:
-        out = out.join(p, keys, "left")
+
+    def case(name: str, value: Column | None = None, number: Column | None = None, text: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(name).alias("__m"), (none if value is None else value).cast("double").alias("__v"),
+            (none if number is None else number).cast("bigint").alias("b"), (none if text is None else text).cast("string").alias("t"),
+        )
+
+    cases = [case("price", p), case("ret", F.col("abs_ret")), case("gap", F.col("gap_s")), case("lag", lag)]
+    cases += [case("ts", number=F.col("clock")), case("id", text=F.col("trade_id")), case("hour", number=F.when(inside, F.floor(off / HOUR_NS)))]
+    long = rows.select(*keys, F.inline(F.array(*cases))).where("__v is not null or b is not null or t is not null")
+    counts = materialize(long.groupBy(*keys, "__m", "__v", "b", "t").agg(F.count("*").alias("__n")))
+    of = lambda name: F.col("__m") == name
+    none = F.array().cast("array<bigint>")
+    repeats = counts.where("__v is null").groupBy(*keys).agg(
+        F.count_if(of("ts") & (F.col("__n") > 1)).alias("dup_ts_cluster_count"),
+        F.coalesce(F.max(F.when(of("ts"), F.col("__n"))), F.lit(0)).alias("dup_ts_max_cluster"),
+        F.count_if(of("id")).alias("__ids"),
+        F.collect_set(F.when(of("hour"), F.col("b"))).alias("__seen"),
+        F.collect_set(F.when(of("hour") & (F.col("__n") < thresholds.sparse_hour_min_rows), F.col("b"))).alias("__thin"),
+    )
+    values = counts.where("__v is not null and not isnan(__v)").select(*keys, "__m", "__v", "__n")
+    ranked = ranked_quantiles(values, keys, DAY_QUANTILES)
+    m, factor = F.col("price_median"), thresholds.price_range_factor
+    band = (m > 0) & ((F.col("__v") < m / factor) | (F.col("__v") > m * factor))
+    outside = counts.where("__m = 'price'").join(ranked.select(*keys, "price_median"), keys).groupBy(*keys).agg(F.coalesce(F.sum(F.when(band, F.col("__n"))), F.lit(0)).alias("price_out_of_band_count"))
+    out = base.join(repeats, keys, "left").join(ranked, keys, "left").join(outside, keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(23)).cast("array<bigint>"), F.coalesce("__seen", none))
+    dup = F.col("row_count") - F.coalesce("__ids", F.lit(0))
     return out.withColumns(
         {
             "dup_ts_cluster_count": F.coalesce("dup_ts_cluster_count", F.lit(0)),
             "dup_ts_max_cluster": F.coalesce("dup_ts_max_cluster", F.lit(0)),
+            "dup_trade_id_count": dup,
+            "dup_trade_id_frac": dup / F.col("row_count"),
+            "price_out_of_band_count": F.coalesce("price_out_of_band_count", F.lit(0)),
+            "price_p99_abs_ret": zero("ret_p99"),
+            **{f"interarrival_{q}_s": zero(f"gap_{q}") for q in DAY_QUANTILES["gap"]},
+            "missing_hours": F.array_sort(missing),
+            "sparse_hours": F.array_sort(F.coalesce("__thin", none)),
+            "recv_origin_lag_median_ms": F.col("lag_median"),
+            "recv_origin_lag_p95_ms": F.col("lag_p95"),
         }
-    )
+    ).drop("__ids", "__seen", "__thin", "ret_p99", "lag_median", "lag_p95", *[f"gap_{q}" for q in DAY_QUANTILES["gap"]])
 
 
 def classify_trade_day(m: DataFrame, t: TradeThresholds = TradeThresholds()) -> DataFrame:
