@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lobspark.operators.folds import ordered_fold
-from lobspark.operators.ordered import BUCKET, asof, bucket_of, running, shift, with_bucket
+from lobspark.operators.ordered import BUCKET, asof, balanced_bucket_width, bucket_of, running, shift, with_bucket
 from lobspark.session import DAY_NS, NS_PER_S, materialize
 
 DEFAULT_HORIZONS: Mapping[str, int] = {"2s": 2 * NS_PER_S, "10s": 10 * NS_PER_S, "60s": 60 * NS_PER_S}
@@ -113,70 +113,154 @@ def first_hits(mid: np.ndarray, lo: np.ndarray, hi: np.ndarray, p0: np.ndarray,
     return found
 
 
-class _BarrierScan:
-    """Path of one bucket (plus one horizon of look-ahead), then its anchors, batch by batch."""
+class _PathThenAnchors:
+    """The points of one bucket first, kept as arrays, then its anchors, batch by batch, through ``answer``."""
+
+    COLUMNS = ("mid",)
 
     def __init__(self):
-        self.parts, self.ts, self.mid = [], None, None
+        self.parts, self.ts = [], None
 
     def push(self, pdf: pd.DataFrame) -> pd.DataFrame | None:
         kind = pdf["kind"].to_numpy()
         pts = pdf[kind == 0]
         if len(pts):
-            self.parts.append((pts["ts"].to_numpy(np.int64), pts["mid"].to_numpy(float)))
+            self.parts.append([pts["ts"].to_numpy(np.int64), *(pts[c].to_numpy(float) for c in self.COLUMNS)])
         a = pdf[kind == 1]
         if not len(a):
             return None
         if self.ts is None:
-            self.ts = np.concatenate([x for x, _ in self.parts]) if self.parts else np.empty(0, np.int64)
-            self.mid = np.concatenate([x for _, x in self.parts]) if self.parts else np.empty(0)
+            arrays = [np.concatenate(x) for x in zip(*self.parts)] if self.parts else [np.empty(0, np.int64), *(np.empty(0) for _ in self.COLUMNS)]
+            self.ts, self.values = arrays[0], arrays[1:]
+        return self.answer(a.reset_index(drop=True))
+
+    def finish(self):
+        return None
+
+
+def _labelled(a: pd.DataFrame, ts: np.ndarray, mid: np.ndarray, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Labels of anchors over the points ``[lo, hi)``; without any of these the return of ``before`` (NaN: zero). Also which anchors hit."""
+    t, h = a["ts"].to_numpy(np.int64), a["horizon_ns"].to_numpy(np.int64)
+    p0, w = a["mid"].to_numpy(float), a["width_bps"].to_numpy(float)
+    hit = first_hits(mid, lo, hi, p0, w)
+    end = before.copy()
+    some = np.flatnonzero(hi > lo)
+    end[some] = mid[hi[some] - 1]
+    lab, at = np.zeros(len(a), np.int64), t + h
+    won = np.flatnonzero(hit >= 0)
+    end[won] = mid[hit[won]]
+    y = np.where(np.isnan(end), 0.0, (end - p0) / p0 * 1e4)
+    lab[won], at[won] = np.where(y[won] > 0, 1, -1), ts[hit[won]]
+    out = a[["ts", "horizon"]].rename(columns={"ts": "t_event"})
+    out["y_fwd_bps"], out["label"], out["t_barrier"], out["p0"], out["width_bps"] = y, lab, at, p0, w
+    return out, hit >= 0
+
+
+class _BarrierScan(_PathThenAnchors):
+    """Path of one bucket plus one horizon of look-ahead."""
+
+    def answer(self, a):
+        t = a["ts"].to_numpy(np.int64)
+        lo, hi = (np.searchsorted(self.ts, x, side="right") for x in (t, t + a["horizon_ns"].to_numpy(np.int64)))
+        return _labelled(a, self.ts, self.values[0], lo, hi, np.full(len(a), np.nan))[0]
+
+
+class _OwnBlock(_PathThenAnchors):
+    """The part of the horizon inside the anchor's own block; ``open`` rows go on, with the last mid seen."""
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width = width
+
+    def answer(self, a):
         t, h = a["ts"].to_numpy(np.int64), a["horizon_ns"].to_numpy(np.int64)
+        lo, hi = (np.searchsorted(self.ts, x, side="right") for x in (t, t + h))
+        out, hit = _labelled(a, self.ts, self.values[0], lo, hi, np.full(len(a), np.nan))
+        out["open"] = ~hit & ((t + h) // self.width > t // self.width)
+        seen = np.full(len(a), np.nan)
+        some = np.flatnonzero(hi > lo)
+        seen[some] = self.values[0][hi[some] - 1]
+        out["seen"], out["horizon_ns"] = seen, h
+        return out
+
+
+class _BlockIndex(_PathThenAnchors):
+    """First later block whose lowest or highest mid is a crossing, by the extremes of blocks alone; ``ts`` are block numbers."""
+
+    COLUMNS = ("low", "high", "last")
+
+    def answer(self, a):
+        low, high, last = self.values
+        lo, hi = np.searchsorted(self.ts, a["ts"].to_numpy(np.int64), side="right"), np.searchsorted(self.ts, a["end_block"].to_numpy(np.int64), side="right")
         p0, w = a["mid"].to_numpy(float), a["width_bps"].to_numpy(float)
-        lo, hi = np.searchsorted(self.ts, t, side="right"), np.searchsorted(self.ts, t + h, side="right")
-        y, lab, at = np.zeros(len(a)), np.zeros(len(a), np.int64), t + h
-        hit = first_hits(self.mid, lo, hi, p0, w)
-        last = np.flatnonzero((hit < 0) & (hi > lo))
-        y[last] = (self.mid[hi[last] - 1] - p0[last]) / p0[last] * 1e4
-        won = np.flatnonzero(hit >= 0)
-        y[won] = (self.mid[hit[won]] - p0[won]) / p0[won] * 1e4
-        lab[won], at[won] = np.where(y[won] > 0, 1, -1), self.ts[hit[won]]
-        out = a[["ts", "horizon"]].rename(columns={"ts": "t_event"}).reset_index(drop=True)
-        out["y_fwd_bps"], out["label"], out["t_barrier"], out["p0"], out["width_bps"] = y, lab, at, p0, w
+        # extremes side by side: the first hit in either row is a hit of the block, for returns grow with the mid
+        hit = first_hits(np.stack([low, high], axis=1).ravel(), 2 * lo, 2 * hi, p0, w) // 2
+        target = np.where(hit >= 0, hit, np.where((hi > lo) & (self.ts[np.minimum(hi, len(self.ts)) - 1] == a["end_block"]), hi - 1, -1)) if len(self.ts) else np.full(len(a), -1)
+        until = np.where(target >= 0, target, hi)
+        before = a["seen"].to_numpy(float).copy()
+        some = np.flatnonzero(until > lo)
+        before[some] = last[until[some] - 1]
+        out = a[["t_event", "horizon", "horizon_ns", "width_bps"]].copy()
+        out["p0"], out["seen"], out["target"] = p0, before, np.where(target >= 0, self.ts[np.maximum(target, 0)] if len(self.ts) else 0, _NOWHERE)
         return out
 
-    def finish(self):
-        return None
 
+class _TargetBlock(_PathThenAnchors):
+    """The block that the index names, up to the horizon."""
+
+    def answer(self, a):
+        t = a["t_event"].to_numpy(np.int64)
+        a = a.assign(ts=t)
+        hi = np.searchsorted(self.ts, t + a["horizon_ns"].to_numpy(np.int64), side="right")
+        return _labelled(a, self.ts, self.values[0], np.zeros(len(a), np.int64), hi, a["seen"].to_numpy(float))[0]
 
-def triple_barrier(path: DataFrame, anchors: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+
+#: Points of a path that one task keeps, and the block number that stands for none.
+BLOCK_POINTS, _NOWHERE = 1_000_000, -(2**63)
+#: Blocks whose extremes one task keeps.
+BLOCKS_AT_ONCE = 100_000
+
+
+def triple_barrier(path: DataFrame, anchors: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
     """First path point in ``(t_event, t_event + horizon]`` at or beyond ±width, else the as-of return.
 
-    ``path``: keys, ts, mid. ``anchors``: keys, t_event, p0, width_bps, horizon, horizon_ns, with
-    every horizon at most ``width`` (the bucket), so a path point is needed by two buckets only.
+    ``path``: keys, ts, mid. ``anchors``: keys, t_event, p0, width_bps, horizon, horizon_ns. ``width`` is the block of time that a task keeps
+    (unset: the widest with at most ``BLOCK_POINTS`` points). Where horizons are no longer than it, a point is needed by its own block
+    and, near the border, the one before. Longer horizons are searched in the anchor's block, then over the extremes of the later blocks, and
+    only the one block where the first crossing must be is read: blocks without are skipped, and memory does not grow with the horizon.
     """
     keys = list(keys)
-    types = dict(anchors.dtypes)
-    a = anchors.select(
-        *keys,
-        bucket_of("t_event", width).alias(BUCKET),
-        F.col("t_event").alias("ts"),
-        F.col("p0").alias("mid"),
-        "width_bps",
-        "horizon",
-        "horizon_ns",
-        F.lit(1).alias("kind"),
-    )
-    own = bucket_of("ts", width)
-    p = path.select(*keys, F.explode(F.array(own, own - 1)).alias(BUCKET), "ts", "mid", F.lit(0).cast("bigint").alias("horizon_ns"), F.lit(0).alias("kind"))
-    p = p.join(a.select(*keys, BUCKET).distinct(), [*keys, BUCKET], "left_semi")
-    ddl = "".join(f"{k} {types[k]}, " for k in keys)
-    schema = (
-        f"{ddl}{BUCKET} bigint, t_event bigint, horizon string, y_fwd_bps double, label bigint, t_barrier bigint, "
-        "p0 double, width_bps double"
-    )
-    return ordered_fold(
-        p.unionByName(a, allowMissingColumns=True), [*keys, BUCKET], ["kind", "ts"], lambda key: _BarrierScan(), schema
-    ).drop(BUCKET)
+    width = width or balanced_bucket_width(path, keys, "ts", BLOCK_POINTS)
+    longest = anchors.agg(F.max("horizon_ns")).first()[0] or 0
+    ddl = "".join(f"{k} {t}, " for k, t in anchors.select(*keys).dtypes)
+    result = "t_event bigint, horizon string, y_fwd_bps double, label bigint, t_barrier bigint, p0 double, width_bps double"
+    zero = {"horizon_ns": F.lit(0).cast("bigint"), "kind": F.lit(0)}
+    at, own = [*keys, BUCKET], bucket_of("ts", width)
+    a = anchors.select(*keys, F.col("t_event").alias("ts"), F.col("p0").alias("mid"), "width_bps", "horizon", "horizon_ns", F.lit(1).alias("kind")).withColumn(BUCKET, own)
+    points = path.select(*keys, "ts", "mid").withColumns(zero)
+    if longest <= width:
+        near = F.when(F.col("ts") - own * width <= longest, F.array(own, own - 1)).otherwise(F.array(own))
+        p = points.withColumn(BUCKET, F.explode(near)).join(a.select(*at).distinct(), at, "left_semi")
+        return ordered_fold(p.unionByName(a, allowMissingColumns=True), at, ["kind", "ts"], lambda key: _BarrierScan(), f"{ddl}{BUCKET} bigint, {result}").drop(BUCKET)
+
+    p = points.withColumn(BUCKET, own)
+    stream = p.join(a.select(*at).distinct(), at, "left_semi").unionByName(a, allowMissingColumns=True)
+    first = materialize(ordered_fold(stream, at, ["kind", "ts"], lambda key: _OwnBlock(width), f"{ddl}{BUCKET} bigint, {result}, open boolean, seen double, horizon_ns bigint"))
+    # the index: one row per block, with one horizon of look-ahead for every stretch of blocks
+    blocks = p.groupBy(*at).agg(F.min("mid").alias("low"), F.max("mid").alias("high"), F.max_by("mid", "ts").alias("last"))
+    stretch = max(BLOCKS_AT_ONCE, -(-longest // width) + 1)
+    group = F.expr(f"`{BUCKET}` div {stretch}L")
+    none = {c: F.lit(0).cast("bigint") for c in ("t_event", "horizon_ns", "end_block")}
+    blocks = blocks.withColumn("__g", F.explode(F.array(group, group - 1))).select(*keys, "__g", F.col(BUCKET).alias("ts"), "low", "high", "last", F.lit(0).alias("kind")).withColumns(none)
+    pending = first.where("open").select(*keys, group.alias("__g"), F.col(BUCKET).alias("ts"), "t_event", "horizon", "horizon_ns", F.expr(f"(t_event + horizon_ns) div {width}L").alias("end_block"), F.col("p0").alias("mid"), "width_bps", "seen", F.lit(1).alias("kind"))
+    found = ordered_fold(blocks.unionByName(pending, allowMissingColumns=True), [*keys, "__g"], ["kind", "ts"], lambda key: _BlockIndex(), f"{ddl}__g bigint, t_event bigint, horizon string, horizon_ns bigint, width_bps double, p0 double, seen double, target bigint")
+    found = materialize(found.drop("__g"))
+    routed = found.where(f"target <> {_NOWHERE}L").select(*keys, F.col("target").alias(BUCKET), "t_event", "horizon", "horizon_ns", "width_bps", F.col("p0").alias("mid"), "seen", F.col("t_event").alias("ts"), F.lit(1).alias("kind"))
+    stream = p.join(routed.select(*at).distinct(), at, "left_semi").withColumn("t_event", F.lit(0).cast("bigint")).unionByName(routed, allowMissingColumns=True)
+    last = ordered_fold(stream, at, ["kind", "ts"], lambda key: _TargetBlock(), f"{ddl}{BUCKET} bigint, {result}")
+    names = [*keys, *[c.split()[0] for c in result.split(", ")]]
+    empty = found.where(f"target = {_NOWHERE}L").withColumns({"y_fwd_bps": F.coalesce((F.nanvl("seen", F.lit(None).cast("double")) - F.col("p0")) / F.col("p0") * 1e4, F.lit(0.0)), "label": F.lit(0).cast("bigint"), "t_barrier": F.col("t_event") + F.col("horizon_ns")})
+    return first.where("not open").select(*names).unionByName(last.select(*names)).unionByName(empty.select(*names))
 
 
 def uniqueness(rows: DataFrame, keys: Sequence[str], width: int = DAY_NS) -> DataFrame:
