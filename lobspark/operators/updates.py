@@ -11,7 +11,9 @@ from lobspark.session import materialize
 ID_WIDTH = 1_000_000
 
 # Verdicts that break a chain.
-FAILING = ("conflicting_duplicate", "seed_anchor_gap", "incompatible_overlap", "sequence_gap")
+FAILING = ("conflicting_duplicate", "seed_anchor_gap", "incompatible_overlap", "sequence_gap", "ordering_anomaly", "backwards_snapshot")
+APPLIED = ("snapshot", "anchor", "applied")
+SKIPPED = ("pre_snapshot", "duplicate")
 
 
 def group_update_events(rows: DataFrame) -> DataFrame:
@@ -49,8 +51,10 @@ def group_update_events(rows: DataFrame) -> DataFrame:
 def check_id_continuity(events: DataFrame, market: str, width: int = ID_WIDTH) -> DataFrame:
     """Verdict per event in ``(order_id, kind)`` order; a snapshot re-arms the anchor rule.
 
-    Verdicts: snapshot, stale_snapshot, pre_snapshot, duplicate, conflicting_duplicate, anchor,
-    seed_anchor_gap, applied, incompatible_overlap, sequence_gap. ``epoch`` is the id of the last accepted
+    Verdicts: snapshot, stale_snapshot, backwards_snapshot, pre_snapshot, duplicate, conflicting_duplicate, anchor,
+    seed_anchor_gap, applied, incompatible_overlap, sequence_gap, ordering_anomaly. The watermark of an event is the latest
+    event time of what was applied before it: a snapshot behind it is backwards, an update behind it that would be applied is an
+    anomaly, and what is skipped anyway may regress (``regresses``). ``epoch`` is the id of the last accepted
     snapshot; ``chain_ok`` turns false at the first failing verdict and stays so until the next snapshot (the
     verdicts in between describe the chain as if it resumed).
     """
@@ -90,10 +94,43 @@ def check_id_continuity(events: DataFrame, market: str, width: int = ID_WIDTH) -
         .otherwise("sequence_gap")
     )
     x = x.withColumn("verdict", verdict)
+    x = running(x, ["symbol"], order, {"__mark": ("max", F.when(c("verdict").isin(*APPLIED), c("event_time")))}, width=width, inclusive=False)
+    x = x.withColumn("regresses", F.coalesce(c("event_time") < c("__mark"), F.lit(False)))
+    behind = F.when(c("kind") == 1, "backwards_snapshot").when(c("verdict").isin("anchor", "applied"), "ordering_anomaly").otherwise(c("verdict"))
+    x = x.withColumn("verdict", F.when(c("regresses"), behind).otherwise(c("verdict")))
     snapshot = c("verdict") == "snapshot"
     state = {"epoch": ("last", F.when(snapshot, c("order_id"))), "__broken": ("last", F.when(c("verdict").isin(*FAILING), True).when(snapshot, False))}
     x = running(x, ["symbol"], order, state, width=width)
-    return x.select(*events.columns, "verdict", "epoch", (~F.coalesce("__broken", F.lit(False))).alias("chain_ok"))
+    return x.select(*events.columns, "verdict", "epoch", (~F.coalesce("__broken", F.lit(False))).alias("chain_ok"), "regresses")
+
+
+def chain_summary(checked: DataFrame, max_regression_frac: float = 0.001) -> DataFrame:
+    """Counters of each symbol's replay up to its halt, and how it ended.
+
+    A strict replay halts at the first failing verdict or stale snapshot (``halt`` and its ``halt_id``); the halting event is counted among the events
+    only. Else ``halt`` is ``ordering_anomaly`` where skipped events regress too often, ``missing_initial_snapshot`` where none was applied, or null.
+    """
+    place = F.struct("order_id", "kind", F.coalesce("first_id", F.lit(0)).alias("f"))
+    stops = F.when(F.col("verdict").isin(*FAILING, "stale_snapshot"), place)
+    ends = checked.groupBy("symbol").agg(F.min(stops).alias("__stop"), F.min_by("verdict", stops).alias("__why"))
+    x = checked.join(ends, "symbol")
+    upto = F.col("__stop").isNull() | (place <= F.col("__stop"))
+    before = F.col("__stop").isNull() | (place < F.col("__stop"))
+    of = lambda *v: F.count_if(before & F.col("verdict").isin(*v))
+    m = x.groupBy("symbol").agg(
+        F.count_if(upto).alias("events"),
+        of("snapshot").alias("snapshots_applied"),
+        of("anchor", "applied").alias("updates_applied"),
+        of("pre_snapshot").alias("updates_skipped_pre_snapshot"),
+        of("duplicate").alias("duplicate_events_dropped"),
+        F.count_if(before & F.col("verdict").isin(*SKIPPED) & F.col("regresses")).alias("event_time_regressions"),
+        F.max("__stop.order_id").alias("halt_id"),
+        F.max("__why").alias("__why"),
+    )
+    late = F.when(F.col("event_time_regressions") > max_regression_frac * F.col("events"), "ordering_anomaly")
+    none = F.when(F.col("snapshots_applied") == 0, "missing_initial_snapshot")
+    halt = F.coalesce(F.col("__why"), late, none)
+    return m.withColumns({"resets": F.greatest(F.col("snapshots_applied") - 1, F.lit(0).cast("bigint")), "halt": halt}).drop("__why")
 
 
 def replay_deltas(rows: DataFrame, checked: DataFrame) -> DataFrame:

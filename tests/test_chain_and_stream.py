@@ -77,3 +77,26 @@ def test_broken_chain_empties_the_book_until_the_next_snapshot(spark):
     d = {(x.origin_ns, x.side, x.tick): x.size for x in U.replay_deltas(r, checked).collect()}
     # the break removes both levels; so does, again, the snapshot after it
     assert d == {(2, "bid", 100): 1.0, (3, "ask", 101): 2.0, (4, "bid", 100): 0.0, (4, "ask", 101): 0.0, (6, "bid", 100): 0.0, (6, "ask", 101): 0.0, (6, "bid", 97): 1.0}
+
+
+def test_regressing_event_times_and_the_halt(spark):
+    cols = "symbol string, event_type string, event_time bigint, first_id bigint, final_id bigint, prev_id bigint, last_id bigint, side string, tick bigint, size double"
+    ev = [
+        ("A", "update", 90, 1, 5, 0, None, "bid", 100, 1.0),
+        ("A", "snapshot", 100, None, None, None, 10, "bid", 100, 1.0),
+        ("A", "update", 101, 9, 12, 8, None, "bid", 100, 2.0),
+        ("A", "update", 99, 13, 15, 12, None, "bid", 101, 2.0),
+        ("A", "snapshot", 98, None, None, None, 30, "bid", 97, 1.0),
+        ("A", "snapshot", 120, None, None, None, 40, "bid", 97, 1.0),
+        ("A", "update", 121, 39, 44, 38, None, "bid", 98, 2.0),
+        ("B", "update", 5, 1, 2, 0, None, "bid", 98, 2.0),
+    ]
+    checked = U.check_id_continuity(U.group_update_events(spark.createDataFrame(ev, cols)), "futures")
+    got = {(x.symbol, x.order_id): (x.verdict, x.chain_ok, x.regresses) for x in checked.collect()}
+    assert got == {
+        ("A", 5): ("pre_snapshot", True, False), ("A", 10): ("snapshot", True, False), ("A", 12): ("anchor", True, False), ("A", 15): ("ordering_anomaly", False, True),
+        ("A", 30): ("backwards_snapshot", False, True), ("A", 40): ("snapshot", True, False), ("A", 44): ("anchor", True, False), ("B", 2): ("pre_snapshot", True, False),
+    }
+    s = {r.symbol: r for r in U.chain_summary(checked).collect()}
+    assert (s["A"].events, s["A"].snapshots_applied, s["A"].updates_applied, s["A"].resets, s["A"].halt, s["A"].halt_id) == (4, 1, 1, 0, "ordering_anomaly", 15)
+    assert (s["B"].halt, s["B"].halt_id, s["B"].updates_skipped_pre_snapshot) == ("missing_initial_snapshot", None, 1)
