@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from lobspark.functions import normal as NORMAL
 from lobspark.functions.normal import deflated_sharpe, norm_cdf, norm_ppf
 from lobspark.operators import contracts as K
 from lobspark.operators import cv
@@ -197,7 +198,44 @@ def trial_stats(t: Tables):
     return E.trade_summary(p, ["trial"]).join(sk, "trial").join(sh, "trial")
 
 
-@query("deflated_sharpe")
+def poly_sql(coef, x: str) -> str:
+    out = repr(coef[0])
+    for c in coef[1:]:
+        out = f"({out}*({x})+({c!r}))"
+    return out
+
+
+def cdf_sql(z: str) -> str:
+    """The normal distribution function of a column, by the same rational approximation."""
+    a = f"abs({z})"
+    tail = f"""CASE WHEN {a}<7.07106781186547 THEN exp(-{a}*{a}/2)*{poly_sql(NORMAL.TAIL_NUM, a)}/{poly_sql(NORMAL.TAIL_DEN, a)}
+      WHEN {a}<=37 THEN exp(-{a}*{a}/2)/({a}+1/({a}+2/({a}+3/({a}+4/({a}+0.65)))))/2.506628274631 ELSE 0 END"""
+    return f"(CASE WHEN {z}>0 THEN 1-({tail}) ELSE {tail} END)"
+
+
+def ppf_sql(rows: str, p: str, out: str) -> str:
+    """``rows`` (a query) with the normal quantile of its column ``p`` as ``out``; one Halley step refines the guess."""
+
+    def side(t: str) -> str:
+        return f"({poly_sql(NORMAL.INV_C, f'sqrt(-2*ln({t}))')}/{poly_sql(NORMAL.INV_D, f'sqrt(-2*ln({t}))')})"
+
+    q = f"({p}-0.5)"
+    guess = f"CASE WHEN {p}<{NORMAL.SPLIT} THEN {side(p)} WHEN {p}>1-{NORMAL.SPLIT} THEN -{side(f'(1-{p})')} ELSE {poly_sql(NORMAL.INV_A, f'{q}*{q}')}*{q}/{poly_sql(NORMAL.INV_B, f'{q}*{q}')} END"
+    return f"""SELECT * EXCLUDE (gx, ge), gx-ge/(gx*ge/2+1) {out} FROM (SELECT *, ({cdf_sql('gx')}-{p})*2.5066282746310002*exp(gx*gx/2) ge FROM (SELECT *, {guess} gx FROM ({rows})))"""
+
+
+TRIALS = f"""SELECT trial, sharpe, skew, kurt, greatest(2, round_even(eff, 0)) t_count, sd, n_tr, 1-1/n_tr::DOUBLE p1, 1-1/(n_tr*{NORMAL.E}) p2 FROM (
+    SELECT *, stddev_pop(sharpe) OVER () sd, count(*) OVER () n_tr FROM (
+      SELECT trial, any_value(m)/sqrt(sum(uniqueness*(pnl-m)*(pnl-m))/sum(uniqueness)) sharpe, skewness(pnl) skew, kurtosis(pnl)+3 kurt, sum(uniqueness) eff
+      FROM (SELECT *, sum(uniqueness*pnl) OVER (PARTITION BY trial)/sum(uniqueness) OVER (PARTITION BY trial) m FROM pnl_v WHERE traded) GROUP BY trial))"""
+FRAGMENTS["dsr_v"] = (
+    ("pnl_v",),
+    f"""SELECT trial, cast(t_count AS bigint) t_count, {cdf_sql('dz')} dsr FROM (SELECT *, (sharpe-sd*(z1*(1-{NORMAL.GAMMA})+z2*{NORMAL.GAMMA}))*sqrt(greatest(t_count-1, 1))/sqrt(greatest(1e-12, 1-skew*sharpe+(kurt-1)/4*sharpe*sharpe)) dz
+      FROM ({ppf_sql(ppf_sql(TRIALS, 'p1', 'z1'), 'p2', 'z2')}))""",
+)
+
+
+@query("deflated_sharpe", sql("SELECT trial, t_count, round(dsr,6)+0.0 dsr FROM dsr_v", "dsr_v"))
 def deflated_sharpe_query(t: Tables):
     x = trial_stats(t)
     spread = x.agg(F.stddev_pop("sharpe").alias("sd"), F.count("*").alias("n_tr"))
@@ -206,7 +244,13 @@ def deflated_sharpe_query(t: Tables):
     return rnd(x.select("trial", "t_count", d.alias("dsr")), "dsr")
 
 
-@query("normal_quantiles")
+@query(
+    "normal_quantiles",
+    sql(
+        f"""SELECT grp, n, round(z,6)+0.0 z, round({cdf_sql('z')},6)+0.0 p FROM ({ppf_sql("SELECT grp, count(*) n, (grp+0.5::DOUBLE)/997 q FROM (SELECT ((row_number() OVER (ORDER BY t_event)-1)*997)//count(*) OVER () grp FROM matrix_v) GROUP BY 1", 'q', 'z')})""",
+        "matrix_v",
+    ),
+)
 def normal_quantiles(t: Tables):
     """Row ranks of the matrix mapped through Φ⁻¹ and back."""
     g = cv.time_groups(matrix(t), 997, [], WIDTH).groupBy("grp").agg(F.count("*").alias("n"))
@@ -353,21 +397,19 @@ def matched_delta(t: Tables):
 
 
 GATE = f"""WITH s AS (SELECT trial, {SUMMARY} FROM pnl_v GROUP BY 1), h AS ({sharpe_sql("true", "trial")}),
-  c AS (SELECT 'trial_'||trial AS name, net_pnl, -40000.0::DOUBLE naive_net, turnover dsr, n_trades, effective_trades, sharpe sample_sharpe, 0.3::DOUBLE pbo FROM s JOIN h USING (trial)),
+  c AS (SELECT 'trial_'||trial AS name, net_pnl, -40000.0::DOUBLE naive_net, round(d.dsr,6)+0.0 dsr, n_trades, effective_trades, sharpe sample_sharpe, (SELECT round(avg((rank_count/(n_trials+1)<0.5)::INT),6)+0.0 FROM pbo_v) pbo FROM s JOIN h USING (trial) JOIN dsr_v d USING (trial)),
   x AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT net_pnl>0 THEN 'net_not_positive' END, CASE WHEN NOT net_pnl>naive_net THEN 'not_above_naive' END, CASE WHEN NOT dsr>0.5 THEN 'dsr_not_above_threshold' END,
     CASE WHEN n_trades<100 THEN 'insufficient_trades' END, CASE WHEN NOT effective_trades>=50 THEN 'insufficient_effective_trades' END, CASE WHEN NOT sample_sharpe>=-1 THEN 'sample_sharpe_below_minimum' END], lambda x: x IS NOT NULL), ',') reasons FROM c)
   SELECT *, reasons='' passes_solo, row_number() OVER (ORDER BY (reasons='') DESC, net_pnl DESC, name)=1 AND reasons='' is_winner,
     CASE WHEN row_number() OVER (ORDER BY (reasons='') DESC, net_pnl DESC, name)=1 AND reasons='' THEN CASE WHEN pbo<0.5 THEN 'pass' ELSE 'fail' END END verdict FROM x"""
 
 
-@query("gate_verdict", sql(GATE, "pnl_v"))
+@query("gate_verdict", sql(GATE, "pnl_v", "dsr_v", "pbo_v"))
 def gate_verdict(t: Tables):
     p = pnl(t)
     x = rounded_summary(E.trade_summary(p, ["trial"])).join(rnd(E.weighted_sharpe(p, ["trial"], traded_only=False), "sharpe"), "trial")
-    c = x.select(
-        F.concat(F.lit("trial_"), F.col("trial").cast("string")).alias("name"), "net_pnl", F.lit(-40000.0).alias("naive_net"), F.col("turnover").alias("dsr"),
-        "n_trades", "effective_trades", F.col("sharpe").alias("sample_sharpe"), F.lit(0.3).alias("pbo"),
-    )
+    x = x.join(deflated_sharpe_query(t).select("trial", "dsr"), "trial").crossJoin(F.broadcast(pbo(t).select("pbo")))  # one row
+    c = x.select(F.concat(F.lit("trial_"), F.col("trial").cast("string")).alias("name"), "net_pnl", F.lit(-40000.0).alias("naive_net"), "dsr", "n_trades", "effective_trades", F.col("sharpe").alias("sample_sharpe"), "pbo")
     return E.gate_verdict(c, dsr_min=0.5, min_trades=100, min_effective=50, min_sharpe=-1, pbo_max=0.5)
 
 

@@ -1,14 +1,17 @@
 """Streaming queries: the events file as a stream, ended by a control stream, results kept as a table."""
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lobspark.plans import queries_bars  # noqa: F401  (its recursion is reused below)
+from lobspark.plans.common import r
 from lobspark.plans.queries_book import LEVELS
 from lobspark.plans.registry import query
-from lobspark.plans.tables import Tables, sql
+from lobspark.plans.tables import FRAGMENTS, Tables, sql
 from lobspark.session import DAY_NS, HOUR_NS, _shared_folder
 from lobspark.streaming.stateful import FLUSH, stream_book_at_trades, stream_dollar_bars
 
@@ -89,9 +92,27 @@ def book_at_trades(t: Tables):
     return book_stream(market(source(t)), t.raw("events"))
 
 
-@query("stream_dollar_bars")
+# the bar recursion over every symbol-day of the priced trades, with one threshold
+FRAGMENTS["sbt_v"] = (
+    (),
+    """SELECT *, row_number() OVER (PARTITION BY symbol, dt ORDER BY origin_ns, seq) rn FROM (
+         SELECT 'S'||(user_id%2) symbol, CAST(CAST(ts AS TIMESTAMP) AS DATE) dt, epoch_us(CAST(ts AS TIMESTAMP))*1000 origin_ns, event_id seq, 100.0::DOUBLE+(event_id%21-10)/100.0::DOUBLE price, value quantity
+         FROM events WHERE event_type IN ('purchase','signup'))""",
+)
+FRAGMENTS["ssched_v"] = (("sbt_v",), f"SELECT DISTINCT symbol, dt, {BAR_THRESHOLD}::DOUBLE threshold, false is_warmup FROM sbt_v")
+for _name in ("clock_v", "bar_close_v"):
+    _deps, _text = FRAGMENTS[_name]
+    for _old in ("sched_v", "bt_v", "clock_v"):
+        _text = re.sub(rf"\b{_old}\b", f"s{_old}", _text)
+    FRAGMENTS[f"s{_name}"] = (tuple(f"s{d}" for d in _deps), _text)
+
+
+@query(
+    "stream_dollar_bars",
+    sql(f"SELECT symbol, (epoch_us(dt::TIMESTAMP)*1000//{DAY_NS})*{DAY_NS} day_ns, bar_idx, interval_start, close_reason, cap_fire, round(notional,4)+0.0 notional, 0::BIGINT late_count FROM sbar_close_v", "sbar_close_v"),
+)
 def dollar_bars(t: Tables):
-    return bar_stream(priced(source(t)), t.raw("events"))
+    return bar_stream(priced(source(t)), t.raw("events")).withColumn("notional", r("notional", 4))
 
 
 @query(
