@@ -284,6 +284,13 @@ def dollar_bars(t: Tables):
     return rnd(b, "notional", d=4)
 
 
+@query("dollar_bars_in_chunks", sql(f"SELECT {BAR_SQL} FROM bars_v", "bars_v"))
+def dollar_bars_in_chunks(t: Tables):
+    """The same bars with every symbol-day in eight tasks."""
+    b = B.dollar_bars(mtrades(t), schedule(t), P.time_cap_ns, width=DAY_NS // 8)
+    return rnd(b.select("symbol", "dt", "bar_idx", "interval_start", "close_reason", "cap_fire", "notional", "n_trades", "max_received"), "notional", d=4)
+
+
 @query(
     "bar_members",
     sql("SELECT symbol, dt, bar_idx, seq FROM (SELECT symbol, dt, tbar bar_idx, seq, rn FROM clock_v) WHERE rn>0", "clock_v"),
