@@ -8,6 +8,7 @@ from lobspark.operators import contracts as K
 from lobspark.operators.book import coalesce_path
 from lobspark.plans.common import r
 from lobspark.plans.queries_bars import build, candidates
+from lobspark.plans.queries_l3 import D0, events
 from lobspark.plans.registry import query
 from lobspark.plans.tables import Tables, sql
 from lobspark.session import HOUR_NS, _shared_folder
@@ -51,6 +52,22 @@ def scan_trades_csv(t: Tables):
     return S.scan_trades_csv(t.spark, out, "2024-01-01").drop("seq", "file")
 
 
+@query("scan_l3_csv", sql("SELECT order_id::VARCHAR order_id, time_exchange_ns, update_type, side='bid' is_buy, tick/100.0::DOUBLE entry_px, size::DOUBLE entry_sx FROM l3_v", "l3_v"))
+def scan_l3_csv(t: Tables):
+    """Order events written as two sets of CSV files with different orders of columns, each read by its own header."""
+    time = F.concat(F.date_format(F.timestamp_micros(F.expr(f"({D0} + time_exchange_ns) div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.expr("cast(time_exchange_ns div 100 % 10 as string)"))
+    raw = events(t).select(
+        time.alias("time_exchange"), time.alias("time_received"), "update_type", (F.col("side") == "bid").cast("int").alias("is_buy"),
+        (F.col("tick") / 100.0).alias("entry_px"), F.col("size").alias("entry_sx"), F.col("order_id").cast("string").alias("order_id"), (F.col("order_id") % 3 == 0).alias("__third"),
+    )
+    out, names = folder(t), raw.columns[:-1]
+    for part, columns in (("a", names), ("b", names[::-1])):
+        rows = raw.where("__third" if part == "a" else "not __third").select(*columns)
+        rows.write.option("sep", ";").option("header", True).option("compression", "gzip").csv(f"{out}/{part}")
+    back = S.scan_l3_csv(t.spark, f"{out}/*", "2024-01-01", mixed=True)
+    return back.select("order_id", "time_exchange_ns", "update_type", "is_buy", "entry_px", "entry_sx")
+
+
 @query(
     "hour_partition_checks",
     sql(

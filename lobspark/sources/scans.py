@@ -216,27 +216,39 @@ TRADES_CSV = T.StructType(
 )
 
 
-def _scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _scan_csv(spark: SparkSession, path: str, schema: T.StructType, mixed: bool = False) -> DataFrame:
     """Semicolon CSV (plain or gzip) whose header must carry the schema's columns in any order.
 
+    All files have the first one's header, else the scan fails; with ``mixed`` each file is read by its own, for which the lines are read
+    once more, and there is one scan per order of columns.
+
     ``seq`` is the file order: an unsplittable gzip file is one partition, so the id Spark assigns
     grows in file order inside it, and ``file`` tells files apart.
     """
-    head = spark.read.option("sep", ";").option("header", True).csv(path).columns
-    missing = [f.name for f in schema if f.name not in head]
-    if missing:
-        raise ValueError(f"{path}: header lacks {missing}; it has {head}")
+    if mixed:
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+        heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+        layouts = [(r["head"].split(";"), r["files"]) for r in heads.collect()]  # one row per order of columns
+        if not layouts:
+            raise ValueError(f"{path}: no rows")
+    else:
+        layouts = [(spark.read.option("sep", ";").option("header", True).csv(path).columns, path)]
     by_name = {f.name: f for f in schema}
-    full = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in head])
-    # every file's own header is compared with the first one's: a file with another column order fails, it is not misread
-    raw = spark.read.option("sep", ";").option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(full).csv(path)
-    return raw.select(
-        F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("file"), *[f.name for f in schema]
-    )
+    out = None
+    for head, files in layouts:
+        missing = [c for c in by_name if c not in head]
+        if missing:
+            raise ValueError(f"{files}: header lacks {missing}; it has {head}")
+        full = T.StructType([by_name.get(c, T.StructField(c, T.StringType())) for c in head])
+        # every file's own header is compared with the schema: a file with another column order fails, it is not misread
+        raw = spark.read.option("sep", ";").option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).schema(full).csv(files)
+        raw = raw.select(F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("file"), *by_name)
+        out = raw if out is None else out.unionByName(raw)
+    return out
 
 
-def scan_l3_csv(spark: SparkSession, path: str, day: str) -> DataFrame:
-    raw = _scan_csv(spark, path, L3_CSV)
+def scan_l3_csv(spark: SparkSession, path: str, day: str, mixed: bool = False) -> DataFrame:
+    raw = _scan_csv(spark, path, L3_CSV, mixed)
     open_ns = day_open_lit(day)
     return raw.select(
         "seq",
@@ -251,10 +263,10 @@ def scan_l3_csv(spark: SparkSession, path: str, day: str) -> DataFrame:
     )
 
 
-def scan_trades_csv(spark: SparkSession, path: str, day: str) -> DataFrame:
+def scan_trades_csv(spark: SparkSession, path: str, day: str, mixed: bool = False) -> DataFrame:
     from lobspark.functions.normalize import strict_side
 
-    raw = _scan_csv(spark, path, TRADES_CSV)
+    raw = _scan_csv(spark, path, TRADES_CSV, mixed)
     open_ns = day_open_lit(day)
     return raw.select(
         "seq",
