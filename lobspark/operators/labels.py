@@ -221,17 +221,17 @@ BLOCK_POINTS, _NOWHERE = 1_000_000, -(2**63)
 BLOCKS_AT_ONCE = 100_000
 
 
-def triple_barrier(path: DataFrame, anchors: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
+def triple_barrier(path: DataFrame, anchors: DataFrame, keys: Sequence[str], width: int | None = None, longest: int | None = None) -> DataFrame:
     """First path point in ``(t_event, t_event + horizon]`` at or beyond ±width, else the as-of return.
 
     ``path``: keys, ts, mid. ``anchors``: keys, t_event, p0, width_bps, horizon, horizon_ns. ``width`` is the block of time that a task keeps
-    (unset: the widest with at most ``BLOCK_POINTS`` points). Where horizons are no longer than it, a point is needed by its own block
+    (unset: the widest with at most ``BLOCK_POINTS`` points), ``longest`` the longest horizon (unset: looked up in the anchors). Where horizons are no longer than it, a point is needed by its own block
     and, near the border, the one before. Longer horizons are searched in the anchor's block, then over the extremes of the later blocks, and
     only the one block where the first crossing must be is read: blocks without are skipped, and memory does not grow with the horizon.
     """
     keys = list(keys)
     width = width or balanced_bucket_width(path, keys, "ts", BLOCK_POINTS)
-    longest = anchors.agg(F.max("horizon_ns")).first()[0] or 0
+    longest = longest or anchors.agg(F.max("horizon_ns")).first()[0] or 0
     ddl = "".join(f"{k} {t}, " for k, t in anchors.select(*keys).dtypes)
     result = "t_event bigint, horizon string, y_fwd_bps double, label bigint, t_barrier bigint, p0 double, width_bps double"
     zero = {"horizon_ns": F.lit(0).cast("bigint"), "kind": F.lit(0)}

@@ -142,7 +142,7 @@ def label_rows(cand: DataFrame, path: DataFrame, p: MatrixParams) -> DataFrame:
         h.withColumn("drop_reason", F.coalesce("drop_reason", F.when(F.col("label_reason").isNotNull(), "label_rejection")))
     )
     live = h.filter(F.col("drop_reason").isNull())
-    lab = L.triple_barrier(path, live, ["symbol", "seg"]).drop("p0", "width_bps")
+    lab = L.triple_barrier(path, live, ["symbol", "seg"], longest=max(p.horizons.values())).drop("p0", "width_bps")
     return h.join(lab, ["symbol", "seg", "t_event", "horizon"], "left")
 
 

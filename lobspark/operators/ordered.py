@@ -37,13 +37,16 @@ def balanced_bucket_width(
 ) -> int:
     """Widest bucket width whose fullest ``(keys, bucket)`` stays under ``max_rows``.
 
-    One aggregation at the finest width; the coarser widths are rolled up from its counts, and only
-    one row comes back to the driver.
+    The widest is tried first, by one count of few groups. Only if it is too wide, one aggregation at the finest width follows; the other
+    widths are rolled up from its counts. One row comes back to the driver.
     """
-    finest = min(widths)
+    finest, widest = min(widths), max(widths)
+    top = df.groupBy(*keys, bucket_of(ts, widest)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if top is None or top <= max_rows:
+        return widest
     cells = df.groupBy(*keys, bucket_of(ts, finest).alias("__c")).agg(F.count("*").alias("__n"))
     tops = []
-    for w in sorted(widths, reverse=True):
+    for w in sorted(set(widths) - {widest}, reverse=True):
         rolled = cells.groupBy(*keys, F.expr(f"`__c` div {w // finest}L").alias("__r")).agg(
             F.sum("__n").alias("__n")
         )

@@ -485,7 +485,7 @@ def barrier_width(t: Tables):
 def triple_barrier(t: Tables):
     path, w = trade_anchors(t)
     a = M.horizon_rows(w.filter("width_bps IS NOT NULL"), P.horizons)
-    out = L.triple_barrier(path, a, ["symbol", "seg"])
+    out = L.triple_barrier(path, a, ["symbol", "seg"], longest=max(P.horizons.values()))
     return rnd(out.select("symbol", "seg", "t_event", "horizon", "y_fwd_bps", "label", "t_barrier"), "y_fwd_bps")
 
 
