@@ -24,3 +24,15 @@ def test_files_with_other_column_orders_are_read_right_or_refused(spark, tmp_pat
         f.write("price\n1\n")
     with pytest.raises(ValueError):
         scan_trades_csv(spark, str(tmp_path), "2024-01-01", mixed=True)
+
+
+def test_intermediates_are_deleted(spark, monkeypatch):
+    import os
+
+    from lobspark import session
+
+    monkeypatch.setattr(session, "_written", [])
+    stored = session.materialize(spark.range(3).toDF("x"))
+    path = session._written[0]
+    assert stored.count() == 3 and os.path.exists(path)
+    assert session.clear_intermediates(spark) == 1 and not os.path.exists(path)
