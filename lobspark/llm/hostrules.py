@@ -1,9 +1,9 @@
 """Quality rules of documents, judged again by the host they come from.
 
 Every document is measured inside its own row with built-in functions. Failures of each rule are summed by host, and
-a host's rate is shrunk towards all hosts' by a beta prior whose two moments come from exact sums: with k failures of n,
-the pooled rate is sum(k) / sum(n) and sum(k (k - 1)) / sum(n (n - 1)) estimates the mean squared rate. So one bad page does
-not condemn a host of one page, and a large host is judged by its own record.
+a host's rate is shrunk towards all hosts' by a beta prior. Its two moments are means over the hosts of two rows and more, each host
+counting once: k / n estimates a host's rate and k (k - 1) / (n (n - 1)) its square, both without bias. So a page says less than a long
+record, a large host is judged by its own, and no hot host makes the prior.
 
 Scale: texts are read once; only counts are written, summed (map-side) and joined. Just the hosts with a verdict against them are
 joined back, under a salt, so a host with a third of all rows is split over many tasks.
@@ -64,16 +64,15 @@ def measured(docs: DataFrame, carry: list[str], host: str = "source") -> DataFra
 def host_rates(rows: DataFrame) -> DataFrame:
     """One row per host: documents ``n``, failures ``k_<rule>`` and shrunk rates ``rate_<rule>`` of each rule."""
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.expr(rule).cast("long")).alias(f"k_{r}") for r, rule in RULES.items()])
-    big = lambda c: F.col(c).cast("decimal(19,0)")
-    pairs = lambda c: F.sum(big(c) * (big(c) - 1)).cast("double")
-    whole = hosts.agg(
-        F.sum("n").cast("double").alias("all_n"),
-        pairs("n").alias("all_pairs"),
-        *[x for r in RULES for x in (F.sum(f"k_{r}").cast("double").alias(f"all_{r}"), pairs(f"k_{r}").alias(f"pairs_{r}"))],
-    )
+    several = F.col("n") > 1
+    # decimals, so that sums do not depend on the order of the hosts
+    rate = lambda r: F.avg(F.when(several, F.expr(f"cast(k_{r} / n as decimal(28,18))"))).cast("double")
+    square = lambda r: F.avg(F.when(several, F.expr(f"cast((k_{r} / n) * ((k_{r} - 1) / nullif(n - 1, 0)) as decimal(28,18))"))).cast("double")
+    pooled = lambda r: F.sum(f"k_{r}").cast("double") / F.sum("n").cast("double")
+    whole = hosts.agg(*[x for r in RULES for x in (F.coalesce(rate(r), pooled(r)).alias(f"mean_{r}"), square(r).alias(f"square_{r}"))])
     out = hosts.crossJoin(F.broadcast(whole))  # one row
     for r in RULES:
-        out = out.withColumn("m1", F.col(f"all_{r}") / F.col("all_n")).withColumn("m2", F.expr(f"pairs_{r} / nullif(all_pairs, 0)"))
+        out = out.withColumn("m1", F.col(f"mean_{r}")).withColumn("m2", F.col(f"square_{r}"))
         out = out.withColumn("strength", F.expr("case when m2 > m1 * m1 then (m1 - m2) / (m2 - m1 * m1) end"))
         out = out.withColumn(f"rate_{r}", F.expr(f"case when strength is null then m1 else (k_{r} + m1 * strength) / (n + strength) end"))
     return out.select("host", "n", *[f"k_{r}" for r in RULES], *[f"rate_{r}" for r in RULES])
@@ -93,8 +92,8 @@ def host_rules(docs: DataFrame, carry: list[str] | None = None, host: str = "sou
     A row is kept unless it fails the base rule, its host is rejected, or its host is doubtful under a rule that it fails.
 
     Defined cases: a null or empty text has no words, all counts zero, and fails the base rule; a text of fewer than three words
-    has no window; rows without a host form one host; repeated rows count as often as they stand; where every host has one row,
-    or hosts differ no more than chance would have it, each host has the pooled rate; an empty table gives no rows.
+    has no window; rows without a host form one host; repeated rows count as often as they stand; where hosts
+    differ no more than chance would have it, each has their mean rate, and where every host has one row the pooled rate; an empty table gives no rows.
     """
     rows = materialize(measured(docs, carry or ["doc_id"], host))
     against = host_verdicts(host_rates(rows), reject_at, doubt_at).where("host_verdict <> 'trusted'")

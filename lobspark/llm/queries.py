@@ -162,7 +162,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                  n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words) AS f4 FROM m),
     h AS (SELECT source, 'base' AS rule, count(*) AS n, sum(base_failed::INT) AS k FROM f GROUP BY source UNION ALL SELECT source, 'symbols', count(*), sum(f2::INT) FROM f GROUP BY source
           UNION ALL SELECT source, 'lines', count(*), sum(f3::INT) FROM f GROUP BY source UNION ALL SELECT source, 'word_length', count(*), sum(f4::INT) FROM f GROUP BY source),
-    p AS (SELECT rule, sum(k)::DOUBLE / sum(n)::DOUBLE AS m1, sum(k * (k - 1))::DOUBLE / nullif(sum(n * (n - 1))::DOUBLE, 0) AS m2 FROM h GROUP BY rule),
+    p AS (SELECT rule, coalesce(avg(k / n::DOUBLE) FILTER (WHERE n > 1), sum(k)::DOUBLE / sum(n)) AS m1, avg((k / n::DOUBLE) * ((k - 1) / (n - 1)::DOUBLE)) FILTER (WHERE n > 1) AS m2 FROM h GROUP BY rule),
     s AS (SELECT source, rule, n, k, m1, CASE WHEN m2 > m1 * m1 THEN (m1 - m2) / (m2 - m1 * m1) END AS strength FROM h JOIN p USING (rule)),
     v AS (SELECT source, rule, CASE WHEN strength IS NULL THEN m1 ELSE (k + m1 * strength) / (n + strength) END AS rate FROM s),
     b AS (SELECT source, max(CASE WHEN rule = 'base' THEN rate END) AS r1, max(CASE WHEN rule = 'symbols' THEN rate END) AS r2, max(CASE WHEN rule = 'lines' THEN rate END) AS r3, max(CASE WHEN rule = 'word_length' THEN rate END) AS r4 FROM v GROUP BY source)

@@ -52,8 +52,9 @@ def test_host_rules_against_brute_force(docs, rows):
         rates = {}
         for q in range(4):
             nk = {h: (len(x), sum(y[q] for y in x)) for h, x in hosts.items()}
-            m1 = sum(k for _, k in nk.values()) / len(facts)
-            m2 = sum(k * (k - 1) for _, k in nk.values()) / sum(n * (n - 1) for n, _ in nk.values())
+            several = [(n, k) for n, k in nk.values() if n > 1]
+            m1 = sum(k / n for n, k in several) / len(several)
+            m2 = sum(k * (k - 1) / (n * (n - 1)) for n, k in several) / len(several)
             m = (m1 - m2) / (m2 - m1 * m1) if m2 > m1 * m1 else None
             rates[q] = {h: m1 if m is None else (k + m1 * m) / (n + m) for h, (n, k) in nk.items()}
         want = []
@@ -73,7 +74,9 @@ def test_host_verdicts_reach_clean_documents_of_a_bad_host(spark):
     got = {r[0]: (r[1], r[2]) for r in hostrules.host_rules(df).selectExpr("row.doc_id", "host_verdict", "kept").collect()}
     assert got[0] == ("rejected", False) and got[1001] == ("trusted", True)
     rates = {r["host"]: r["rate_base"] for r in hostrules.host_rates(hostrules.measured(df, ["doc_id"])).collect()}
-    assert rates["one page"] < rates["bad"] < 1 and 0 < rates["fine1"]  # one page weighs less than a record of 200
+    assert rates["one page"] < rates["bad"] < 1 and 0 < rates["fine1"] < 0.1  # one page weighs less than a record of 200
+    lone = spark.createDataFrame([(i, "short" if i % 4 else good, f"h{i}") for i in range(8)], "doc_id long, text string, source string")
+    assert {r["rate_base"] for r in hostrules.host_rates(hostrules.measured(lone, ["doc_id"])).collect()} == {0.75}  # hosts of one page: the pooled rate
 
 
 def digest(*parts):
