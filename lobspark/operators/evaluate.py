@@ -204,30 +204,46 @@ def hash_index(parts: Sequence[Column], n: Column) -> Column:
     return F.pmod(F.conv(h, 16, 10).cast("bigint"), n)
 
 
-def prefix_sums(rows: DataFrame, order: Sequence[str], value: Column, width: int = DAY_NS) -> DataFrame:
-    """``i`` (1-based position) and ``p`` (sum of the first i values) in one two-phase scan."""
-    return running(rows, [], list(order), {"i": ("sum", F.lit(1).cast("bigint")), "p": ("sum", value)}, width=width).select("i", "p")
+def numbered(rows: DataFrame, order: Sequence[str], value: Column, width: int = DAY_NS) -> DataFrame:
+    """``i`` (1-based position in ``order``) and ``p`` (the value there)."""
+    x = rows.withColumn("__p", value.cast("double"))
+    return running(x, [], list(order), {"i": ("sum", F.lit(1).cast("bigint"))}, width=width).select("i", F.col("__p").alias("p"))
 
 
-def block_bootstrap(prefix: DataFrame, *, n_boot: int, block: int, seed: int) -> DataFrame:
-    """Total of each circular block-bootstrap replicate: ``rep, total``.
+def moving_block_sums(series: DataFrame, n: int, block: int) -> DataFrame:
+    """``start, full, tail`` for every position (from 0) of a circular series ``i, p`` of ``n`` rows.
 
-    Every block is a difference of two prefix sums, so a replicate touches ceil(n / block) rows of
-    the prefix table, not n.
+    ``full`` sums ``block`` values from ``start`` on, ``tail`` the ``n mod block`` values (``block`` if that is zero) of a replicate's last
+    block. A row lies in its own group of ``block`` positions and the one before, so a window never holds more than two blocks, and a
+    sum is never a difference of sums over the whole series. A null value counts as zero; a series shorter than a block has no rows.
     """
-    spark = prefix.sparkSession
-    n = prefix.agg(F.max("i").alias("n"), F.max_by("p", "i").alias("all"))
-    reps = spark.range(n_boot).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n))  # one row
-    b = F.lit(block).cast("bigint")
-    reps = reps.filter(F.col("n") >= b).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {block}L"))))
-    reps = reps.withColumn("start", hash_index([F.lit(seed), F.col("rep"), F.col("j")], F.col("n")))
-    reps = reps.withColumn("len", F.least(b, F.col("n") - F.col("j") * b))
-    reps = reps.withColumns({"end": F.pmod(F.col("start") + F.col("len"), F.col("n")), "wraps": F.col("start") + F.col("len") >= F.col("n")})
-    lo = prefix.select(F.col("i").alias("start"), F.col("p").alias("p0"))
-    hi = prefix.select(F.col("i").alias("end"), F.col("p").alias("p1"))
-    x = reps.join(lo, "start", "left").join(hi, "end", "left")
-    part = F.coalesce("p1", F.lit(0.0)) - F.coalesce("p0", F.lit(0.0)) + F.when(F.col("wraps"), F.col("all")).otherwise(0.0)
-    return x.groupBy("rep").agg(F.sum(part).alias("total"))
+    last = (n % block) or block
+    at = series.select((F.col("i") - 1).cast("bigint").alias("i"), F.coalesce(F.col("p").cast("double"), F.lit(0.0)).alias("v")).filter(F.lit(n >= block))
+    around = at.unionByName(at.filter(F.col("i") < block).withColumn("i", F.col("i") + F.lit(n).cast("bigint")))
+    own = F.expr(f"i div {block}L")
+    near = around.withColumn("g", F.explode(F.array(own, own - 1)))
+    w = W.partitionBy("g").orderBy("i")
+    near = near.withColumn("c", F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ahead = lambda k: F.lead("c", k - 1).over(w) - F.col("c") + F.col("v")
+    near = near.withColumns({"full": ahead(block), "tail": ahead(last)})
+    return near.filter((F.col("g") == own) & (F.col("i") < n)).select(F.col("i").alias("start"), "full", "tail")
+
+
+def block_bootstrap(series: DataFrame, *, n_boot: int, block: int, seed: int) -> DataFrame:
+    """Total of each circular block-bootstrap replicate of a series ``i, p``: ``rep, total``.
+
+    Draws are counted in the tasks that make them, one row per distinct start with the replicates that drew it, so the join reads each start once
+    and at most ``n`` rows a side; totals are summed in the tasks before the last shuffle, which holds one row per replicate and task.
+    """
+    spark, n = series.sparkSession, series.agg(F.count("*")).first()[0]
+    blocks = -(-n // block) if n >= block else 0
+    many, some = n_boot * blocks, max(blocks, 1)
+    draws = spark.range(0, many, 1, max(spark.sparkContext.defaultParallelism, many // 4_000_000)).selectExpr(f"id div {some}L rep", f"id % {some}L j")
+    draws = draws.withColumn("start", hash_index([F.lit(seed), F.col("rep"), F.col("j")], F.lit(max(n, 1)).cast("bigint")))
+    ends = F.col("j") == blocks - 1
+    by_start = draws.groupBy("start").agg(F.collect_list(F.when(~ends, F.col("rep"))).alias("of_full"), F.collect_list(F.when(ends, F.col("rep"))).alias("of_tail"))
+    parts = [F.expr(f"transform(of_{v}, x -> struct(x AS rep, {v} AS part))") for v in ("full", "tail")]
+    return by_start.join(moving_block_sums(series, n, block), "start").select(F.inline(F.concat(*parts))).groupBy("rep").agg(F.sum("part").alias("total"))
 
 
 def bootstrap_band(replicates: DataFrame, alpha: float, col: str = "total") -> DataFrame:

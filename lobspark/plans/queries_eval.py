@@ -312,8 +312,7 @@ def draw_sql(parts: str, n: str) -> str:
 )
 def block_bootstrap_band(t: Tables):
     d = pnl(t).filter("trial < 2").groupBy("t_event").agg(F.sum(F.when(F.col("trial") == 0, F.col("pnl")).otherwise(-F.col("pnl"))).alias("v"))
-    pre = materialize(E.prefix_sums(d, ["t_event"], F.col("v"), WIDTH))
-    reps = E.block_bootstrap(pre, n_boot=2000, block=50, seed=11)
+    reps = E.block_bootstrap(materialize(E.numbered(d, ["t_event"], F.col("v"), WIDTH)), n_boot=2000, block=50, seed=11)
     return rnd(E.bootstrap_band(reps, 0.1), "band_low", "band_high", d=4)
 
 
@@ -602,8 +601,8 @@ def matched_arm_study(t: Tables):
     x = parts.withColumns(E.net_pnl())
     x = materialize(x.select("t_event", "horizon", "arm", "config", "uniqueness", "traded", "gross", "pnl"))
     d = E.matched_delta(x, "arm", "combined", "flow", ["t_event"], ["config"])
-    pre = materialize(E.prefix_sums(d, ["t_event"], F.col("delta"), WIDTH))
-    band = E.bootstrap_band(E.block_bootstrap(pre, n_boot=2000, block=50, seed=5), 0.1)
+    series = materialize(E.numbered(d, ["t_event"], F.col("delta"), WIDTH))
+    band = E.bootstrap_band(E.block_bootstrap(series, n_boot=2000, block=50, seed=5), 0.1)
     s = E.trade_summary(x, ["arm"]).crossJoin(F.broadcast(band))  # one row
     s = s.withColumn("beats_control", F.when(F.col("arm") == "combined", F.coalesce(F.col("band_low") > 0, F.lit(False))))
     return rounded_summary(s).withColumns({c: r(c, 4) for c in ("band_low", "band_high")})
