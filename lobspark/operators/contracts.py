@@ -44,24 +44,25 @@ def _hit(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def matrix_rules(features: Sequence[str]) -> dict[str, Column]:
+    c = F.col
+    return {
+        "null_or_nonfinite": _any([_nonfinite(x) for x in [*features, *NUMERIC]]),
+        "null_timing": _any([c(x).isNull() for x in TIMING]),
+        "barrier_before_event": _hit(c("t_barrier") < c("t_event")),
+        "feature_after_event": _hit(c("t_feature_start") > c("t_event")),
+        "available_before_event": _hit(c("t_available") < c("t_event")),
+        "not_synchronous": _hit(c("t_available") != c("t_event")),
+        "label_domain": _hit(~c("label").isin(-1, 0, 1)),
+        "uniqueness_domain": _hit(~((c("uniqueness") > 0) & (c("uniqueness") <= 1))),
+        "negative_cost": _hit(c("cost_bps") < 0),
+        "negative_half_spread": _hit(c("half_spread_bps") < 0),
+    }
+
+
 def check_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     require_columns(df, features)
-    c = F.col
-    return violations(
-        df,
-        {
-            "null_or_nonfinite": _any([_nonfinite(x) for x in [*features, *NUMERIC]]),
-            "null_timing": _any([c(x).isNull() for x in TIMING]),
-            "barrier_before_event": _hit(c("t_barrier") < c("t_event")),
-            "feature_after_event": _hit(c("t_feature_start") > c("t_event")),
-            "available_before_event": _hit(c("t_available") < c("t_event")),
-            "not_synchronous": _hit(c("t_available") != c("t_event")),
-            "label_domain": _hit(~c("label").isin(-1, 0, 1)),
-            "uniqueness_domain": _hit(~((c("uniqueness") > 0) & (c("uniqueness") <= 1))),
-            "negative_cost": _hit(c("cost_bps") < 0),
-            "negative_half_spread": _hit(c("half_spread_bps") < 0),
-        },
-    )
+    return violations(df, matrix_rules(features))
 
 
 def check_frame(df: DataFrame, horizons: Mapping[str, int], *, max_lookback_ns: int, availability_lag_ns: int = 0,
@@ -116,62 +117,76 @@ def dataset_fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] =
     )
 
 
-def check_bars(bars: DataFrame) -> DataFrame:
+def bar_rules() -> dict[str, Column]:
     c = F.col
     close = F.coalesce("cap_fire", "last_origin")
-    return violations(
-        bars,
-        {
-            "bad_threshold": bad_number(c("threshold")),
-            "close_before_start": _hit(close < c("interval_start")),
-            "received_after_event": _hit(c("max_received") > c("t_event")),
-            "unknown_reason": ~c("close_reason").isin("threshold", "time_cap", "day_end"),
-            "threshold_not_reached": _hit((c("close_reason") == "threshold") & (c("notional") < c("threshold"))),
-            "cap_without_fire": (c("close_reason") == "time_cap") & c("cap_fire").isNull(),
-        },
-    )
+    return {
+        "bad_threshold": bad_number(c("threshold")),
+        "close_before_start": _hit(close < c("interval_start")),
+        "received_after_event": _hit(c("max_received") > c("t_event")),
+        "unknown_reason": ~c("close_reason").isin("threshold", "time_cap", "day_end"),
+        "threshold_not_reached": _hit((c("close_reason") == "threshold") & (c("notional") < c("threshold"))),
+        "cap_without_fire": (c("close_reason") == "time_cap") & c("cap_fire").isNull(),
+    }
 
 
-def check_reads(reads: DataFrame, k: int) -> DataFrame:
+def check_bars(bars: DataFrame) -> DataFrame:
+    return violations(bars, bar_rules())
+
+
+def read_rules(k: int) -> dict[str, Column]:
     """Surviving reads: finite positive touch, monotone ladders, uncrossed, not from the future."""
-    r = reads.filter(F.col("reason").isNull())
     c = F.col
     order = []
     for i in range(k - 1):
         order.append(_hit(c(f"bid_{i}_price") <= c(f"bid_{i + 1}_price")))
         order.append(_hit(c(f"ask_{i}_price") >= c(f"ask_{i + 1}_price")))
-    return violations(
-        r,
-        {
-            "bad_touch": _any([bad_number(c(x)) for x in ("bid_0_price", "ask_0_price", "bid_0_size", "ask_0_size", "mid", "microprice")]),
-            "crossed_or_locked": _hit(c("bid_0_price") >= c("ask_0_price")),
-            "ladder_not_monotone": _any(order) if order else F.lit(False),
-            "read_after_event": _hit(c("target_read_ts") > c("t_event")),
-            "mid_mismatch": _hit(c("mid") != (c("bid_0_price") + c("ask_0_price")) / 2.0),
-        },
-    )
+    rules = {
+        "bad_touch": _any([bad_number(c(x)) for x in ("bid_0_price", "ask_0_price", "bid_0_size", "ask_0_size", "mid", "microprice")]),
+        "crossed_or_locked": _hit(c("bid_0_price") >= c("ask_0_price")),
+        "ladder_not_monotone": _any(order) if order else F.lit(False),
+        "read_after_event": _hit(c("target_read_ts") > c("t_event")),
+        "mid_mismatch": _hit(c("mid") != (c("bid_0_price") + c("ask_0_price")) / 2.0),
+    }
+    return {name: c("reason").isNull() & rule for name, rule in rules.items()}
 
 
-def check_spans(rows: DataFrame) -> DataFrame:
+def check_reads(reads: DataFrame, k: int) -> DataFrame:
+    return violations(reads, read_rules(k))
+
+
+def span_rules() -> dict[str, Column]:
     c = F.col
-    return violations(
-        rows,
-        {
-            "empty_span": _hit(c("t_barrier") <= c("t_event")),
-            "negative_lookback": _hit(c("t_feature_start") > c("t_event")),
-            "null_time": c("t_event").isNull() | c("t_barrier").isNull() | c("t_feature_start").isNull(),
-        },
-    )
+    return {
+        "empty_span": _hit(c("t_barrier") <= c("t_event")),
+        "negative_lookback": _hit(c("t_feature_start") > c("t_event")),
+        "null_time": c("t_event").isNull() | c("t_barrier").isNull() | c("t_feature_start").isNull(),
+    }
+
+
+def check_spans(rows: DataFrame) -> DataFrame:
+    return violations(rows, span_rules())
+
+
+def path_rules(ts: str = "ts") -> dict[str, Column]:
+    """For a path with its previous time in ``__p`` (``with_previous``)."""
+    return {"bad_mid": bad_number(F.col("mid")), "not_increasing": _hit(F.col(ts) <= F.col("__p"))}
+
+
+def with_previous(path: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    return shift(path, keys, [ts], {"__p": F.col(ts)}, width=24 * HOUR_NS)
 
 
 def check_path(path: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    p = shift(path, keys, [ts], {"__p": F.col(ts)}, width=24 * HOUR_NS)
-    return violations(p, {"bad_mid": bad_number(F.col("mid")), "not_increasing": _hit(F.col(ts) <= F.col("__p"))})
+    return violations(with_previous(path, keys, ts), path_rules(ts))
+
+
+def cost_rules() -> dict[str, Column]:
+    return {f"bad_{x}": bad_number(F.col(x), positive=False) for x in ("half_spread_bps", "latency_drift_bps", "slippage_bps", "cost_bps")}
 
 
 def check_costs(rows: DataFrame) -> DataFrame:
-    cols = ("half_spread_bps", "latency_drift_bps", "slippage_bps", "cost_bps")
-    return violations(rows, {f"bad_{x}": bad_number(F.col(x), positive=False) for x in cols})
+    return violations(rows, cost_rules())
 
 
 def hour_partition_checks(rows: DataFrame, keys: Sequence[str], hour_ns: str, ts: str) -> DataFrame:

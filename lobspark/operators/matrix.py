@@ -11,12 +11,14 @@ from pyspark.sql.window import Window as W
 
 from lobspark.functions.normalize import log_return_bps, spread_regime
 from lobspark.operators import bars as B
+from lobspark.operators import contracts as K
 from lobspark.operators import labels as L
 from lobspark.operators.book import coalesce_path, day_of, day_open, invalid_intervals, mid_path_with_opens, open_points, quote_path
 from lobspark.operators.features import FEATURE_COLS, build_features
 from lobspark.operators.ordered import range_join
 from lobspark.operators.reads import bar_costs, dual_book_reads
 from lobspark.session import DAY_NS, HOUR_NS, materialize
+from lobspark.sources.publish import StageChecks, publish
 
 # Drop categories in the order they are checked.
 DROP_CATEGORIES = (
@@ -192,23 +194,36 @@ class MatrixBuild:
     invalid: DataFrame
 
 
-def model_matrix(trades: DataFrame, deltas: DataFrame, days: DataFrame, p: MatrixParams) -> MatrixBuild:
-    """Trades and book deltas of the included days to the model matrix."""
+def model_matrix(trades: DataFrame, deltas: DataFrame, days: DataFrame, p: MatrixParams, checks: StageChecks | None = None) -> MatrixBuild:
+    """Trades and book deltas of the included days to the model matrix; ``checks`` counts the rules of every stage while it is stored."""
+
+    def stored(stage: str, df: DataFrame, rules: Mapping[str, Column], where: Column | None = None) -> DataFrame:
+        if checks is None:
+            return materialize(df)
+        return checks.store(stage, df, {n: where & c for n, c in rules.items()} if where is not None else rules)
+
     segments = materialize(contiguous_segments(days))
-    bars = materialize(decisions(trades, days, p))
-    reads = materialize(dual_book_reads(deltas, bars, staleness_cap_ns=p.staleness_cap_ns, top_k=p.top_k, width=p.width_ns))
+    bars = stored("bars", decisions(trades, days, p), K.bar_rules())
+    reads = stored("reads", dual_book_reads(deltas, bars, staleness_cap_ns=p.staleness_cap_ns, top_k=p.top_k, width=p.width_ns), K.read_rules(p.top_k))
     quotes = materialize(quote_path(deltas, width=p.width_ns))
     opens = materialize(open_points(deltas, days, width=p.width_ns))
     included = segments.select("symbol", "dt", "seg")
     path = coalesce_path(mid_path_with_opens(quotes, opens)).withColumn("dt", day_of("ts"))
-    path = materialize(path.join(included, ["symbol", "dt"]).select("symbol", "seg", "ts", "mid"))
+    path = path.join(included, ["symbol", "dt"]).select("symbol", "seg", "ts", "mid")
+    path = stored("path", path if checks is None else K.with_previous(path, ["symbol", "seg"]), K.path_rules())
     invalid = invalid_intervals(quotes, opens).join(included, ["symbol", "dt"], "left_semi")
-    cand = materialize(candidate_rows(bars, reads, segments, p))
+    cand = stored("costs", candidate_rows(bars, reads, segments, p), K.cost_rules(), F.col("drop_reason").isNull())
     rows = label_rows(cand.filter("drop_reason IS NULL").drop("drop_reason"), path, p)
-    rows = materialize(span_gates(materialize(rows), invalid, p))
+    rows = stored("spans", span_gates(materialize(rows), invalid, p), K.span_rules(), F.col("drop_reason").isNull())
     return MatrixBuild(assemble(rows, p), rows, cand, bars, reads, path, invalid)
 
 
+def write_matrix(build: MatrixBuild, path: str, checks: StageChecks | None = None) -> int:
+    """Publish the matrix in its column order, by horizon; keys are unique and every matrix and stage rule holds, else ``ContractBreach``."""
+    K.require_columns(build.matrix, FEATURE_COLS)
+    return publish(build.matrix, path, keys=["symbol", "t_event"], rules=K.matrix_rules(FEATURE_COLS), partitions=["horizon"], checks=checks)
+
+
 def drop_counts(build: MatrixBuild, horizons: Mapping[str, int]) -> DataFrame:
     """First-failure counts per category and horizon (bar-level drops count once per horizon)."""
     early = horizon_rows(build.candidates.filter("drop_reason IS NOT NULL").select("drop_reason"), horizons)

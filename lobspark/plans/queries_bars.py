@@ -12,6 +12,7 @@ from lobspark.plans.queries_book import LEVELS
 from lobspark.plans.registry import query
 from lobspark.plans.tables import FRAGMENTS, Tables, sql, topk_fragment
 from lobspark.session import DAY_NS, HOUR_NS, materialize
+from lobspark.sources.publish import StageChecks
 
 H = HOUR_NS
 DAY0 = 1_704_067_200_000_000_000  # 2024-01-01
@@ -266,8 +267,8 @@ def reads(t: Tables):
     return dual_book_reads(t.deltas_clean, materialize(decided(t)), staleness_cap_ns=P.staleness_cap_ns, top_k=2)
 
 
-def build(t: Tables) -> M.MatrixBuild:
-    return M.model_matrix(t.stored("trades"), t.deltas_clean, materialize(mdays(t)), PARAMS)
+def build(t: Tables, checks: StageChecks | None = None) -> M.MatrixBuild:
+    return M.model_matrix(t.stored("trades"), t.deltas_clean, materialize(mdays(t)), PARAMS, checks)
 
 
 @query("threshold_schedule", sql("SELECT symbol, dt, round(threshold,4)+0.0 threshold, is_warmup FROM sched_v", "sched_v"))

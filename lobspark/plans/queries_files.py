@@ -5,14 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from lobspark.operators import contracts as K
-from lobspark.operators.book import coalesce_path
+from lobspark.operators import matrix as M
 from lobspark.plans.common import r
-from lobspark.plans.queries_bars import build, candidates
+from lobspark.plans.queries_bars import build
 from lobspark.plans.queries_l3 import D0, events
 from lobspark.plans.registry import query
 from lobspark.plans.tables import Tables, sql
 from lobspark.session import HOUR_NS, _shared_folder
 from lobspark.sources import scans as S
+from lobspark.sources.publish import StageChecks
 
 
 def folder(t: Tables) -> str:
@@ -29,9 +30,9 @@ def write_hive(t: Tables):
 
 @query("write_matrix", sql("SELECT symbol, horizon, count(*) n, count(DISTINCT t_event) n_keys FROM model_v GROUP BY 1,2", "model_v"))
 def write_matrix(t: Tables):
-    m = build(t).matrix
-    out = folder(t)
-    m.write.option("compression", "zstd").partitionBy("horizon").parquet(out)
+    """The matrix published with every stage counted while it is stored, then read back."""
+    checks, out = StageChecks(), folder(t)
+    M.write_matrix(build(t, checks), out, checks)
     back = t.spark.read.parquet(out)
     return back.groupBy("symbol", "horizon").agg(F.count("*").alias("n"), F.count_distinct("t_event").alias("n_keys"))
 
@@ -85,18 +86,65 @@ def hour_partition_checks(t: Tables):
     return out.withColumns({c: r(c) for c in ("fraction_inside", "worst_hour_fraction")})
 
 
-@query("check_stage_inputs")
+def rules_sql(stage: str, source: str, rules: dict[str, str]) -> str:
+    parts = ", ".join(f"{{'rule': '{n}', 'n': count(*) FILTER (WHERE coalesce({c}, true))}}" for n, c in rules.items())
+    return f"SELECT '{stage}' AS stage, unnest([{parts}], recursive := true) FROM {source}"
+
+
+def bad_sql(c: str, low: str = "<=0") -> str:
+    return f"({c} IS NULL OR isnan({c}) OR isinf({c}) OR {c}{low})"
+
+
+def hit_sql(c: str) -> str:
+    return f"coalesce({c}, false)"
+
+
+READ_SQL = {
+    "bad_touch": "(" + " OR ".join(bad_sql(x) for x in ("bid_0_price", "ask_0_price", "bid_0_size", "ask_0_size", "mid", "microprice")) + ")",
+    "crossed_or_locked": hit_sql("bid_0_price>=ask_0_price"),
+    "ladder_not_monotone": f"({hit_sql('bid_0_price<=bid_1_price')} OR {hit_sql('ask_0_price>=ask_1_price')})",
+    "read_after_event": hit_sql("target_read_ts>t_event"),
+    "mid_mismatch": hit_sql("mid<>(bid_0_price+ask_0_price)/2.0::DOUBLE"),
+}
+COSTS = ("half_spread_bps", "latency_drift_bps", "slippage_bps", "cost_bps")
+STAGES_SQL = " UNION ALL ".join(
+    [
+        rules_sql("bars", "(SELECT * REPLACE (CASE WHEN n_trades%5=2 THEN -threshold ELSE threshold END AS threshold, CASE WHEN n_trades%7=3 THEN t_event+1 ELSE max_received END AS max_received, CASE WHEN n_trades%4=1 THEN 'other' ELSE close_reason END AS close_reason, CASE WHEN n_trades%6=5 THEN NULL ELSE cap_fire END AS cap_fire) FROM decisions_v)", {
+            "bad_threshold": bad_sql("threshold"),
+            "close_before_start": hit_sql("coalesce(cap_fire,last_origin)<interval_start"),
+            "received_after_event": hit_sql("max_received>t_event"),
+            "unknown_reason": "close_reason NOT IN ('threshold','time_cap','day_end')",
+            "threshold_not_reached": hit_sql("close_reason='threshold' AND notional<threshold"),
+            "cap_without_fire": "close_reason='time_cap' AND cap_fire IS NULL",
+        }),
+        rules_sql("reads", "(SELECT * REPLACE (CASE WHEN bid_depth%3=1 THEN ask_0_price ELSE bid_0_price END AS bid_0_price, CASE WHEN ask_depth%4=2 THEN t_event+1 ELSE target_read_ts END AS target_read_ts, CASE WHEN bid_depth%5=4 THEN 0 ELSE ask_0_size END AS ask_0_size) FROM reads_v)", {n: f"(reason IS NULL AND {c})" for n, c in READ_SQL.items()}),
+        rules_sql("costs", "(SELECT * REPLACE (CASE WHEN n_trades%3=0 THEN 'nan'::DOUBLE ELSE cost_bps END AS cost_bps, CASE WHEN n_trades%4=0 THEN -1 ELSE slippage_bps END AS slippage_bps) FROM cand_v)", {f"bad_{c}": f"(drop_reason IS NULL AND {bad_sql(c, '<0')})" for c in COSTS}),
+        rules_sql("path", "(SELECT *, lag(ts) OVER (PARTITION BY symbol, seg ORDER BY ts) p FROM (SELECT symbol, seg, ts, CASE WHEN (ts//1000000)%11=0 THEN 0 ELSE mid END mid FROM spath_v UNION ALL SELECT symbol, seg, ts, mid FROM spath_v WHERE (ts//1000000)%13=0))", {"bad_mid": bad_sql("mid"), "not_increasing": hit_sql("ts<=p")}),
+        rules_sql("spans", "(SELECT * REPLACE (CASE WHEN n_trades%5=0 THEN t_event ELSE t_barrier END AS t_barrier, CASE WHEN n_trades%3=1 THEN t_event+1 WHEN n_trades%3=2 AND n_trades%2=0 THEN NULL ELSE t_feature_start END AS t_feature_start) FROM rows_v)", {
+            "empty_span": f"(drop_reason IS NULL AND {hit_sql('t_barrier<=t_event')})",
+            "negative_lookback": f"(drop_reason IS NULL AND {hit_sql('t_feature_start>t_event')})",
+            "null_time": "(drop_reason IS NULL AND (t_event IS NULL OR t_barrier IS NULL OR t_feature_start IS NULL))",
+        }),
+    ]
+)
+
+
+def swap(df, **new: tuple[str, object]):
+    """Columns replaced where a condition holds."""
+    return df.withColumns({c: F.when(F.expr(where), F.expr(value)).otherwise(F.col(c)) for c, (where, value) in new.items()})
+
+
+@query("check_stage_inputs", sql(STAGES_SQL, "decisions_v", "reads_v", "cand_v", "spath_v", "rows_v"))
 def check_stage_inputs(t: Tables):
-    """Every stage table of the matrix build, all rules at once; a sound build has zero everywhere."""
-    c = candidates(t)
-    out = None
-    parts = {
-        "bars": K.check_bars(c),
-        "reads": K.check_reads(c, 2),
-        "costs": K.check_costs(c.filter("cost_bps IS NOT NULL")),
-        "path": K.check_path(coalesce_path(t.mid_points), ["symbol"]),
-    }
-    for stage, v in parts.items():
-        v = v.withColumn("stage", F.lit(stage))
-        out = v if out is None else out.unionByName(v)
-    return out
+    """Every stage table of the matrix build with planted breaches, each rule counted by the job that stores the table."""
+    b, checks = build(t), StageChecks()
+    live = F.col("drop_reason").isNull()
+    checks.store("bars", swap(b.bars, threshold=("n_trades % 5 = 2", "-threshold"), max_received=("n_trades % 7 = 3", "t_event + 1"), close_reason=("n_trades % 4 = 1", "'other'"), cap_fire=("n_trades % 6 = 5", "cast(null as bigint)")), K.bar_rules())
+    checks.store("reads", swap(b.reads, bid_0_price=("bid_depth % 3 = 1", "ask_0_price"), target_read_ts=("ask_depth % 4 = 2", "t_event + 1"), ask_0_size=("bid_depth % 5 = 4", "0d")), K.read_rules(2))
+    costs = swap(b.candidates, cost_bps=("n_trades % 3 = 0", "double('nan')"), slippage_bps=("n_trades % 4 = 0", "-1d"))
+    checks.store("costs", costs, {n: live & c for n, c in K.cost_rules().items()})
+    path = swap(b.path, mid=("(ts div 1000000) % 11 = 0", "0d")).unionByName(b.path.where("(ts div 1000000) % 13 = 0"))
+    checks.store("path", K.with_previous(path, ["symbol", "seg"]), K.path_rules())
+    spans = swap(b.rows, t_barrier=("n_trades % 5 = 0", "t_event"), t_feature_start=("n_trades % 3 = 1 or n_trades % 3 = 2 and n_trades % 2 = 0", "if(n_trades % 3 = 1, t_event + 1, null)"))
+    checks.store("spans", spans, {n: live & c for n, c in K.span_rules().items()})
+    return checks.table(t.spark)
