@@ -9,6 +9,7 @@ One row in, one row out: no shuffle at any size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lobspark.llm.wordings import WORDINGS
+
 # Phrases whose every place is counted, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# Templates as text. ((x|y)) is an optional region with alternatives, {n} a replaceable region of up to n words.
-TEMPLATES = (
+# One-line notices as templates. ((x|y)) is an optional region with alternatives, {n} a replaceable region of up to n words.
+NOTICES = (
     ("mit", "((this work is|this software is)) ((released|licensed|distributed)) under the ((terms of the)) mit license"),
     ("apache", "((this work is|this software is)) licensed under the apache license ((version {3}))"),
     ("cc-by-nc", "((this work is)) licensed under ((a|the)) ((creative commons)) cc by nc {2}"),
@@ -28,6 +31,7 @@ TEMPLATES = (
     ("gnu-gpl", "((this work is|this program is)) licensed under the gnu ((lesser|affero)) general public license ((version {3}))"),
     ("bsd", "((this work is|this software is)) ((released|licensed|distributed)) under the bsd ((2|3)) ((clause)) license"),
 )
+TEMPLATES = NOTICES + WORDINGS
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -148,6 +152,15 @@ def scan_text(text: bytes, automata: list[Automaton]):
     return len(words), places, base, accepted
 
 
+def template_regex(text: str) -> str:
+    """The same markup as a regular expression over words with one blank after each, for SQL that states the result independently."""
+    words = lambda part: "".join(f"(?:[^ ]+ ){{0,{w[1:-1]}}}" if w.startswith("{") else f"{w} " for w in part.split())
+    out = ""
+    for i, part in enumerate(re.split(r"\(\((.*?)\)\)", text)):
+        out += f"(?:{'|'.join(words(c) for c in part.split('|'))})?" if i % 2 else words(part)
+    return f" {out}"
+
+
 def license_scan(docs: DataFrame, carry: list[str] | None = None, templates=TEMPLATES) -> DataFrame:
     """One row per input row: ``row, n_words, n_base, first_word, last_word, base_labels, labels, score, places``.
 

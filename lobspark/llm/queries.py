@@ -13,7 +13,7 @@ from lobspark.llm.embeddings import near_vectors
 from lobspark.llm.hostrules import host_rules
 from lobspark.llm.html import extract
 from lobspark.llm.langid import held_out, language_id
-from lobspark.llm.licenses import license_scan
+from lobspark.llm.licenses import license_scan, template_regex
 from lobspark.llm.media import document_media
 from lobspark.llm.merkle import document_manifest
 from lobspark.llm.nbest import encode_digests
@@ -21,6 +21,7 @@ from lobspark.llm.packing import pack
 from lobspark.llm.simhash import simhash_dedup
 from lobspark.llm.substring import substring_dedup
 from lobspark.llm.suffix import suffix_dedup
+from lobspark.llm.wordings import WORDINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,6 +123,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+WORDING_SQL = ", ".join(f"CASE WHEN regexp_matches(j, '{template_regex(t)}') THEN '{label}' END" for label, t in WORDINGS)
+
+
 @query(
     "op10_license_scan",
     r"""
@@ -137,12 +141,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                               CASE WHEN regexp_matches(j, ' licensed under ((a|the) )?(creative commons )?cc by nc ') THEN 'cc-by-nc' END,
                               CASE WHEN regexp_matches(j, ' licensed under ((a|the) )?(creative commons )?cc by sa ') THEN 'cc-by-sa' END,
                               CASE WHEN regexp_matches(j, ' licensed under the gnu ((lesser|affero) )?general public license ') THEN 'gnu-gpl' END,
-                              CASE WHEN regexp_matches(j, ' under the bsd ([23] )?(clause )?license ') THEN 'bsd' END], lambda x: x IS NOT NULL) AS more FROM p)
+                              CASE WHEN regexp_matches(j, ' under the bsd ([23] )?(clause )?license ') THEN 'bsd' END,
+                              /*wordings*/], lambda x: x IS NOT NULL) AS more FROM p)
     SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
-           array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_concat(base, more)), ',') AS labels,
+           array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, more))), ',') AS labels,
            CASE WHEN len(more) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
     FROM m
-    """,
+    """.replace("/*wordings*/", WORDING_SQL),
 )
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
