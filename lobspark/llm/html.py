@@ -1,8 +1,9 @@
 """Main text of web pages by union-free wrapper inference.
 
 Pages of one host are aligned into one wrapper, a regular expression without unions over tags and text slots: tags that
-only some pages have become optional groups, neighbours that repeat become repeated groups, texts become slots. The
-slots outside page furniture are then chosen once for the host, on its wrapper; every page gives its texts in them, narrowed to
+only some pages have become optional groups, neighbours that repeat become repeated groups. Texts that are equal in the same
+slot of most of the host's different pages are template text; texts that differ are slots. The slots outside page furniture are
+chosen once for the host, on its wrapper; every page gives its own texts in them, without template text, narrowed to
 its own article or main element, so templates that share a host do not decide for each other.
 
 Scale: a page is first folded by itself, so that its form no longer depends on how many paragraphs or links it has. Equal
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ from lobspark.session import materialize
 
 #: Forms of a host that are aligned in one task.
 AT_ONCE = 64
+#: A block is template text where it stands in the same slot of at least this share of a host's different pages, and of this many.
+TEMPLATE_SHARE = 0.8
+TEMPLATE_PAGES = 8
 
 # Elements by kind, and the words in a class, id or role that name page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -238,20 +243,35 @@ def _container(texts: list[tuple[str, tuple[str, ...]]]) -> set[tuple[str, ...]]
     return main or every
 
 
-def main_text(html: str, chosen: frozenset[str]) -> str:
-    """The texts in the chosen slots and the page's container: one blank for white space inside a block and between blocks."""
+def article_blocks(html: str, chosen: frozenset[str] | None = None) -> list[tuple[str, str]]:
+    """The blocks in the chosen slots (all that are not furniture if None) and the page's container: slot and text, one blank for white space."""
     found, known = list(walk(html)), {}
     for _, path in found:
         if path not in known:
-            known[path] = "\x1f".join(path) in chosen
+            known[path] = not furniture(path, forms=False) if chosen is None else "\x1f".join(path) in chosen
     inside = _container([(t, p) for t, p in found if t and known[p]])
     blocks: list[list[str]] = [[]]
+    slot: list[str] = [""]
     for text, path in found:
         if not text:
             blocks.append([])
+            slot.append("")
         elif path in inside:
+            if text.strip() and not slot[-1]:
+                slot[-1] = "\x1f".join(path) or "\x1f"
             blocks[-1].append(text)
-    return " ".join(" ".join("".join(b).split()) for b in blocks if b and not all(t.isspace() for t in b))
+    return [(p, " ".join("".join(b).split())) for p, b in zip(slot, blocks) if b and not all(t.isspace() for t in b)]
+
+
+def block_key(slot: str, text: str) -> int:
+    """A block's 64-bit hash, signed as Spark holds it."""
+    h = xxhash.xxh64_intdigest(f"{slot}\x1e{text}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def main_text(html: str, chosen: frozenset[str], template: frozenset[int] = frozenset()) -> str:
+    """The blocks of a page that are not template text, joined by one blank."""
+    return " ".join(text for slot, text in article_blocks(html, chosen) if not template or block_key(slot, text) not in template)
 
 
 def host(url: Column) -> Column:
@@ -283,29 +303,49 @@ def infer_wrappers(pages: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
         cur = materialize(dealt.groupBy("host", "g").applyInArrow(aligned, "host string, wrapper string").distinct())
 
 
+def template_texts(pages: DataFrame, share: float = TEMPLATE_SHARE, fewest: int = TEMPLATE_PAGES) -> DataFrame:
+    """``(host, template)``: the keys of a host's template texts, for hosts of pages ``(host, html)`` that have any.
+
+    Pages whose blocks are all equal count once, so copies of an article make nothing of it template text. A host has at most ``1 / share``
+    times as many template texts as a page has blocks on average. Only keys are shuffled, counted in the tasks first; rare ones end there.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sorted({block_key(*x) for x in article_blocks(h)}) for h in b["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["host"], pa.array(found, pa.list_(pa.int64()))], names=["host", "found"])
+
+    once = materialize(pages.mapInArrow(keys, "host string, found array<bigint>").where("size(found) > 0").groupBy("host", F.xxhash64("found").alias("page")).agg(F.first("found").alias("found")))
+    different = once.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= fewest)
+    counts = once.select("host", F.explode("found").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+    common = counts.join(different, "host").where(F.col("n") >= F.ceil(F.col("pages") * share))
+    return common.groupBy("host").agg(F.collect_list("key").alias("template"))
+
+
 def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row, text`` for every page of ``(url, html)``; the columns named by ``carry`` (``page_id, url`` if none) come back in ``row``.
 
-    Defined cases: null or empty HTML gives an empty text; a null or odd URL belongs to the host ''; unclosed elements
-    end where HTML lets them end; repeated pages give repeated rows; an empty table gives no rows.
+    Defined cases: null or empty HTML gives an empty text; a null or odd URL belongs to the host '' (which has no template text, as its
+    pages need not share one); unclosed elements end where HTML lets them end; repeated pages give repeated rows; an empty table gives no rows.
     """
     d = pages.select(F.struct(*[F.col(f"`{c}`") for c in (carry or ["page_id", "url"])]).alias("row"), host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     wrappers = infer_wrappers(d.select("host", "html"))
+    template = template_texts(d.where("host <> ''").select("host", "html"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["host"], pa.array([article_slots(json.loads(w)) for w in b["wrapper"].to_pylist()], pa.list_(pa.string()))], names=["host", "slots"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, chosen = None, frozenset()
+        last, chosen, constant = None, frozenset(), frozenset()
         for b in batches:
             out = []
-            for html, s in zip(b["html"].to_pylist(), b["slots"]):
+            for html, *s in zip(b["html"].to_pylist(), b["slots"], b["template"]):
                 if s != last:
-                    last, chosen = s, frozenset(s.as_py())
-                out.append(main_text(html, chosen))
+                    last, chosen, constant = s, frozenset(s[0].as_py()), frozenset(s[1].as_py() or ())
+                out.append(main_text(html, chosen, constant))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.string())], names=["row", "text"])
 
     chosen = wrappers.mapInArrow(choose, "host string, slots array<string>")
-    full = d.join(chosen, "host").select("row", "html", "slots")
+    full = d.join(chosen.join(template, "host", "left"), "host").select("row", "html", "slots", "template")
     return full.mapInArrow(texts, f"row {d.schema['row'].dataType.simpleString()}, text string")
