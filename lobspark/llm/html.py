@@ -347,5 +347,7 @@ def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.string())], names=["row", "text"])
 
     chosen = wrappers.mapInArrow(choose, "host string, slots array<string>")
-    full = d.join(chosen.join(template, "host", "left"), "host").select("row", "html", "slots", "template")
+    # stored, so that its size is known: pages are only shuffled where the hosts' table is too large to send to every task
+    per_host = materialize(chosen.join(template, "host", "left"))
+    full = d.join(per_host, "host").select("row", "html", "slots", "template")
     return full.mapInArrow(texts, f"row {d.schema['row'].dataType.simpleString()}, text string")
