@@ -3,8 +3,10 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from lobspark.functions import normalize as N
 from lobspark.operators.stats import abs_stats
 from lobspark.plans.common import r
+from lobspark.sources import scans as S
 
 
 def test_halves_round_as_in_sql(spark):
@@ -24,3 +26,12 @@ def test_median_between_two_notionals(spark):
     sql = duckdb.connect()
     want = {i: sql.execute("select round(quantile_cont(v, 0.5), 4)+0.0 from (select unnest(?::double[]) v)", [list(p)]).fetchone()[0] for i, p in enumerate(pairs)}
     assert got == want
+
+
+def test_rows_of_one_position_are_not_out_of_place(spark):
+    t0 = 1_700_000_000_000_000_000
+    rows = [("v", p, t0 + dt, t0 + dt, 1.0, 1.0, "buy", i) for i, (p, dt) in enumerate([(1, 10), (2, 40), (2, 20), (2, 30), (3, 50), (4, 45)])]
+    columns = "venue string, pos long, origin_time long, received_time long, price double, quantity double, side string, trade_id long"
+    for order in (rows, rows[::-1], sorted(rows, key=lambda x: x[2])):
+        _, summary = S.normalize_feed(spark.createDataFrame(order, columns).coalesce(1), N.normalize_trades, ["venue"])
+        assert summary.first()["n_resorted"] == 1  # position 4 alone
