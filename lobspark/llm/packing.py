@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,8 +29,8 @@ from lobspark.llm.common import chunks
 from lobspark.llm.words import ragged, split_at_space
 from lobspark.session import materialize
 
-#: Bytes of text handled at once, and distinct words whose ids a task remembers.
-TEXT_AT_ONCE, REMEMBERED = 4_000_000, 1_000_000
+#: Bytes of text handled at once (a worker peaks at 0.35 GB with 1 MB, at 0.6 GB with 4 MB), and distinct words whose ids a task remembers.
+TEXT_AT_ONCE, REMEMBERED = 1_000_000, 500_000
 
 
 class WordIds:
@@ -129,9 +130,8 @@ def _pieces(path: str | None, name: str, size: int, keep_ids: bool):
         part = TaskContext.get().partitionId()
         numbered = np.zeros(size + 1, dtype=np.int64)
         for b in batches:
-            texts = [t or b"" for t in b["text"].to_pylist()]
-            for i, j in chunks([len(t) + 1 for t in texts], TEXT_AT_ONCE):
-                flat, bounds = ids_of.look_up(texts[i:j])
+            for i, j in chunks([(n or 0) + 1 for n in pc.binary_length(b["text"]).to_pylist()], TEXT_AT_ONCE):
+                flat, bounds = ids_of.look_up([t or b"" for t in b["text"].slice(i, j - i).to_pylist()])
                 doc, piece, length, nth, crc, kept = [], [], [], [], [], []
                 for d in range(j - i):
                     ids = np.append(flat[bounds[d] : bounds[d + 1]], np.uint32(0)).astype("<u4").tobytes()
