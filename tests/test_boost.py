@@ -85,3 +85,19 @@ def test_gate_passes_on_a_planted_signal_and_fails_on_noise(spark, strength, pas
     for wrong in ({"embargo_ns": 10, "max_lookback_ns": 20}, {"embargo_ns": 30, "max_lookback_ns": 10}):
         with pytest.raises(ValueError):
             check_lookback(rows, **wrong)
+
+
+def test_rows_with_equal_bins_and_label_are_boosted_as_one(spark):
+    params = G.BoostParams(trees=12, depth=2, step=0.3, bins=4, min_rows=20)
+    d = G.binned(spark.createDataFrame(frame(1500, 11, 2.0)), ["h"], ["x0", "x1"], params.bins).cache()
+    _, rows = G.started(d.select("h", "split", "bins", "y", "label", "w"), ["h", "split"], params)
+    assert rows.count() <= 2 * 4 * 4 * 3 and rows.agg({"n": "sum"}).first()[0] == 1500
+    fit = G.fit_boosted(d.select("h", "split", "bins", "y", "label", "w"), ["h", "split"], params)
+    one = d.where("h = 'a'").toPandas()
+    x, score = np.stack(one.bins), np.full(len(one), np.average(one.y, weights=one.w))
+    for t in fit.trees:  # leaves of every tree against the single rows, also after scores were stored
+        node, _ = t.nodes(np.zeros(len(one), int), x, 0, params.depth)
+        for leaf in np.unique(node):
+            i = node == leaf
+            assert t.value[0, 0, leaf] == pytest.approx(np.average(one.y[i] - score[i], weights=one.w[i]), rel=1e-7, abs=1e-9)
+        score += params.step * t.value[0, 0, node]
