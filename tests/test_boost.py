@@ -101,3 +101,34 @@ def test_rows_with_equal_bins_and_label_are_boosted_as_one(spark):
             i = node == leaf
             assert t.value[0, 0, leaf] == pytest.approx(np.average(one.y[i] - score[i], weights=one.w[i]), rel=1e-7, abs=1e-9)
         score += params.step * t.value[0, 0, node]
+
+
+def test_models_grown_in_a_task_equal_those_grown_level_by_level(spark, monkeypatch):
+    params = G.BoostParams(trees=3, depth=3, step=0.4, bins=8, min_rows=20)
+    d = G.binned(spark.createDataFrame(frame(900, 5, 2.0)), ["h"], ["x0", "x1", "x2"], params.bins).cache()
+    rows = d.select("h", "split", "bins", "y", "label", "w")
+    one = G.fit_boosted(rows, ["h", "split"], params)
+    monkeypatch.setattr(G, "IN_TASK", 0)
+    two = G.fit_boosted(rows, ["h", "split"], params)
+    for a, b in zip(one.trees, two.trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.feature >= 0).sum() > 8
+        assert np.allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+
+
+def test_gbt_fits_take_few_jobs_and_know_three_classes(spark):
+    from lobspark.operators import cv
+
+    d = frame(3000, 7, 6.0)
+    rows = spark.createDataFrame(d).withColumnRenamed("w", "uniqueness").cache()
+    rows.count()
+    sc = spark.sparkContext
+    sc.setJobGroup("gbt", "gbt")
+    clf = cv.fit_gbt_clf(rows, ["x0", "x1"], trees=30, depth=3)
+    reg = cv.fit_gbt_reg(rows, ["x0", "x1"], y="y", trees=30, depth=3)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("gbt"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 60
+    f = cv.gbt_clf_forecast(clf, rows, ["x0", "x1"], 10.0).toPandas()
+    assert abs(f.f).max() <= 10 and np.corrcoef(f.f, f.y)[0, 1] > 0.5
+    f = cv.gbt_forecast(reg, rows, ["x0", "x1"]).toPandas()
+    assert np.corrcoef(f.f, f.y)[0, 1] > 0.5
