@@ -221,3 +221,18 @@ def test_band_of_no_replicates_is_one_null_row(spark):
     pre = spark.createDataFrame([(1, 1.0), (2, 3.0)], "i long, p double")
     rows = E.bootstrap_band(E.block_bootstrap(pre, n_boot=20, block=50, seed=1), 0.1).collect()
     assert [tuple(r) for r in rows] == [(None, None)]
+
+
+def test_ridge_rung_equals_models_fitted_on_rows_copied_per_split(spark):
+    g = np.random.default_rng(4)
+    n = 600
+    d = pd.DataFrame({"h": np.where(np.arange(n) % 3 == 0, "a", "b"), "t_event": np.arange(n) * 10, "t_barrier": np.arange(n) * 10 + g.integers(5, 90, n), "x0": g.normal(size=n) + 1e6, "x1": g.normal(size=n), "uniqueness": g.uniform(0.2, 1, n)})
+    d["y_fwd_bps"] = d.x1 * 2 + g.normal(size=n)
+    rows, cols = spark.createDataFrame(d), ["x0", "x1", "y_fwd_bps", "uniqueness"]
+    args = dict(n_groups=5, k=2, keys=["h"])
+    s = cv.cpcv_splits(rows, embargo_ns=40, keep=cols, width=1000, **args)
+    f = cv.ridge_forecast(s.where("role = 'test'"), cv.fit_ridge(s.where("role = 'train'"), ["h", "split"], ["x0", "x1"]), ["h", "split"], ["x0", "x1"])
+    want = cv.collapse_forecasts(f, ["h", "t_event"], 4).toPandas().set_index(["h", "t_event"]).f
+    got = cv.ridge_rung(cv.split_groups(rows, embargo_ns=40, keep=cols, width=1000, **args), ["x0", "x1"], **args)
+    got = got.toPandas().set_index(["h", "t_event"]).f
+    assert len(got) == n and np.allclose(got.sort_index(), want.sort_index(), rtol=1e-6, atol=1e-6)
