@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lobspark.operators.book import day_open
-from lobspark.operators.ordered import running, shift
+from lobspark.operators.ordered import dealt, running, shift
 
 EPS = 1e-9
 SETS = ("SNAPSHOT", "ADD", "SET")
@@ -69,23 +69,25 @@ def lifecycle_counters(life: DataFrame) -> DataFrame:
     )
 
 
-def level_changes(life: DataFrame) -> DataFrame:
-    """Signed size changes per level: ``symbol, seq, sub, side, tick, delta``."""
+def level_changes(life: DataFrame, rows: int | None = None) -> DataFrame:
+    """Signed size changes per level: ``symbol, seq, side, tick, delta``; ``rows``: about how many they are."""
     out = life.filter(F.col("before") > EPS).select("symbol", "seq", F.lit(0).alias("sub"), F.col("prev.a_side").alias("side"), F.col("prev.a_tick").alias("tick"), (-F.col("before")).alias("delta"))
     into = life.filter(F.col("after") > EPS).select("symbol", "seq", F.lit(1).alias("sub"), F.col("a_side").alias("side"), F.col("a_tick").alias("tick"), F.col("after").alias("delta"))
-    return out.unionByName(into).groupBy("symbol", "seq", "side", "tick").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
+    both = dealt(out.unionByName(into), "symbol", "seq", "side", "tick", rows=rows) if rows is not None else out.unionByName(into)
+    return both.groupBy("symbol", "seq", "side", "tick").agg(F.sum("delta").alias("delta")).filter("delta <> 0")
 
 
 def l3_to_l2(life: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
     """Absolute level sizes after every change, 0 where a level empties (a level-2 delta stream)."""
-    x = running(level_changes(life), ["symbol", "side", "tick"], ["seq"], {"__s": ("sum", F.col("delta"))}, width=width)
+    n = 2 * life.count()  # a change leaves one level and enters one
+    x = running(level_changes(life, n), ["symbol", "side", "tick"], ["seq"], {"__s": ("sum", F.col("delta"))}, width=width, rows=n)
     return x.select("symbol", "seq", "side", "tick", F.when(F.col("__s") > EPS, F.col("__s")).otherwise(0.0).alias("size"))
 
 
 def label_times(events: DataFrame, width: int = SEQ_WIDTH) -> DataFrame:
     """Non-decreasing label time in ``seq`` order; snapshots are clamped to the day open."""
     raw = F.when(F.col("update_type") == "SNAPSHOT", day_open()).otherwise(day_open() + F.col("time_exchange_ns"))
-    x = running(events.withColumn("__raw", raw), ["symbol", "dt"], ["seq"], {"label_ns": ("max", F.col("__raw"))}, width=width)
+    x = running(events.withColumn("__raw", raw), ["symbol", "dt"], ["seq"], {"label_ns": ("max", F.col("__raw"))}, width=width, rows=events.count())
     return x.withColumn("regressed", F.col("__raw") < F.col("label_ns")).drop("__raw")
 
 

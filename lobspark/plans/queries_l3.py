@@ -5,6 +5,7 @@ from pyspark.sql.window import Window as W
 
 from lobspark.operators import book as B
 from lobspark.operators import l3
+from lobspark.operators.ordered import dealt
 from lobspark.operators.quality import frame_quality
 from lobspark.plans.common import r
 from lobspark.plans.registry import query
@@ -50,7 +51,7 @@ FRAGMENTS["l3top_v"] = (("l2time_v", "l3grid_v"), topk_fragment("l2time_v", grid
 
 
 def events(t: Tables):
-    li = t.raw("lineitem")
+    li = dealt(t.raw("lineitem"), "l_orderkey")  # orders never leave their partition again
     k = F.col("l_orderkey")
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     rn = F.col("rn")
@@ -71,14 +72,16 @@ def events(t: Tables):
     )
 
 
-W_SEQ = BIG // 64
+W_SEQ = l3.SEQ_WIDTH  # buckets of orders: a wider one would hold all rows of a line number
 
 
 def l2_timed(t: Tables):
-    ev = materialize(events(t))
-    l2 = l3.l3_to_l2(l3.order_lifecycle(ev), W_SEQ)
-    lt = l3.label_times(ev, W_SEQ).select("symbol", "seq", "label_ns")
-    return l2.join(lt, ["symbol", "seq"])
+    ev = events(t)
+    life = materialize(l3.order_lifecycle(ev))
+    l2 = l3.l3_to_l2(life, W_SEQ)
+    lt = l3.label_times(life, W_SEQ).select("symbol", "seq", "label_ns")
+    n = life.count()
+    return dealt(l2, "symbol", "seq", rows=2 * n).join(dealt(lt, "symbol", "seq", rows=2 * n), ["symbol", "seq"])
 
 
 @query("scan_l3_orders", sql("SELECT symbol, update_type, count(*) n, min(seq) first_seq, max(seq) last_seq, round(sum(size),2)+0.0 total FROM l3_v GROUP BY 1,2", "l3_v"))

@@ -236,3 +236,14 @@ def test_ridge_rung_equals_models_fitted_on_rows_copied_per_split(spark):
     got = cv.ridge_rung(cv.split_groups(rows, embargo_ns=40, keep=cols, width=1000, **args), ["x0", "x1"], **args)
     got = got.toPandas().set_index(["h", "t_event"]).f
     assert len(got) == n and np.allclose(got.sort_index(), want.sort_index(), rtol=1e-6, atol=1e-6)
+
+
+def test_order_lines_are_dealt_by_their_number_and_orders_stay_whole(spark, monkeypatch):
+    from lobspark.operators import l3, ordered
+    from lobspark.plans.queries_l3 import events
+    from lobspark.plans.tables import Tables
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 200)
+    life = l3.order_lifecycle(events(Tables(spark, "/root/testdata/sf0.001")))
+    assert life.rdd.getNumPartitions() >= life.count() // 200
+    assert life.withColumn("p", F.spark_partition_id()).groupBy("order_id").agg(F.count_distinct("p").alias("n")).where("n > 1").isEmpty()
