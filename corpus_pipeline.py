@@ -30,6 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies (five-word shingles, similarity 0.8): the smallest id, and of equal ids the smallest hash of the row.
 
+    Near copies are found by the deletion variants of their SimHash fingerprints and, where more bits differ, by bands of smallest hashes.
+
     A null id counts as smaller than every other; of rows equal in all columns one stays; texts without words, or null, are one group; an empty table
     stays empty.
     """

@@ -9,9 +9,10 @@ Scale: only distinct fingerprints are joined, copies stay with their class. A va
 share is cut again in the same way on the other half (two quarters, one of which differs by at most one bit), so its
 join key gains 15 more bits.
 
-``near_groups`` links by similarity instead of bits: texts whose sets of shingles have a Jaccard similarity of 0.8 or more
-differ in about 15 % of their bits, far beyond three of 64. Deletion variants wide enough for that (256 for every text)
-need several times the input on disk, so it finds candidates by bands of smallest hashes and decides each on its shingles.
+``near_groups`` links by similarity instead of bits. Its first candidates are the same: fingerprints of the sets of shingles, joined over their
+deletion variants. But sets with a Jaccard similarity of 0.8 differ in about 15 % of their bits, far beyond three of 64, and variants wide
+enough for that (256 for every text) need several times the input on disk, so bands of smallest hashes give the further
+candidates. Each is decided on its shingles.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ def _fingerprint(text: bytes, size: int) -> int:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     n = max(1, len(words) - size + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=n)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=n))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for i in range(0, n, 1 << 18):
         ones += np.unpackbits(hashes[i : i + (1 << 18)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -141,17 +146,26 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def shingle_classes(docs: DataFrame, carry: list[str], size: int = 5) -> DataFrame:
-    """``(row, text_hash, cls, n, bands)``: ``cls`` names the set of the ``n`` shingles of a text."""
+    """``(row, text_hash, cls, n, fp, bands)``: ``cls`` names the set of the ``n`` shingles of a text, ``fp`` is the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_shingle_set(t or b"", size) for t in b["text"].to_pylist()]
             cls = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
             n = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["row"], b["text_hash"], pa.array(cls), n, pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=["row", "text_hash", "cls", "n", "bands"])
+            fp = pa.array([_majority(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["row"], b["text_hash"], pa.array(cls), n, fp, pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], names=["row", "text_hash", "cls", "n", "fp", "bands"])
 
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, text_hash long, cls long, n long, bands array<long>")
+    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, text_hash long, cls long, n long, fp long, bands array<long>")
+
+
+def with_simhash(classes: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Classes with one band more, the first: fingerprints that deletion variants join, over any number of others, have the same key there."""
+    fps = classes.where("n > 0").select("fp").distinct()
+    joined = components(links(fps, hot_bucket)).toDF("fp", "near")
+    key = F.array(F.coalesce("near", "fp"))
+    return classes.join(joined, "fp", "left").select("cls", "text_hash", "n", F.when(F.col("n") > 0, F.concat(key, "bands")).otherwise(F.col("bands")).alias("bands"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -204,14 +218,16 @@ def _links_of(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
 def near_groups(docs: DataFrame, carry: list[str] | None = None, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``row, group``: rows have the same group (a long) if a chain of texts joins them, each next one at least this similar by its shingles.
 
-    Texts that share a band key are compared where they meet, on their sets of shingle hashes, which come once per text and key. A key with more than
+    Candidates are texts whose fingerprints deletion variants join (``with_simhash``), then those that share a band of smallest hashes. Texts that
+    share a key are compared where they meet, on their sets of shingle hashes, which come once per text and key. A key with more than
     ``BLOCK_SHINGLES`` is cut into blocks, and pairs of blocks meet. A task gives only links between what it has not yet joined, fewer than it has texts.
 
     Defined cases: equal sets of shingles are one class; a text shorter than a shingle is one shingle; texts without
     words, or null, are one class and near nothing else; an empty table gives no rows.
     """
     rows = materialize(shingle_classes(docs, carry or ["doc_id"], size))
-    classes = materialize(rows.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("n").alias("n")))
+    classes = materialize(rows.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    classes = materialize(with_simhash(classes))
     keys = classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("m"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("m > 1").drop("m")
     met = materialize(keys.join(shared, ["band", "key"]).select("band", "key", "cls", "blocks"))
